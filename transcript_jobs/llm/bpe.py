@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import heapq
 import json
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from transcript_jobs.llm.batches import Memo, gather, text_blocks
+from transcript_jobs.llm.pretokens import PIECES, units
 
 NEVER = np.int64(1) << 40
 
@@ -20,12 +27,11 @@ def byte_letters() -> list[str]:
 
 
 def tokenizer_text(spark: SparkSession, path: str) -> str:
-    """A tokenizer's file, read by Spark from any store (a vocabulary is a few MB, whatever the corpus)."""
-    return spark.read.text(_local(path), wholetext=True).head()[0]
-
-
-def _local(path: str) -> str:
-    return f"file://{path}" if path.startswith("/") else path
+    """A tokenizer's file: a few MB, whatever the corpus. A path without a scheme is the driver's own."""
+    if "://" in path:
+        return spark.read.text(path, wholetext=True).head()[0]
+    with open(path, encoding="utf-8") as f:
+        return f.read()
 
 
 class Vocabulary:
@@ -150,3 +156,99 @@ class Vocabulary:
 def vocabulary(text: str) -> Vocabulary:
     """One per Python worker and tokenizer."""
     return Vocabulary(text)
+
+
+class Encoder:
+    """Encodes texts piece by piece: guess, check all guesses at once, merge where a guess fails."""
+
+    def __init__(self, v: Vocabulary, memory: int = 120_000):
+        self.v, self.units, self.pieces = v, Memo(memory), Memo(memory)
+
+    def guess(self, word: bytes) -> list[int]:
+        """The longest token at each place, from the left."""
+        out, at, n, ids = [], 0, len(word), self.v.id_of
+        while at < n:
+            stop = min(n, at + self.v.longest)
+            while (i := ids.get(word[at:stop])) is None:
+                stop -= 1
+            out.append(i)
+            at = stop
+        return out
+
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        guesses = list(map(self.guess, words))
+        sizes = np.fromiter(map(len, guesses), np.int64, len(guesses))
+        flat = np.fromiter(chain.from_iterable(guesses), np.int64, int(sizes.sum()))
+        owner = np.repeat(np.arange(len(words)), sizes)
+        inside = np.flatnonzero(owner[1:] == owner[:-1]) if len(flat) else np.zeros(0, np.int64)
+        pairs, which = np.unique(flat[inside] * self.v.size + flat[inside + 1], return_inverse=True)
+        fits = self.v.fit(pairs // self.v.size, pairs % self.v.size)
+        bad = np.zeros(len(words), bool)
+        bad[owner[inside[~fits[which]]]] = True
+        bad[owner[~self.v.whole[flat]]] = True
+        for k in np.flatnonzero(bad):
+            guesses[k] = self.v.merge(words[k])
+        return guesses
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order in which the texts are encoded, all ids, and where each text's ids end."""
+        order, ends, codes, distinct = units(texts, list(self.v.special))
+        of_unit = [self.units.get(u) for u in distinct]
+        new = [k for k, ids in enumerate(of_unit) if ids is None]
+        cut = {k: [distinct[k]] if distinct[k] in self.v.special else PIECES.findall(distinct[k]) for k in new}
+        known = {p: self.pieces.get(p) for pieces in cut.values() for p in pieces}
+        known |= {s: [i] for s, i in self.v.special.items() if s in known}
+        missing = [p for p, ids in known.items() if ids is None]
+        for p, ids in zip(missing, self.encode_words([p.encode() for p in missing])):
+            known[p] = ids
+            self.pieces.put(p, ids)
+        for k in new:
+            pieces = cut[k]
+            of_unit[k] = ids = known[pieces[0]] if len(pieces) == 1 else [i for p in pieces for i in known[p]]
+            self.units.put(distinct[k], ids)
+        sizes = np.fromiter(map(len, of_unit), np.int64, len(of_unit))
+        flat = np.fromiter(chain.from_iterable(of_unit), np.int32, int(sizes.sum()))
+        at, after = gather(np.cumsum(sizes) - sizes, sizes, codes)
+        after = np.concatenate([[0], after])
+        return order, flat[at], after[ends]
+
+
+@lru_cache(maxsize=2)
+def encoder(text: str) -> Encoder:
+    return Encoder(vocabulary(text))
+
+
+def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode whole texts with a byte-level BPE vocabulary and decode the ids again.
+
+    Returns ``id_col``, ``ids`` (array<int>) and ``decoded``, a row for each row. A
+    null text counts as empty and has no ids; ids, repeated rows and null ids of
+    documents pass through; other columns are left out, whatever their names. A
+    special token's string inside a text becomes its id. No shuffle: each task
+    encodes its own rows, in blocks of a bounded number of bytes.
+
+    Each distinct piece of a block is guessed greedily; two neighbouring tokens are
+    right if their joined bytes merge to just these two, and a piece is right if all
+    its neighbours are. All distinct pairs of a block are tested at once; only
+    pieces that fail are merged exactly.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(tokenizer_text(spark, tokenizer_path))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(shared.value)
+        table = enc.v.bytes
+        for block in text_blocks(batches):
+            order, ids, ends = enc.encode(block.column(1))
+            starts = np.concatenate([[0], ends[:-1]])
+            listed = ids.tolist()
+            decoded = [b"".join(map(table.__getitem__, listed[s:e])).decode("utf-8", "replace") for s, e in zip(starts.tolist(), ends.tolist())]
+            offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [block.column(0).take(pa.array(order)), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(decoded, pa.string())],
+                ["id", "ids", "decoded"],
+            )
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
