@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 
 from transcript_jobs.llm.batches import Memo, gather, text_blocks
 from transcript_jobs.llm.pretokens import PIECES, units
-
-NEVER = np.int64(1) << 40
+from transcript_jobs.llm.ragged import NEVER, merge_words
 
 
 def byte_letters() -> list[str]:
@@ -66,7 +65,9 @@ class Vocabulary:
         order = np.argsort(self.keys)
         self.keys, self.key_rank, self.key_made = self.keys[order], order.astype(np.int64), made[order]
         self.id_of = {self.bytes[i]: i for t, i in ids.items() if t not in self.special}
-        self.longest = max(map(len, self.id_of))
+        self.reach: dict[bytes, int] = {}
+        for b in self.id_of:
+            self.reach[b[:2]] = max(self.reach.get(b[:2], 1), len(b))
         self._left, self._right, self._made = left, right, made
 
     def lookup(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,21 +162,22 @@ def vocabulary(text: str) -> Vocabulary:
 class Encoder:
     """Encodes texts piece by piece: guess, check all guesses at once, merge where a guess fails."""
 
-    def __init__(self, v: Vocabulary, memory: int = 120_000):
-        self.v, self.units, self.pieces = v, Memo(memory), Memo(memory)
+    def __init__(self, v: Vocabulary, memory: int = 250_000):
+        self.v, self.pieces = v, Memo(memory)
 
     def guess(self, word: bytes) -> list[int]:
-        """The longest token at each place, from the left."""
-        out, at, n, ids = [], 0, len(word), self.v.id_of
+        """The longest token at each place, from the left; ``reach`` is the length of the longest token with these two first bytes."""
+        out, at, n, ids, reach = [], 0, len(word), self.v.id_of, self.v.reach
         while at < n:
-            stop = min(n, at + self.v.longest)
+            stop = min(n, at + reach.get(word[at : at + 2], 1))
             while (i := ids.get(word[at:stop])) is None:
                 stop -= 1
             out.append(i)
             at = stop
         return out
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as bytes of 32-bit integers."""
         guesses = list(map(self.guess, words))
         sizes = np.fromiter(map(len, guesses), np.int64, len(guesses))
         flat = np.fromiter(chain.from_iterable(guesses), np.int64, int(sizes.sum()))
@@ -186,31 +188,38 @@ class Encoder:
         bad = np.zeros(len(words), bool)
         bad[owner[inside[~fits[which]]]] = True
         bad[owner[~self.v.whole[flat]]] = True
-        for k in np.flatnonzero(bad):
-            guesses[k] = self.v.merge(words[k])
-        return guesses
+        raw, ends = flat.astype("<i4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+        out = [raw[s:e] for s, e in zip([0, *ends], ends)]
+        again = np.flatnonzero(bad).tolist()
+        merged, sizes = merge_words(self.v, [words[k] for k in again])
+        raw, ends = merged.astype("<i4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+        for k, s, e in zip(again, [0, *ends], ends):
+            out[k] = raw[s:e]
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The order in which the texts are encoded, all ids, and where each text's ids end."""
         order, ends, codes, distinct = units(texts, list(self.v.special))
-        of_unit = [self.units.get(u) for u in distinct]
-        new = [k for k, ids in enumerate(of_unit) if ids is None]
-        cut = {k: [distinct[k]] if distinct[k] in self.v.special else PIECES.findall(distinct[k]) for k in new}
-        known = {p: self.pieces.get(p) for pieces in cut.values() for p in pieces}
-        known |= {s: [i] for s, i in self.v.special.items() if s in known}
-        missing = [p for p, ids in known.items() if ids is None]
-        for p, ids in zip(missing, self.encode_words([p.encode() for p in missing])):
-            known[p] = ids
-            self.pieces.put(p, ids)
-        for k in new:
-            pieces = cut[k]
-            of_unit[k] = ids = known[pieces[0]] if len(pieces) == 1 else [i for p in pieces for i in known[p]]
-            self.units.put(distinct[k], ids)
-        sizes = np.fromiter(map(len, of_unit), np.int64, len(of_unit))
-        flat = np.fromiter(chain.from_iterable(of_unit), np.int32, int(sizes.sum()))
-        at, after = gather(np.cumsum(sizes) - sizes, sizes, codes)
-        after = np.concatenate([[0], after])
-        return order, flat[at], after[ends]
+        special = self.v.special
+        cut = [[u] if u in special else PIECES.findall(u) for u in distinct]
+        code: dict[str, int] = {}
+        piece_of = np.fromiter((code.setdefault(p, len(code)) for pieces in cut for p in pieces), np.int64)
+        n_pieces = np.fromiter(map(len, cut), np.int64, len(cut))
+        pieces = list(code)
+        ids = [self.pieces.get(p) for p in pieces]
+        for s, i in special.items():
+            if s in code:
+                ids[code[s]] = np.array([i], "<i4").tobytes()
+        missing = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(missing, self.encode_words([pieces[k].encode() for k in missing])):
+            ids[k] = x
+            self.pieces.put(pieces[k], x)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<i4")
+        at, _ = gather(np.cumsum(n_pieces) - n_pieces, n_pieces, codes)
+        n_units = np.concatenate([[0], np.cumsum(n_pieces[codes])])[ends]
+        at, after = gather(np.cumsum(sizes) - sizes, sizes, piece_of[at])
+        return order, flat[at], np.concatenate([[0], after])[n_units]
 
 
 @lru_cache(maxsize=2)

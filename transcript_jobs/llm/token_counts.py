@@ -12,44 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transcript_jobs.llm.batches import Memo, text_blocks
-from transcript_jobs.llm.bpe import NEVER, Vocabulary, tokenizer_text, vocabulary
+from transcript_jobs.llm.bpe import Vocabulary, tokenizer_text, vocabulary
 from transcript_jobs.llm.pretokens import PIECES, units
-
-
-def count_symbols(v: Vocabulary, words: list[bytes]) -> np.ndarray:
-    """How many symbols each word has left when all merges are done.
-
-    All words are one flat array of symbols. In each round every word that can still
-    be merged applies its own lowest-ranked pair, wherever it stands in the word,
-    the leftmost of overlapping ones first. A word leaves when no pair is left.
-    """
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    counts = sizes.copy()
-    symbol = v.byte_id[np.frombuffer(b"".join(words), np.uint8)]
-    word = np.repeat(np.arange(len(words)), sizes)
-    while len(symbol) > 1:
-        at = np.flatnonzero(word[1:] == word[:-1])
-        rank, place = v.lookup(symbol[at], symbol[at + 1])
-        owner = word[at]
-        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(at) else np.zeros(0, np.int64)
-        if not len(first):
-            break
-        lowest = np.full(len(words), NEVER)
-        lowest[owner[first]] = np.minimum.reduceat(rank, first)
-        if not (lowest < NEVER).any():
-            break
-        hit = (rank == lowest[owner]) & (rank < NEVER)
-        pos, made = at[hit], v.key_made[place[hit]]
-        starts = np.concatenate([[True], pos[1:] != pos[:-1] + 1])
-        run_at = np.maximum.accumulate(np.where(starts, pos, 0))
-        take = (pos - run_at) % 2 == 0
-        pos, made = pos[take], made[take]
-        np.subtract.at(counts, word[pos], 1)
-        symbol[pos] = made
-        keep = lowest[word] < NEVER
-        keep[pos + 1] = False
-        symbol, word = symbol[keep], word[keep]
-    return counts
+from transcript_jobs.llm.ragged import merge_words
 
 
 class Counter:
@@ -63,7 +28,7 @@ class Counter:
         known = {p: self.pieces.get(p) for pieces in cut for p in pieces}
         known |= {s: 1 for s in self.v.special if s in known}
         missing = [p for p, n in known.items() if n is None]
-        for p, n in zip(missing, count_symbols(self.v, [p.encode() for p in missing]).tolist()):
+        for p, n in zip(missing, merge_words(self.v, [p.encode() for p in missing], symbols=False)[1].tolist()):
             known[p] = n
             self.pieces.put(p, n)
         of_unit = np.fromiter((sum([known[p] for p in pieces]) for pieces in cut), np.int64, len(cut))
