@@ -7,7 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transcript_jobs.llm.bpe import encode_and_decode
+from transcript_jobs.llm.perspectives import rotate_perspectives
+from transcript_jobs.llm.source_mix import mix_sources
 from transcript_jobs.llm.token_counts import count_tokens
+from transcript_jobs.llm.token_files import read_token_files, write_token_files
+from transcript_jobs.plans.scratch import Scratch
+
+#: Target weights of the mix: five sources count twice, the others once; what has no known source counts once in all.
+MIX = {f"src{i}": 2.0 if i < 5 else 1.0 for i in range(20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,5 +40,45 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
-QUERIES = {"op9_bpe_round_trip": op9_bpe_round_trip, "op10_token_counts": op10_token_counts}
-ORACLES: dict[str, str] = {}
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark, 'token-files').root}/ids"
+    write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    ids = read_token_files(spark, path)
+    return ids.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), MIX, other_weight=1.0)
+
+
+def op7_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rendered = rotate_perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["stop"].cast("string")))
+    return rendered.withColumn("mask", F.array_join(spans, ","))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_files, op3_source_mix, op7_perspectives, op9_bpe_round_trip, op10_token_counts)}
+ORACLES = {
+    "op3_source_mix": """
+        WITH weights AS (SELECT 'src' || i AS name, CASE WHEN i < 5 THEN 2.0::DOUBLE ELSE 1.0 END AS w FROM range(20) t(i) UNION ALL SELECT '', 1.0),
+        docs AS (SELECT d.*, coalesce(k.name, '') AS known FROM documents d LEFT JOIN weights k ON d.source = k.name AND k.name <> ''),
+        counts AS (SELECT known, count(*)::DOUBLE AS n FROM docs GROUP BY known),
+        rates AS (SELECT known, sum(n) OVER () * w / sum(w) OVER () / n AS mean FROM counts JOIN weights ON known = name),
+        steps AS (SELECT known, k, sum(exp(-mean + k * ln(mean) - lgamma(k + 1))) OVER (PARTITION BY known ORDER BY k) AS step FROM rates, range(200) t(k)),
+        drawn AS (SELECT *, ('0x' || substr(md5('0:1|' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM docs),
+        counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, (SELECT count(*) FROM steps s WHERE s.known = d.known AND s.step <= d.u) AS n FROM drawn d)
+        SELECT doc_id, text, lang, source, n_chars, c::INTEGER AS copy, md5('0:order|' || coalesce(doc_id::VARCHAR, 'null') || '|' || c) AS mix_key
+        FROM (SELECT *, unnest(range(1, n + 1)) AS c FROM counted)""",
+    "op7_perspectives": """
+        WITH lines AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text, coalesce(floor(turn / 256), 0)::BIGINT AS part FROM conversations),
+        people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM lines WHERE speaker <> 'system'),
+        seen AS (SELECT l.*, perspective, speaker = perspective AS own,
+                 CASE WHEN speaker = perspective THEN '<|assistant|>' WHEN speaker = 'system' THEN '<|system|>' ELSE '<|user:' || speaker || '|>' END AS head
+                 FROM lines l JOIN people p ON l.conv_id IS NOT DISTINCT FROM p.conv_id),
+        placed AS (SELECT *, coalesce(sum(length(head) + length(text) + 8) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, speaker, text
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begins FROM seen)
+        SELECT conv_id, perspective, part, count(*)::INTEGER AS n_turns,
+               string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY begins) AS rendered,
+               coalesce(string_agg(CASE WHEN own THEN begins::BIGINT || '-' || (begins + length(text) + 7)::BIGINT END, ',' ORDER BY begins), '') AS mask
+        FROM placed GROUP BY conv_id, perspective, part""",
+}
