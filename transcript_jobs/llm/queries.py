@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transcript_jobs.llm.bpe import encode_and_decode
+from transcript_jobs.llm.fingerprints import fingerprint_with_next
+from transcript_jobs.llm.licenses import scan_licenses
+from transcript_jobs.llm.near_duplicates import near_duplicates
 from transcript_jobs.llm.perspectives import rotate_perspectives
 from transcript_jobs.llm.source_mix import mix_sources
 from transcript_jobs.llm.token_counts import count_tokens
@@ -40,6 +43,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    base = F.filter("places", lambda p: p["phrase"])
+    labels = lambda places: F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+    starts = F.transform(base, lambda p: p["first_word"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("places")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("places", lambda p: p["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Scratch(spark, 'token-files').root}/ids"
     write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -51,13 +71,21 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), MIX, other_weight=1.0)
 
 
+def op5_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_with_next(table(spark, sf_dir, "documents"))
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rendered = rotate_perspectives(table(spark, sf_dir, "conversations"))
     spans = F.transform("mask", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["stop"].cast("string")))
     return rendered.withColumn("mask", F.array_join(spans, ","))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_source_mix, op7_perspectives, op9_bpe_round_trip, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_source_mix, op5_weighted_fingerprints, op6_near_duplicates, op7_perspectives, op9_bpe_round_trip, op10_token_counts)}
 ORACLES = {
     "op3_source_mix": """
         WITH weights AS (SELECT 'src' || i AS name, CASE WHEN i < 5 THEN 2.0::DOUBLE ELSE 1.0 END AS w FROM range(20) t(i) UNION ALL SELECT '', 1.0),
@@ -69,6 +97,18 @@ ORACLES = {
         counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, (SELECT count(*) FROM steps s WHERE s.known = d.known AND s.step <= d.u) AS n FROM drawn d)
         SELECT doc_id, text, lang, source, n_chars, c::INTEGER AS copy, md5('0:order|' || coalesce(doc_id::VARCHAR, 'null') || '|' || c) AS mix_key
         FROM (SELECT *, unnest(range(1, n + 1)) AS c FROM counted)""",
+    "op6_near_duplicates": r"""
+        WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                 ELSE list_distinct([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)]) END AS sh FROM words),
+        items AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM sets),
+        links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id
+                  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+        low AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+        SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, least(s.doc_id, coalesce(l.low, s.doc_id)) AS component_id, s.doc_id = least(s.doc_id, coalesce(l.low, s.doc_id)) AS kept
+        FROM sets s LEFT JOIN low l ON l.a = s.doc_id""",
     "op7_perspectives": """
         WITH lines AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text, coalesce(floor(turn / 256), 0)::BIGINT AS part FROM conversations),
         people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM lines WHERE speaker <> 'system'),
