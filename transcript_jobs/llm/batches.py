@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once in a task; a single longer text is handled alone.
-TEXT_BYTES = 12_000_000
+TEXT_BYTES = 5_000_000
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:

@@ -162,7 +162,7 @@ def vocabulary(text: str) -> Vocabulary:
 class Encoder:
     """Encodes texts piece by piece: guess, check all guesses at once, merge where a guess fails."""
 
-    def __init__(self, v: Vocabulary, memory: int = 250_000):
+    def __init__(self, v: Vocabulary, memory: int = 120_000):
         self.v, self.pieces = v, Memo(memory)
 
     def guess(self, word: bytes) -> list[int]:
@@ -251,8 +251,7 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
         for block in text_blocks(batches):
             order, ids, ends = enc.encode(block.column(1))
             starts = np.concatenate([[0], ends[:-1]])
-            listed = ids.tolist()
-            decoded = [b"".join(map(table.__getitem__, listed[s:e])).decode("utf-8", "replace") for s, e in zip(starts.tolist(), ends.tolist())]
+            decoded = [b"".join(map(table.__getitem__, ids[s:e].tolist())).decode("utf-8", "replace") for s, e in zip(starts.tolist(), ends.tolist())]
             offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [block.column(0).take(pa.array(order)), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(decoded, pa.string())],
