@@ -14,6 +14,7 @@ from transcript_jobs.llm.perspectives import rotate_perspectives
 from transcript_jobs.llm.source_mix import mix_sources
 from transcript_jobs.llm.token_counts import count_tokens
 from transcript_jobs.llm.token_files import read_token_files, write_token_files
+from transcript_jobs.llm.toxicity import fit, fold, score_toxicity
 from transcript_jobs.plans.scratch import Scratch
 
 #: Target weights of the mix: five sources count twice, the others once; what has no known source counts once in all.
@@ -71,6 +72,12 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), MIX, other_weight=1.0)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_next(table(spark, sf_dir, "documents"))
 
@@ -85,7 +92,7 @@ def op7_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered.withColumn("mask", F.array_join(spans, ","))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_source_mix, op5_weighted_fingerprints, op6_near_duplicates, op7_perspectives, op9_bpe_round_trip, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_source_mix, op4_toxicity, op5_weighted_fingerprints, op6_near_duplicates, op7_perspectives, op9_bpe_round_trip, op10_token_counts)}
 ORACLES = {
     "op3_source_mix": """
         WITH weights AS (SELECT 'src' || i AS name, CASE WHEN i < 5 THEN 2.0::DOUBLE ELSE 1.0 END AS w FROM range(20) t(i) UNION ALL SELECT '', 1.0),
