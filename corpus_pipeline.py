@@ -4,18 +4,45 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from transcript_jobs.llm.bpe import encode_and_decode
-from transcript_jobs.llm.queries import digest
+from transcript_jobs.llm.near_duplicates import Settings, near_duplicates
+from transcript_jobs.llm.queries import MIX, digest, table
+from transcript_jobs.llm.source_mix import mix_sources
+from transcript_jobs.llm.toxicity import fit, score_toxicity
 from transcript_jobs.plans.scratch import Scratch
 
+#: A document with this toxicity or more goes.
+TOXIC = 0.3
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity is under the threshold; rows with null texts or ids are judged by their (empty) texts."""
+    scorer = fit(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, scorer).where(F.col("toxicity") < TOXIC).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near copies: five-word shingles, a similarity of 0.8 or more.
+
+    Documents without words, or with a null id, are in no group and stay.
+    """
+    found = near_duplicates(docs, Settings(words=5, percent=80))
+    return docs.join(found.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated at random so that sources take their target weights, in shuffled order."""
+    return mix_sources(docs, MIX, other_weight=1.0).select(docs.columns)
+
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded texts, a row for each row."""
     return digest(encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
-STAGES = [("bpe", encode)]
+STAGES = [("toxicity", reject_toxic), ("near copies", drop_near_copies), ("source mix", mix), ("bpe", encode)]
 
 #: The stages include a language model and a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
@@ -24,7 +51,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from transcript_jobs.llm.batches import Memo, text_blocks
 
@@ -270,4 +270,4 @@ def score_toxicity(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> D
             scores = shared.value.scores(block.column(block.schema.get_field_index(text_col)))
             yield pa.RecordBatch.from_arrays([*block.columns, pa.array(scores)], [*block.schema.names, "toxicity"])
 
-    return docs.mapInArrow(run, StructType(docs.schema.fields).add("toxicity", DoubleType()))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("toxicity", DoubleType())]))
