@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transcript_jobs.llm.bpe import encode_and_decode
+from transcript_jobs.llm.embedding_duplicates import near_embeddings
 from transcript_jobs.llm.fingerprints import fingerprint_with_next
 from transcript_jobs.llm.licenses import scan_licenses
 from transcript_jobs.llm.near_duplicates import near_duplicates
@@ -35,6 +36,10 @@ def digest(encoded: DataFrame) -> DataFrame:
     )
 
 
+def op8_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -92,7 +97,7 @@ def op7_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered.withColumn("mask", F.array_join(spans, ","))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_source_mix, op4_toxicity, op5_weighted_fingerprints, op6_near_duplicates, op7_perspectives, op9_bpe_round_trip, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_source_mix, op4_toxicity, op5_weighted_fingerprints, op6_near_duplicates, op7_perspectives, op8_near_embeddings, op9_bpe_round_trip, op10_token_counts)}
 ORACLES = {
     "op3_source_mix": """
         WITH weights AS (SELECT 'src' || i AS name, CASE WHEN i < 5 THEN 2.0::DOUBLE ELSE 1.0 END AS w FROM range(20) t(i) UNION ALL SELECT '', 1.0),
@@ -128,4 +133,14 @@ ORACLES = {
                string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY begins) AS rendered,
                coalesce(string_agg(CASE WHEN own THEN begins::BIGINT || '-' || (begins + length(text) + 7)::BIGINT END, ',' ORDER BY begins), '') AS mask
         FROM placed GROUP BY conv_id, perspective, part""",
+    "op8_near_embeddings": """
+        WITH RECURSIVE good AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+                                WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                                AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        low AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
+        n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+        FROM embeddings e LEFT JOIN n ON n.a = vec_id LEFT JOIN low l ON l.a = vec_id""",
 }
