@@ -1 +1 @@
-
+"""Column expressions and small Arrow helpers on texts and vectors."""

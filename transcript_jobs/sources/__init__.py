@@ -1 +1 @@
-
+"""Reading and writing the tables of transcript studies."""
