@@ -18,12 +18,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from transcript_jobs.llm.batches import Memo, gather, text_blocks
-from transcript_jobs.llm.bpe import tokenizer_text
+from transcript_jobs.llm.bpe import byte_letters, tokenizer_text
 
 #: The words of the lower-casing tokenizer, and chunks whose words can be cut by that pattern alone.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa0-ɏ]*")
 
+CONTROL = regex.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+
+#: Bytes of text encoded at once.
+BLOCK_BYTES = 8_000_000
 BLOCKS = "file_part int, block int, first_token long, n_tokens long, dictionary string, doc_ids array<{id}>, token_counts array<int>, offsets array<int>, frames binary"
 
 
@@ -36,7 +40,7 @@ class ChunkEncoder:
     any other tokenizer.
     """
 
-    def __init__(self, text: str, memory: int = 250_000):
+    def __init__(self, text: str, memory: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -55,8 +59,14 @@ class ChunkEncoder:
             and spec.get("post_processor") is None
             and all(t["content"].startswith("<|") for t in spec["added_tokens"])
         )
+        self.letters = byte_letters()
         self.words = Memo(memory)
 
+    def model(self, words: list[str]) -> list[bytes]:
+        """Ids of words that the library's normalizer and pre-tokenizer would hand to its model as they are."""
+        tokenize, letter = self.tokenizer.model.tokenize, self.letters.__getitem__
+        return [np.array([t.id for t in tokenize(w if w.isascii() else "".join(map(letter, w.encode())))], "<u4").tobytes() for w in words]
+
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -71,19 +81,26 @@ class ChunkEncoder:
         codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
         chunks = flat.dictionary.to_pylist()
-        cut = []
+        cut, odd = [], set()
+        every = "".join(chunks)
+        calm = "<|" not in every and not CONTROL.search(every)
+        find = WORDS.findall
         for c in chunks:
-            if PLAIN.fullmatch(c) and "<|" not in c and (c.isascii() or unicodedata.is_normalized("NFC", c)):
-                cut.append(WORDS.findall(c.lower()))
+            if calm and c.isascii() or PLAIN.fullmatch(c) and "<|" not in c and (c.isascii() or unicodedata.is_normalized("NFC", c)):
+                cut.append(find(c.lower()))
             else:
-                cut.append([c])
+                # The mark keeps a chunk that the library has to normalize apart from a word of the same letters.
+                cut.append(["\0" + c])
+                odd.add("\0" + c)
         code: dict[str, int] = {}
         word_of = np.fromiter((code.setdefault(w, len(code)) for words in cut for w in words), np.int64)
         n_words = np.fromiter(map(len, cut), np.int64, len(cut))
         words = list(code)
         ids = [self.words.get(w) for w in words]
         missing = [k for k, x in enumerate(ids) if x is None]
-        for k, x in zip(missing, self.library([words[k] for k in missing])):
+        plain = [k for k in missing if words[k] not in odd]
+        other = [k for k in missing if words[k] in odd]
+        for k, x in [*zip(plain, self.model([words[k] for k in plain])), *zip(other, self.library([words[k][1:] for k in other]))]:
             ids[k] = x
             self.words.put(words[k], x)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
@@ -110,7 +127,7 @@ def train_dictionary(docs: DataFrame, shared, end_id: int, id_col: str, text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = chunk_encoder(shared.value)
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, limit=BLOCK_BYTES):
             ids, ends = enc.encode(block.column(1))
             ids = ids.astype(f"<u{width}")
             starts = np.concatenate([[0], ends[:-1]])
@@ -137,7 +154,7 @@ def write_token_files(
     compressed alone, so that one document is read by one slice.
 
     ``end_id`` closes each document; a null text has no other id. Documents with a
-    null id come first; repeated ids are ordered by their texts. An empty table
+    null id come first; repeated ids are ordered by their frames. An empty table
     gives no blocks. Documents are dealt to parts by quantiles of the id and
     shuffled compressed; a part's ids before each block are counted as it is written.
     """
@@ -159,7 +176,7 @@ def write_token_files(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, cctx = chunk_encoder(shared.value), _compressor(dictionary.value)
         end = np.array([end_id], f"<u{width}").tobytes()
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, limit=BLOCK_BYTES):
             ids, ends = enc.encode(block.column(1))
             raw = ids.astype(f"<u{width}").tobytes()
             stops = (width * ends).tolist()
@@ -167,9 +184,7 @@ def write_token_files(
             known = pc.fill_null(block.column(0), -(2**63) if kind == "bigint" else -(2**31)).to_numpy(zero_copy_only=False)
             part = np.searchsorted(cuts, known, side="right").astype(np.int32)
             counts = np.diff(np.concatenate([[0], ends])) + 1
-            order = pc.fill_null(block.column(1), "").to_pylist()
-            tie = [hashlib.md5(t.encode()).digest() for t in order]
-            yield pa.RecordBatch.from_arrays([pa.array(part), block.column(0), pa.array(tie, pa.binary()), pa.array(counts, pa.int32()), pa.array(frames, pa.binary())], ["file_part", "id", "tie", "n", "frame"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), block.column(0), pa.array(counts, pa.int32()), pa.array(frames, pa.binary())], ["file_part", "id", "n", "frame"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, before, held, size = None, 0, 0, [], 0
@@ -185,7 +200,7 @@ def write_token_files(
 
         for batch in batches:
             types[5] = pa.list_(batch.schema.field("id").type)
-            for p, i, _, c, f in zip(*(x.to_pylist() for x in batch.columns)):
+            for p, i, c, f in zip(*(x.to_pylist() for x in batch.columns)):
                 if held and (p != part or size >= block_tokens):
                     yield flush()
                 if p != part:
@@ -198,9 +213,9 @@ def write_token_files(
     types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), None, pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
     schema = spark.createDataFrame([], BLOCKS.format(id=kind)).schema
     (
-        rows.mapInArrow(encode, f"file_part int, id {kind}, tie binary, n int, frame binary")
+        rows.mapInArrow(encode, f"file_part int, id {kind}, n int, frame binary")
         .repartition(n, "file_part")
-        .sortWithinPartitions("file_part", F.col("id").asc_nulls_first(), "tie")
+        .sortWithinPartitions("file_part", F.col("id").asc_nulls_first(), "frame")
         .mapInArrow(pack, schema)
         .write.parquet(f"{path}/blocks")
     )
