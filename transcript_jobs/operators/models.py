@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +42,16 @@ def generate(prompts: DataFrame, model: Callable[[list], list], prompt_col: str
 
 def hashed_embedding(words: Column, size: int = 32) -> Column:
     """A stand-in embedding: counts of words by hash, scaled to length 1 (all zero without words)."""
-    slots = F.transform(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(size)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    return unit(counts)
+
+    def run(lists: pd.Series) -> pd.Series:
+        out = []
+        for words in lists:
+            slots = [zlib.crc32(w.encode()) % size for w in (words if words is not None else [])]
+            counts = np.bincount(slots, minlength=size).astype(float) if slots else np.zeros(size)
+            out.append(counts / max(np.sqrt((counts * counts).sum()), 1e-300))
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "array<double>")(words)
 
 
 def unit(vector: Column) -> Column:

@@ -128,7 +128,7 @@ def best_trial(trials: DataFrame, value: str = "value", order: str = "trial") ->
 
 
 def with_duration(trials: DataFrame, start: str = "datetime_start", end: str = "datetime_complete") -> DataFrame:
-    return trials.withColumn("duration_seconds", (F.unix_micros(end) - F.unix_micros(start)) / 1e6)
+    return trials.withColumn("duration_seconds", (F.unix_micros(F.col(end).cast("timestamp")) - F.unix_micros(F.col(start).cast("timestamp"))) / 1e6)
 
 
 def error_log(trials: DataFrame, errors: str = "errors") -> DataFrame:
