@@ -1,0 +1,281 @@
+"""Training-data operators against brute force and on hard rows: nulls, empty and long texts, ties, repeats, no rows, clashing names."""
+
+from __future__ import annotations
+
+import math
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from transcript_jobs.llm import near_duplicates as N
+from transcript_jobs.llm.components import components
+from transcript_jobs.llm.embedding_duplicates import near_embeddings
+from transcript_jobs.llm.fingerprints import SAMPLES, fingerprint_with_next
+from transcript_jobs.llm.licenses import scan_licenses, words_of
+from transcript_jobs.llm.perspectives import rotate_perspectives
+from transcript_jobs.llm.source_mix import cumulative, mix_sources
+from transcript_jobs.llm.toxicity import LetterModel, fit, fold, score_toxicity
+from transcript_jobs.plans.scratch import Scratch
+
+
+def reach(n, links):
+    top = list(range(n))
+
+    def find(i):
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        top[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(120)]
+    got = {r["node"]: r["component"] for r in components(Scratch(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = reach(500, edges)
+    assert got == {i: want[i] for i in {x for e in edges if e[0] != e[1] for x in e}}
+
+
+# Licences
+
+TEXTS = [
+    (1, "Intro. This work is licensed under the GNU General Public License, version 3. End. MIT License; mit license"),
+    (2, "Licensed under CC BY-NC 4.0."),
+    (3, "Licensed under the Apache License, Version 2.0."),
+    (4, None),
+    (5, ""),
+    (6, "gnu general public"),
+    (6, "gnu general public"),
+    (None, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that these conditions are met"),
+    (8, "Wort " * 30_000 + "apache license"),
+    (9, "cc by cc by"),
+]
+
+
+def test_licenses(spark):
+    rows = spark.createDataFrame(TEXTS, "doc_id long, text string").withColumn("places", F.lit(1)).withColumn("n_words", F.lit(1))
+    got = [r.asDict() for r in scan_licenses(rows).collect()]
+    assert len(got) == len(TEXTS)
+    phrases = {"gpl": "gnu general public license", "apache": "apache license", "cc-by": "cc by", "mit": "mit license"}
+    for r in got:
+        text = next(t for i, t in TEXTS if i == r["doc_id"])
+        words = [w.decode() for w in words_of(text)]
+        assert r["n_words"] == len(words)
+        want = sorted((label, i) for label, p in phrases.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split())
+        assert sorted((p["label"], p["first_word"]) for p in r["places"] if p["phrase"]) == want
+        assert all(0 <= p["share"] <= 1 for p in r["places"])
+    labels = {r["doc_id"]: {p["label"] for p in r["places"]} for r in got}
+    assert {"gpl", "gpl-3.0", "mit"} <= labels[1] and {"cc-by", "cc-by-nc-4.0"} <= labels[2] and {"apache", "apache-2.0"} <= labels[3]
+    assert labels[None] == {"bsd"} and not labels[4] | labels[5] | labels[6]
+    assert scan_licenses(rows.limit(0)).count() == 0
+
+
+# Source mix
+
+
+def test_mix(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "b").when(F.col("id") % 1000 == 2, "rare").alias("source")).withColumn("copy", F.lit(9))
+    got = mix_sources(docs, {"hot": 1.0, "b": 2.0, "rare": 1.0}, other_weight=1.0, seed=5)
+    rows = got.groupBy("source").agg(F.count("*").alias("n")).collect()
+    n = {r["source"]: r["n"] for r in rows}
+    for source, mean in (("hot", 800), ("b", 1600), ("rare", 800), (None, 800)):
+        assert abs(n[source] - mean) < 5 * math.sqrt(mean)
+    assert got.columns == ["doc_id", "source", "copy", "mix_key"]
+    assert got.groupBy("doc_id").agg(F.max("copy").alias("m"), F.count("*").alias("n")).where("m <> n").count() == 0
+    again = mix_sources(docs.orderBy(F.desc("doc_id")), {"hot": 1.0, "b": 2.0, "rare": 1.0}, other_weight=1.0, seed=5)
+    assert sorted(r["mix_key"] for r in got.collect()) == sorted(r["mix_key"] for r in again.collect())
+    assert mix_sources(docs.limit(0), {"hot": 1.0}).count() == 0
+    assert mix_sources(docs, {"hot": 1.0}).where("source <> 'hot' OR source IS NULL").count() == 0
+    assert "Python" not in got._jdf.queryExecution().toString()
+
+
+def test_poisson_steps():
+    steps = cumulative(2.0)
+    assert steps[0] == pytest.approx(math.exp(-2)) and steps[2] == pytest.approx(5 * math.exp(-2)) and steps[-1] == pytest.approx(1)
+
+
+# Toxicity
+
+
+def test_toxicity(spark):
+    rng = random.Random(0)
+    words, bad = ["meadow", "river", "stone", "paper", "window", "garden"], ["zorgblat", "krumpf"]
+    docs, labels = [], []
+    for i in range(1200):
+        toxic = i % 5 == 0
+        text = [rng.choice(words) for _ in range(60)]
+        if toxic:
+            text[rng.randint(0, 59)] = rng.choice(bad) + rng.choice(["", "s", "ed"])
+        docs.append((i, " ".join(text), "en"))
+        labels.append((i, int(toxic)))
+    docs += [(5000, None, None), (5001, "", None), (5001, "", None), (None, "river " * 30_000, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, toxicity string")
+    marks = spark.createDataFrame([*labels, (9999, 1), (None, 1), (5000, None)], "doc_id long, toxic int")
+    got = score_toxicity(d, fit(d, marks)).withColumn("held", fold(F.col("doc_id")) == 2).collect()
+    assert len(got) == len(docs) and all(0 <= r["toxicity"] <= 1 for r in got)
+    held = [r for r in got if r["held"] and r["doc_id"] < 1200]
+    right = [(r["toxicity"] >= 0.3) == (r["doc_id"] % 5 == 0) for r in held]
+    assert sum(right) >= 0.97 * len(right)
+    assert all(r["toxicity"] < 0.3 for r in got if r["doc_id"] is None or r["doc_id"] >= 5000)
+    empty = score_toxicity(d.limit(0), fit(d.limit(0), marks.limit(0)))
+    assert empty.count() == 0
+    alone = score_toxicity(d, fit(d, marks.where("toxic = 0"))).select("toxicity").distinct().collect()
+    assert [r[0] for r in alone] == [0.0]
+
+
+def test_letter_model_sums_to_one():
+    model = LetterModel(["abc", "abd", "b"], np.array([[5, 1], [2, 7], [1, 0]]))
+    assert model.differences(["abd"])[0] > 0 > model.differences(["abc"])[0]
+
+
+# Fingerprints
+
+
+def reference_samples(text, samples=SAMPLES):
+    counts = {}
+    for w in text.lower().split():
+        counts[w] = counts.get(w, 0) + 1
+    if not counts:
+        return None
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    low = [math.inf] * samples
+    for w, n in counts.items():
+        term = signed(xxhash.xxh64_intdigest(w.encode(), seed=42))
+        for k in range(samples):
+            h = [xxhash.xxh64_intdigest((2 * k + j).to_bytes(4, "little"), seed=xxhash.xxh64_intdigest(term.to_bytes(8, "little", signed=True), seed=42)) for j in (0, 1)]
+            u = lambda x, s, b: (((x >> s) & ((1 << b) - 1)) + 0.5) / (1 << b)
+            r, beta = -math.log(u(h[0], 0, 21) * u(h[0], 21, 21)), u(h[0], 42, 21)
+            c = -math.log(u(h[1], 0, 32) * u(h[1], 32, 32))
+            t = math.floor(math.log(n) / r + beta)
+            low[k] = min(low[k], math.log(c) - r * (t - beta + 1))
+    return low
+
+
+def test_fingerprints(spark):
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(50)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 80))) for _ in range(30)]
+    rows = [(i * 3, t) for i, t in enumerate(texts)] + [(200, None), (201, ""), (202, "ends"), (202, "ends"), (None, "first of all"), (300, "é" * 7 + " x"), (301, "long " * 20_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(0)).withColumn("fingerprint", F.lit(""))
+    got = fingerprint_with_next(d).collect()
+    assert len(got) == len(rows)
+    ordered = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    by = {}
+    for k, (i, t) in enumerate(ordered):
+        after = ordered[(k + 1) % len(ordered)][1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        a, b, c = (reference_samples(x) for x in (t, edited, after))
+        like = lambda x, y: 1.0 if x is None and y is None else 0.0 if x is None or y is None else sum(p == q for p, q in zip(x, y)) / SAMPLES
+        by.setdefault(i, []).append((len(t), __import__("hashlib").sha256(edited.encode()).hexdigest(), like(a, b), like(a, c)))
+    for i in by:
+        found = sorted((r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in got if r["doc_id"] == i)
+        for x, y in zip(found, sorted(by[i]), strict=True):
+            assert x[:2] == y[:2] and x[2:] == pytest.approx(y[2:], abs=1e-9), i
+    assert len({r["fingerprint"] for r in got if r["doc_id"] == 202}) == 1
+    assert fingerprint_with_next(d.limit(0)).count() == 0
+    one = fingerprint_with_next(d.where("doc_id = 3")).head()
+    assert one["near_next"] == 1.0
+    assert "Python" not in fingerprint_with_next(d)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_collision_rate_is_generalised_jaccard():
+    rng = random.Random(2)
+    a = [f"t{rng.randint(0, 40)}" for _ in range(120)]
+    b = a[:80] + [f"t{rng.randint(0, 40)}" for _ in range(40)]
+    x, y = (reference_samples(" ".join(t), 600) for t in (a, b))
+    terms = set(a) | set(b)
+    want = sum(min(a.count(t), b.count(t)) for t in terms) / sum(max(a.count(t), b.count(t)) for t in terms)
+    assert sum(p == q for p, q in zip(x, y)) / 600 == pytest.approx(want, abs=0.07)
+
+
+# Near duplicates
+
+
+def shingles(text, k):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+@pytest.mark.parametrize("settings", [N.Settings(), N.Settings(words=5, percent=80), N.Settings(rounds=1, block=4)])
+def test_near_duplicates(spark, settings):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(300)]
+    base = [[rng.choice(words) for _ in range(rng.randint(30, 120))] for _ in range(12)]
+    rows = []
+    for i in range(160):
+        t = list(rng.choice(base))
+        for _ in range(rng.randint(0, 4)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        rows.append((i, " ".join(t)))
+    rows += [(500, "one two"), (501, "ONE two"), (502, "two one"), (503, ""), (504, None), (505, " \t"), (506, "solo"), (507, "solo"), (508, "big " * 30_000 + " ".join(base[0]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit(1)).withColumn("bits", F.lit(2)).repartition(5)
+    got = {r["doc_id"]: r for r in N.near_duplicates(d, settings).collect()}
+    sets = {i: shingles(t, settings.words) for i, t in rows}
+    ids = [i for i, _ in rows]
+    links = [(a, b) for k, a in enumerate(range(len(ids))) for b in range(k + 1, len(ids)) if (x := sets[ids[a]]) and (y := sets[ids[b]]) and 100 * len(x & y) >= settings.percent * len(x | y)]
+    top = reach(len(ids), links)
+    assert {i: (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) for i in ids} == {i: (len(sets[i]), ids[top[k]], top[k] == k) for k, i in enumerate(ids)}
+
+
+def test_near_duplicates_hard_rows(spark):
+    rows = [(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (2, "a b c d"), (7, "x y z q"), (7, "k l m n"), (8, "k l m n")]
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, None, True), (3, 2, False), (3, 2, False), (2, 2, True), (7, 7, True), (7, 7, True), (8, 7, False)], key=str)
+    assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_sketch_fills_and_estimates():
+    sets = np.arange(1, 4, dtype=np.uint64)
+    sk = N.sketches(sets, np.array([1, 0, 2]), 160)
+    assert (sk[0] != N.FULL).all() and (sk[1] == N.FULL).all() and (sk[2] != N.FULL).all()
+    a, b = np.arange(0, 1000, dtype=np.uint64), np.arange(100, 1100, dtype=np.uint64)
+    x, y = N.sketches(np.concatenate([a, b]), np.array([1000, 1000]), 160)
+    assert (x == y).mean() == pytest.approx(900 / 1100, abs=0.12)
+
+
+# Perspectives
+
+
+def test_perspectives(spark):
+    turns = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 300, "ann", "Bye"), (2, 0, "system", "Alone."), (None, 0, None, "who"), (3, None, "eve", "x")]
+    d = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").withColumn("part", F.lit(7))
+    got = {(r["conv_id"], r["perspective"], r["part"]): r for r in rotate_perspectives(d).collect()}
+    assert set(got) == {(1, "ann", 0), (1, "ann", 1), (1, "bob", 0), (1, "bob", 1), (None, "unknown", 0), (3, "eve", 0)}
+    ann = got[1, "ann", 0]
+    assert ann["rendered"] == "<|system|>Be kind.<|end|>\n<|assistant|>Hi<|end|>\n<|user:bob|><|end|>\n<|user:bob|><|end|>\n" and ann["n_turns"] == 4
+    assert [ann["rendered"][m["start"] : m["stop"]] for m in ann["mask"]] == ["Hi<|end|>"]
+    assert [got[1, "bob", 0]["rendered"][m["start"] : m["stop"]] for m in got[1, "bob", 0]["mask"]] == ["<|end|>"] * 2
+    assert got[1, "bob", 1]["mask"] == [] and rotate_perspectives(d.limit(0)).count() == 0
+    assert "Python" not in rotate_perspectives(d)._jdf.queryExecution().executedPlan().toString()
+
+
+# Embeddings
+
+
+def test_near_embeddings(spark):
+    rng = np.random.default_rng(4)
+    centers = rng.standard_normal((6, 24))
+    rows = []
+    for i in range(260):
+        v = centers[i % 6] + rng.standard_normal(24) * (0.04 if i % 6 < 2 else 0.11 if i % 6 < 4 else 3)
+        rows.append((i, v.tolist(), i % 2))
+    rows += [(900, rows[0][1], 0), (901, rows[0][1], 0), (902, rows[0][1], None), (903, None, 0), (904, [0.0] * 24, 0), (905, [float("nan")] * 24, 0), (906, [1.0, None], 0), (907, [1.0, 2.0], 0), (908, [2.0, 4.0], 0), (None, rows[0][1], 0)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("node", F.lit(1)).repartition(4)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_embeddings(d).collect()}
+    good = [(i, np.array(v, float) / np.linalg.norm(np.array(v, float)), label) for i, v, label in rows if i is not None and label is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    links = [(a, b) for a in range(len(good)) for b in range(a + 1, len(good)) if good[a][2] == good[b][2] and len(good[a][1]) == len(good[b][1]) and good[a][1] @ good[b][1] >= 0.98]
+    top, n = reach(len(good), links), np.bincount([x for e in links for x in e], minlength=len(good))
+    want = {g[0]: (int(n[k]), good[top[k]][0], top[k] == k) for k, g in enumerate(good)}
+    for i, *_ in rows:
+        want.setdefault(i, (0, i, True))
+    assert got == want
+    assert near_embeddings(d.limit(0)).count() == 0
