@@ -205,7 +205,7 @@ def shingles(text, k):
     return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
-@pytest.mark.parametrize("settings", [N.Settings(), N.Settings(words=5, percent=80), N.Settings(rounds=1, block=4)])
+@pytest.mark.parametrize("settings", [N.Settings(), N.Settings(words=5, percent=80), N.Settings(block=4)])
 def test_near_duplicates(spark, settings):
     rng = random.Random(7)
     words = [f"w{i}" for i in range(300)]

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from transcript_jobs.llm.batches import text_blocks
@@ -26,15 +26,15 @@ class Settings:
     A sketch has ``bands * width`` coordinates. At a similarity of 0.85 two documents
     share none of 32 bands of 5 with a probability of 7e-9, at 0.8 with 3e-6. ``least``
     is the share of equal coordinates under which a candidate is not verified: six
-    standard deviations below the threshold.
+    standard deviations below the threshold. ``block`` is how many documents a unit of
+    the block comparison has on each side.
     """
 
     words: int = 3
     percent: int = 85
     bands: int = 32
     width: int = 5
-    rounds: int = 3
-    block: int = 256
+    block: int = 512
 
     @property
     def size(self) -> int:
@@ -154,27 +154,97 @@ def _alike(pairs: DataFrame, s: Settings) -> DataFrame:
     return pairs.select("a", "b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, about: DataFrame, s: Settings, scratch: Scratch, name: str, id_col: str, text_col: str) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough; the sets are made again from the texts of these documents alone."""
-    wanted = about.join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("id"), "set1", "set2")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
+def _sets(docs: DataFrame, wanted: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """The full sets of the documents ``wanted`` (rep, set1, set2), made again from their texts alone."""
+    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
             sets, sizes = shingle_sets(block.column(1), s.words)
             same = np.all([x == block.column(k).to_numpy() for x, k in zip(set_names(sets, sizes), (2, 3))], axis=0)
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-            out = pa.RecordBatch.from_arrays([block.column(0), pa.ListArray.from_arrays(offsets, pa.array(sets.view(np.int64)))], ["id", "shingles"])
+            out = pa.RecordBatch.from_arrays([block.column(0), pa.ListArray.from_arrays(offsets, pa.array(sets.view(np.int64)))], ["rep", "shingles"])
             yield out.filter(pa.array(same))
 
-    sets = scratch.save(rows.select("id", "text", "set1", "set2").mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"]), f"{name}-sets")
-    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    return rows.select("rep", "text", "set1", "set2").mapInArrow(run, "rep long, shingles array<long>").dropDuplicates(["rep"])
+
+
+def _star_links(docs: DataFrame, pairs: DataFrame, about: DataFrame, s: Settings, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """Those pairs (a, b) whose full sets are similar enough, after what sizes and sketches rule out."""
+    sides = [about.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab"]
+    near = pairs.join(sides[0], "a").join(sides[1], "b").where(100 * F.least("n_a", "n_b") >= s.percent * F.greatest("n_a", "n_b"))
+    likely = scratch.save(_alike(near, s), "star-pairs")
+    wanted = about.join(likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi").select("rep", "set1", "set2")
+    sets = scratch.save(_sets(docs, wanted, s, id_col, text_col), "star-sets")
+    one, two = (sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     common = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.join(one, "a").join(two, "b")
-    links = joined.where(100 * common >= s.percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    links = scratch.save(links, f"{name}-links")
-    scratch.drop(f"{name}-sets")
+    joined = likely.join(one, "a").join(two, "b")
+    links = scratch.save(joined.where(100 * common >= s.percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "star-links")
+    scratch.drop("star-sets")
+    return links
+
+
+def _block_links(docs: DataFrame, open_: DataFrame, about: DataFrame, s: Settings, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """Links between components among the members of each center: ``open_`` has (center, rep, component, main).
+
+    A center's members are dealt to blocks in order of size, those that are joined to
+    it (main) apart from the rest. Pairs of blocks, but for two of main members, are
+    units of work, unless their sizes alone rule links out. A unit intersects all its
+    full sets by one matrix product and returns a tree of links for each component it
+    joins, so that its output is no larger than its blocks.
+    """
+    place = F.row_number().over(Window.partitionBy("center", "main").orderBy("n", "rep"))
+    dealt = open_.join(about.select("rep", "n"), "rep").withColumn("block", F.floor((place - 1) / s.block).cast("int"))
+    dealt = scratch.save(dealt, "dealt")
+    blocks = dealt.groupBy("center", "main", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    sides = [blocks.select("center", *[F.col(c).alias(f"{c}{k}") for c in ("main", "block", "low", "high")]) for k in (1, 2)]
+    order = F.struct("main1", "block1") <= F.struct("main2", "block2")
+    fits = (100 * F.col("high1") >= s.percent * F.col("low2")) & (100 * F.col("high2") >= s.percent * F.col("low1"))
+    units = sides[0].join(sides[1], "center").where(order & ~(F.col("main1") & F.col("main2")) & fits)
+    units = units.withColumn("same", (F.col("main1") == F.col("main2")) & (F.col("block1") == F.col("block2")))
+    ends = F.array(F.struct(F.lit(1).alias("side"), F.col("main1").alias("main"), F.col("block1").alias("block")), F.struct(F.lit(2).alias("side"), F.col("main2").alias("main"), F.col("block2").alias("block")))
+    asked = units.select("center", F.concat_ws(":", F.col("main1").cast("string"), "block1", F.col("main2").cast("string"), "block2").alias("unit"), "same", F.inline(ends)).where(~F.col("same") | (F.col("side") == 1))
+    wanted = about.join(dealt.select("rep").distinct(), "rep", "left_semi").select("rep", "set1", "set2")
+    sets = scratch.save(_sets(docs, wanted, s, id_col, text_col), "block-sets")
+    rows = asked.join(dealt.select("center", "main", "block", "rep", "component"), ["center", "main", "block"]).join(sets, "rep")
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, comp, side = (table[c].to_numpy() for c in ("rep", "component", "side"))
+        lists = table["shingles"].combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(rep)), sizes)
+        _, code = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        left = np.flatnonzero(side == 1)
+        right = left if table["same"][0].as_py() else np.flatnonzero(side == 2)
+        order = np.argsort(code, kind="stable")
+        owner, code = owner[order], code[order]
+        common = np.zeros((len(left), len(right)), np.float32)
+        width = max(256, 8_000_000 // len(rep))
+        for at in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+            some = slice(*np.searchsorted(code, [at, at + width]))
+            has = np.zeros((len(rep), width), np.float32)
+            has[owner[some], code[some] - at] = 1
+            common += has[left] @ has[right].T
+        linked = (100 * common >= s.percent * (sizes[left][:, None] + sizes[right][None] - common)) & (comp[left][:, None] != comp[right][None])
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while top.setdefault(x, x) != x:
+                x = top[x]
+            return x
+
+        out = []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(linked))):
+            a, b = int(rep[left[i]]), int(rep[right[j]])
+            x, y = find(a), find(b)
+            if x != y:
+                top[max(x, y)] = min(x, y)
+                out.append((a, b))
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    links = scratch.save(rows.groupBy("center", "unit").applyInArrow(run, "a long, b long"), "block-links")
+    scratch.drop("block-sets")
     return links
 
 
@@ -189,12 +259,13 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     stands for several texts is linked by that with the least hash. Other columns are ignored; an empty table gives no rows.
 
     Documents with one and the same set form a class, represented by its smallest id.
-    Representatives that share a band key form a bucket. A bucket's smallest member is
-    compared with all others, not all pairs; links join documents to components, and
-    the next round compares the next smallest with the members of other components.
-    A bucket that is still open after ``rounds`` is compared in blocks, again between
-    components only, and just pairs with like sketches leave a block. Every pair of
-    a bucket is thus compared, or already joined. Links are confirmed on full sets.
+    Representatives that share a band key form a bucket. Its center is the member that
+    shares most buckets with others, and is compared with all members of its buckets,
+    not all pairs; links join documents to components. Members of one center that are
+    still in different components are then compared with each other in blocks, each
+    pair of documents at most once for a center and none within a component. Every
+    pair of a bucket is thus compared, or already joined. Links are confirmed on full
+    sets.
     """
     s, spark = settings, docs.sparkSession
     scratch = Scratch(spark, "near-duplicates")
@@ -207,71 +278,30 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
         # Rows of one id but other texts: the least set stands for the id.
         least = F.min_by(F.struct("set1", "set2", "n", "keys", "bits"), F.struct("set1", "set2")).alias("r")
         reps = scratch.save(reps.groupBy("rep").agg(least).select("rep", "r.*"), "one-for-an-id")
-
-    bands = reps.select("rep", F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("top")).where("center < top").select("key", "center")
-    members = scratch.save(bands.join(shared, "key").where("rep <> center"), "members")
     about = reps.select("rep", "set1", "set2", "n", "bits")
 
-    def compare(pairs: DataFrame, name: str) -> DataFrame:
-        sides = [about.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab"]
-        near = pairs.join(sides[0], "a").join(sides[1], "b").where(100 * F.least("n_a", "n_b") >= s.percent * F.greatest("n_a", "n_b"))
-        likely = scratch.save(_alike(near, s), f"{name}-pairs")
-        return _verified(docs, likely, about, s, scratch, name, id_col, text_col) if not likely.isEmpty() else likely.limit(0)
-
-    links = compare(members.select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), "round-1")
-    joined = components(scratch, links, "joined-1")
-    kept = [links]
-    for k in range(2, s.rounds + 2):
-        named = members.join(joined, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        states = named.groupBy("key").agg(F.min("rep").alias("center"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        named = scratch.save(named.join(states.select("key", "center"), "key"), f"members-{k}")
-        if named.isEmpty():
-            break
-        if k == s.rounds + 1:
-            links = _verified_blocks(named, about, s, compare, scratch)
-        else:
-            centers = named.where("rep = center").select("key", F.col("component").alias("own"))
-            pairs = named.where("rep <> center").join(centers, "key").where("component <> own").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-            links = compare(pairs, f"round-{k}")
-            members = named.where("rep <> center").select("key", "rep")
-        kept.append(links)
-        if not links.isEmpty():
-            every = kept[0]
-            for more in kept[1:]:
-                every = every.union(more)
-            joined = components(scratch, every, f"joined-{k}")
+    bands = reps.select("rep", F.explode("keys").alias("key"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = scratch.save(bands.join(shared, "key"), "members")
+    degree = members.groupBy("rep").agg(F.sum("size").alias("degree"))
+    centers = members.join(degree, "rep").groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("center"))
+    near = scratch.save(members.join(centers, "key").where("rep <> center").select("center", "rep").distinct(), "near-centers")
+    links = _star_links(docs, near.select(F.col("center").alias("a"), F.col("rep").alias("b")), about, s, scratch, id_col, text_col)
+    joined = scratch.save(components(scratch, links, "star-components"), "joined-1")
+
+    # What is left: members of one center in different components.
+    own = joined.select(F.col("node").alias("rep"), "component")
+    named = near.join(own, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = named.join(own.select(F.col("rep").alias("center"), F.col("component").alias("main_component")), "center", "left")
+    named = named.select("center", "rep", "component", (F.col("component") == F.coalesce("main_component", "center")).alias("main"))
+    several = named.groupBy("center").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("center")
+    open_ = scratch.save(named.join(several, "center", "left_semi"), "open")
+    more = _block_links(docs, open_, about, s, scratch, id_col, text_col)
+    if not more.isEmpty():
+        joined = components(scratch, links.union(more), "all-components")
 
     groups = classes.join(joined, F.col("rep") == F.col("node"), "left").select("set1", "set2", F.coalesce("component", "rep").alias("group"))
     found = sk.select("id", "n", "set1", "set2").join(groups, ["set1", "set2"], "left")
     component = F.when(F.col("n") > 0, F.col("group")).otherwise(F.col("id"))
     found = found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
-
-
-def _verified_blocks(named: DataFrame, about: DataFrame, s: Settings, compare, scratch: Scratch) -> DataFrame:
-    """Links between components within buckets that are still open, compared block by block.
-
-    A bucket's members are dealt to blocks of about ``block`` members; each pair of
-    blocks is one unit of work, in which only members of different components are
-    compared, by their sketches.
-    """
-    sizes = named.groupBy("key").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
-    dealt = named.join(sizes, "key").join(about.select("rep", "bits"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("one"), F.greatest(o, F.col("own")).alias("two")))
-    units = dealt.select("key", "rep", "component", "bits", "own", F.inline(others))
-
-    def run(table: pa.Table) -> pa.Table:
-        rep, comp, own = (table[c].to_numpy() for c in ("rep", "component", "own"))
-        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint8).reshape(-1, s.size)
-        left = own == table["one"][0].as_py()
-        right = own == table["two"][0].as_py()
-        out: list[tuple[int, int]] = []
-        for i in np.flatnonzero(left):
-            near = right & (comp != comp[i]) & ((bits == bits[i]).mean(axis=1) >= s.least)
-            out += [(min(rep[i], r), max(rep[i], r)) for r in rep[near]]
-        pairs = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    pairs = scratch.save(units.groupBy("key", "one", "two").applyInArrow(run, "a long, b long").distinct(), "block-candidates")
-    return compare(pairs, "blocks")
