@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Samples in a fingerprint: the likeness of two is the share of equal samples, within 1/sqrt(4 * SAMPLES) of the truth.
-SAMPLES = 32
+SAMPLES = 48
 
 
 def log_sample(term: Column, weight: Column, k: int) -> Column:
@@ -86,17 +86,21 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # The key alone stands for the id, so that all later steps read one and the same shuffle.
+    null_id = F.lit(-(2**63))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), null_id).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bucket, _ = ordered_buckets(rows, "key", n)
     rows = rows.withColumn("home", bucket.cast("int"))
     firsts = sorted((r["home"], r["key"]) for r in rows.groupBy("home").agg(F.min("key").alias("key")).collect())
     # At most as many rows as there are buckets, a number that is a setting.
     ahead = small_table(spark, [(firsts[(i + 1) % len(firsts)][1], b) for i, (b, _) in enumerate(firsts)] or [(0, -1)], ("key", "before"))
     places = F.array(F.struct(F.col("home").alias("bucket"), F.lit(False).alias("guest")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guest")))
-    sent = rows.join(F.broadcast(ahead), "key", "left").select("id", "key", "text", F.inline(F.filter(places, lambda p: p["bucket"].isNotNull())))
+    sent = rows.join(F.broadcast(ahead), "key", "left").select("key", "text", F.inline(F.filter(places, lambda p: p["bucket"].isNotNull())))
+    # Said here, as joins on the bucket would say it in some of the later steps alone, which then shuffle for themselves.
+    sent = sent.where(F.col("bucket").isNotNull())
     by_id = Window.partitionBy("bucket").orderBy("guest", "key", "text")
     half = F.floor(F.length("text") / 2).cast("int")
-    seen = sent.repartition(n, "bucket").select("bucket", "guest", "id", "text", F.row_number().over(by_id).alias("row"), F.lead("text").over(by_id).alias("next"))
+    seen = sent.repartition(n, "bucket").select("bucket", "guest", "key", "text", F.row_number().over(by_id).alias("row"), F.lead("text").over(by_id).alias("next"))
     seen = seen.withColumn("edited", F.when(~F.col("guest"), F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next", F.lit(1), half))))
 
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))
@@ -106,12 +110,12 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
     least = samples_of(counts, ["bucket", "row", "side"], samples)
     prints = least.select("bucket", "row", "side", F.array(*[f"s{k}" for k in range(samples)]).alias("s"))
 
-    about = seen.select("bucket", "row", "guest", "id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    about = seen.select("bucket", "row", "guest", "key", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     own = about.join(prints.where("side = 0").select("bucket", "row", F.col("s").alias("own")), ["bucket", "row"], "left")
     both = own.join(prints.where("side = 1").select("bucket", "row", F.col("s").alias("changed")), ["bucket", "row"], "left")
     both = both.withColumn("following", F.lead("own").over(Window.partitionBy("bucket").orderBy("row")))
     return both.where(~F.col("guest")).select(
-        F.col("id").alias(id_col),
+        F.when(F.col("key") != null_id, F.col("key")).cast(docs.schema[id_col].dataType).alias(id_col),
         "n_chars",
         "edited_sha256",
         as_text(F.col("own")).alias("fingerprint"),
