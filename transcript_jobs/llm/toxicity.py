@@ -33,8 +33,8 @@ def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of all words, each between a begin and an end mark; each letter's place in its word, and its word."""
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
     ends = np.cumsum(sizes)
-    word = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(word)) - np.repeat(ends - sizes, sizes)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    place = (np.arange(len(word)) - np.repeat(ends - sizes, sizes)).astype(np.int32)
     letters = np.zeros(len(word), np.uint64)
     letters[(place > 0) & (place < np.repeat(sizes, sizes) - 1)] = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
     letters[ends - sizes] = BEGIN
@@ -86,7 +86,7 @@ class LetterModel:
 
     def __init__(self, words: list[str], counts: np.ndarray):
         letters, place, word = spelled(words)
-        weight = counts[word].astype(np.float64)
+        weight = counts.astype(np.float32)[word]
         self.grams: list[Table] = []
         self.totals: list[Table] = []
         self.kinds: list[Table] = []
@@ -103,7 +103,7 @@ class LetterModel:
                 kinds, at = np.unique(longer[wide], return_index=True)
                 seen = Table.sums(longer[wide], weight[wide]).counts > 0
                 begin = fits & first
-                table = Table.sums(np.concatenate([own[wide][at], own[begin]]), np.concatenate([seen.astype(np.float64), weight[begin]]))
+                table = Table.sums(np.concatenate([own[wide][at], own[begin]]), np.concatenate([seen.astype(np.float32), weight[begin]]))
             if n < SHARED:
                 table.counts[:] = table.counts.sum(axis=1, keepdims=True)
             context = grams(letters, n - 1)[np.maximum(np.arange(len(letters)) - 1, 0)] if n > 1 else np.zeros(len(letters), np.uint64)
@@ -204,7 +204,7 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_rows: int = 3000, ordinary_rows: int = 5000, calibration_rows: int = 4000) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_rows: int = 3000, ordinary_rows: int = 4000, calibration_rows: int = 4000) -> Scorer:
     """Fit on a bounded sample of labelled rows outside fold 2.
 
     At most ``toxic_rows`` and ``ordinary_rows`` of folds 0 and 1, those of the lowest
