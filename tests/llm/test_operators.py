@@ -17,7 +17,8 @@ from transcript_jobs.llm.fingerprints import SAMPLES, fingerprint_with_next
 from transcript_jobs.llm.licenses import scan_licenses, words_of
 from transcript_jobs.llm.perspectives import rotate_perspectives
 from transcript_jobs.llm.source_mix import cumulative, mix_sources
-from transcript_jobs.llm.toxicity import LetterModel, fit, fold, score_toxicity
+from transcript_jobs.llm.toxicity import GramTables, LetterModel, fit, fold, score_toxicity
+from transcript_jobs.plans.scratch import Scratch
 from transcript_jobs.plans.scratch import Scratch
 
 
@@ -136,6 +137,34 @@ def test_letter_model_sums_to_one():
     assert model.differences(["abd"])[0] > 0 > model.differences(["abc"])[0]
 
 
+def test_gram_tables_agree_with_the_model_in_one_process(spark):
+    rng = random.Random(1)
+    words = sorted({"".join(rng.choice("abcdé") for _ in range(rng.randint(1, 9))) for _ in range(300)})
+    counts = np.array([[rng.choice([0, 1, 5]), rng.choice([0, 1, 2])] for _ in words])
+    table = spark.createDataFrame([(w, int(a), int(b)) for w, (a, b) in zip(words, counts)], "word string, n0 long, n1 long").repartition(3)
+    scratch = Scratch(spark, "test-grams")
+    asked = [*words[::3], "zzz", "abcabcabc", "", "é"]
+    got = {r["word"]: r["x"] for r in GramTables.of(table, scratch).differences(spark.createDataFrame([(w,) for w in asked], "word string").distinct(), scratch).collect()}
+    want = LetterModel(words, counts).differences(asked)
+    assert set(got) == set(asked)
+    assert [got[w] for w in asked] == pytest.approx(list(want), abs=1e-5)
+
+
+def test_all_labelled_rows_are_counted(spark):
+    # More ordinary rows of folds 0 and 1 than any bound of a sample had; each has a word of its own.
+    d = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("river w"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.when(F.col("id") % 5 == 0, " krumpf").otherwise("")).alias("text"))
+    marks = d.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic"))
+    scorer = fit(d, marks)
+    counted = d.where(fold(F.col("doc_id")) < 2)
+    # The begin mark and the letter w: one beginning for each counted row.
+    begins = LetterModel(["w"], np.array([[1, 1]])).grams[1].keys.view(np.int64)
+    row = scorer.model.counts.where(F.col("n") == 2).where(F.col("g").isin(*begins.tolist())).agg(F.max("w0")).head()
+    assert row[0] == counted.count() > 5000
+    whole = {r["doc_id"]: r["toxicity"] for r in score_toxicity(d, scorer).collect()}
+    joined = {r["doc_id"]: r["toxicity"] for r in score_toxicity(d, scorer, head=10).collect()}
+    assert len(joined) == 12_000 and joined == pytest.approx(whole)
+
+
 # Fingerprints
 
 

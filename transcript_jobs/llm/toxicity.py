@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from transcript_jobs.llm.batches import Memo, text_blocks
+from transcript_jobs.llm.batches import text_blocks
+from transcript_jobs.plans.scratch import Scratch
 
 ORDER = 6
 #: Orders below this share their counts between the classes.
@@ -21,6 +22,8 @@ DISCOUNT = 0.75
 BEGIN, END = 1, 2
 #: Words in a window.
 WINDOW = 16
+#: Differences of at most so many words, the most frequent of the texts at hand, go to all tasks; those of the others are joined.
+HEAD = 300_000
 
 
 def letters_only(texts: pa.Array) -> pa.ListArray:
@@ -48,7 +51,7 @@ def grams(letters: np.ndarray, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         for k in range(n - 1, -1, -1):
             back = np.zeros(len(letters), np.uint64)
-            back[k:] = letters[: len(letters) - k] if k else letters
+            back[k:] = letters[: max(0, len(letters) - k)]
             out = (out ^ (back + np.uint64(n))) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(31)
     return out
@@ -77,7 +80,7 @@ class Table:
 
 
 class LetterModel:
-    """Two interpolated Kneser-Ney models, of ordinary and of toxic words.
+    """Two interpolated Kneser-Ney models, of ordinary and of toxic words, in one process: what ``GramTables`` holds as tables.
 
     The highest order has counts; a lower one counts the different letters that stand
     before a gram (grams that begin a word keep their counts). Orders under SHARED
@@ -113,17 +116,6 @@ class LetterModel:
             self.kinds.append(Table.sums(context[fits][at], (table.get(kinds) > 0).astype(np.float64)))
         self.letters = max(2, len(np.unique(letters)))
 
-    def remembered(self, words: list[str]) -> np.ndarray:
-        """``differences`` with those of lately seen words kept in the task's process."""
-        if not hasattr(self, "memo"):
-            self.memo = Memo(250_000)
-        out = [self.memo.get(w) for w in words]
-        new = [k for k, x in enumerate(out) if x is None]
-        for k, x in zip(new, self.differences([words[k] for k in new]).tolist()):
-            out[k] = x
-            self.memo.put(words[k], x)
-        return np.array(out, float)
-
     def differences(self, words: list[str]) -> np.ndarray:
         """The logarithm of each word's probability as toxic over that as ordinary."""
         letters, place, word = spelled(words)
@@ -139,12 +131,12 @@ class LetterModel:
         return np.bincount(word, log, len(words))
 
 
-def features(model: LetterModel, texts: pa.Array) -> np.ndarray:
+def features(differences: Callable[[list[str]], np.ndarray], texts: pa.Array) -> np.ndarray:
     """For each text: the length-normalised difference of all words, of its best window, and of its three best windows; and its length."""
     lists = letters_only(texts)
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = lists.flatten().dictionary_encode()
-    each = model.remembered(flat.dictionary.to_pylist())[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0)
+    each = differences(flat.dictionary.to_pylist())[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0)
     total = np.concatenate([[0.0], np.cumsum(each)])
     out = np.zeros((len(sizes), 5))
     start = 0
@@ -185,18 +177,159 @@ class Calibration:
         return 1 / (1 + np.exp(-np.clip(self._wide(x) @ self.w, -30, 30)))
 
 
+def _gram_rows(words: list[str], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """For each order the different grams of the words: context, gram without its first letter and that one's context, whether it begins a word, weights."""
+    letters, place, word = spelled(words)
+    weight = counts.astype(np.float64)[word]
+    own = [grams(letters, n).view(np.int64) for n in range(ORDER + 1)]
+    back = np.maximum(np.arange(len(letters)) - 1, 0)
+    for n in range(1, ORDER + 1):
+        fits = np.flatnonzero(place >= max(1, n - 1))
+        found, first, at = np.unique(own[n][fits], return_index=True, return_inverse=True)
+        some = fits[first]
+        columns = [np.full(len(found), n, np.int32), found, own[n - 1][back[some]], own[n - 1][some], own[max(n - 2, 0)][back[some]], place[some] == n - 1]
+        sums = [np.bincount(at, weight[fits, k], len(found)).astype(np.int64) for k in range(2)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns + sums], ["n", "g", "c", "s", "sc", "first", "w0", "w1"])
+
+
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block in text_blocks([batch], "word", 1_000_000):
+            yield from _gram_rows(block.column(0).to_pylist(), np.stack([block.column(1).to_numpy(), block.column(2).to_numpy()], axis=1))
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The longest gram that ends at each letter of each word."""
+    for batch in batches:
+        for block in text_blocks([batch], "word", 1_000_000):
+            letters, place, word = spelled(block.column(0).to_pylist())
+            longest = np.minimum(place + 1, ORDER)
+            gram = np.zeros(len(letters), np.int64)
+            for n in range(2, ORDER + 1):
+                gram = np.where(longest == n, grams(letters, n).view(np.int64), gram)
+            at = np.flatnonzero(place > 0)
+            yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(word[at])), pa.array(longest[at].astype(np.int32)), pa.array(gram[at])], ["word", "n", "g"])
+
+
+@dataclass
+class GramTables:
+    """The models of ``LetterModel`` as tables: ``counts`` (n, g, c, w0, w1) by order and gram, ``contexts`` (n, c, t0, t1, k0, k1)."""
+
+    counts: DataFrame
+    contexts: DataFrame
+    letters: int
+
+    @classmethod
+    def of(cls, words: DataFrame, scratch: Scratch) -> GramTables:
+        """From words with counts of each class (word, n0, n1)."""
+        raw = words.select("word", "n0", "n1").mapInArrow(_spell, "n int, g long, c long, s long, sc long, first boolean, w0 long, w1 long")
+        raw = scratch.save(raw.groupBy("n", "g").agg(*(F.min(x).alias(x) for x in ("c", "s", "sc", "first")), F.sum("w0").alias("w0"), F.sum("w1").alias("w1")), "grams")
+        seen = lambda w: (F.col(w) > 0).cast("long").alias(w)
+        # The highest order and grams that begin a word keep their counts; a lower one counts the letters before it.
+        counts = raw.where(f"n = {ORDER} OR first").select("n", "g", "c", "w0", "w1")
+        counts = counts.union(raw.where("n > 1").select(F.col("n") - 1, "s", "sc", seen("w0"), seen("w1")))
+        counts = counts.groupBy("n", "g").agg(F.min("c").alias("c"), F.sum("w0").alias("w0"), F.sum("w1").alias("w1"))
+        both = lambda w: F.when(F.col("n") < SHARED, F.col("w0") + F.col("w1")).otherwise(F.col(w)).alias(w)
+        counts = scratch.save(counts.select("n", "g", "c", both("w0"), both("w1")), "counts")
+        contexts = counts.groupBy("n", "c").agg(F.sum("w0").alias("t0"), F.sum("w1").alias("t1"), F.count_if(F.col("w0") > 0).alias("k0"), F.count_if(F.col("w1") > 0).alias("k1"))
+        letters = max(2, raw.where("n = 1").count() + 1)
+        scratch.drop("grams")
+        return cls(counts, scratch.save(contexts, "contexts"), letters)
+
+    def differences(self, words: DataFrame, scratch: Scratch) -> DataFrame:
+        """Different words with ``x``, the logarithm of the probability as toxic over that as ordinary.
+
+        Each different gram of the words is looked up once; a probability takes that
+        of the gram without its first letter, order by order.
+        """
+        none = F.lit(0).cast("long")
+        asked = words.select("word", none.alias("n0"), none.alias("n1")).mapInArrow(_spell, "n int, g long, c long, s long, sc long, first boolean, w0 long, w1 long")
+        asked = asked.groupBy("n", "g").agg(*(F.min(x).alias(x) for x in ("c", "s", "first")))
+        asked = scratch.save(asked.join(self.counts.drop("c"), ["n", "g"], "left").join(self.contexts, ["n", "c"], "left").na.fill(0), "asked")
+        known, each = None, []
+        for n in range(1, ORDER + 1):
+            here = asked.where(F.col("n") == n)
+            if known is None:
+                here = here.withColumns({"p0": F.lit(1.0 / (self.letters + 1)), "p1": F.lit(1.0 / (self.letters + 1))})
+            else:
+                here = here.join(known.select(F.col("g").alias("s"), "p0", "p1"), "s")
+            p = lambda k: F.when(F.col(f"t{k}") > 0, F.greatest(F.col(f"w{k}") - DISCOUNT, F.lit(0.0)) / F.col(f"t{k}") + F.lit(DISCOUNT) * F.col(f"k{k}") / F.col(f"t{k}") * F.col(f"p{k}")).otherwise(F.col(f"p{k}")).alias(f"p{k}")
+            known = scratch.save(here.select("n", "g", "first", p(0), p(1)), f"order-{n}")
+            scratch.drop(f"order-{n - 1}")
+            # Under the highest order only the beginnings of words end with such a gram.
+            if 1 < n < ORDER:
+                each.append(scratch.save(known.where("first").drop("first"), f"ends-{n}"))
+        scratch.drop("asked")
+        found = known.drop("first")
+        for more in each:
+            found = found.union(more)
+        logs = found.select("n", "g", (F.log("p1") - F.log("p0")).alias("x"))
+        return words.select("word").mapInArrow(_ends, "word string, n int, g long").join(logs, ["n", "g"]).groupBy("word").agg(F.sum("x").alias("x"))
+
+
 @dataclass
 class Scorer:
     """A fitted model; without both classes among the labels every text has the same score, the share of toxic labels."""
 
-    model: LetterModel | None
+    model: GramTables | None
     calibration: Calibration | None
     prior: float
 
-    def scores(self, texts: pa.Array) -> np.ndarray:
-        if self.model is None:
-            return np.full(len(texts), self.prior)
-        return self.calibration.score(features(self.model, texts))
+
+def _measured(docs: DataFrame, model: GramTables, text_col: str, head: int = HEAD) -> tuple[DataFrame, Callable[[pa.RecordBatch], np.ndarray]]:
+    """``docs`` with one more column, and a function that gives the features of a batch of its rows.
+
+    All different words of the texts get their difference from the model's tables.
+    Those of the ``head`` most frequent words are sent to every task; the others
+    reach their texts by a join, in the last column, if there are any.
+    """
+    scratch = Scratch(docs.sparkSession, "toxicity-words")
+
+    def list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches):
+            flat = letters_only(block.column(0)).flatten().dictionary_encode()
+            n = np.bincount(flat.indices.to_numpy(zero_copy_only=False), minlength=len(flat.dictionary)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([flat.dictionary, pa.array(n)], ["word", "n"])
+
+    words = docs.select(F.col(text_col).alias("text")).mapInArrow(list_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("times"))
+    words = scratch.save(words, "words")
+    words = scratch.save(words.join(model.differences(words, scratch), "word"), "differences")
+    scratch.drop("words", f"order-{ORDER}", *(f"ends-{n}" for n in range(2, ORDER)))
+    # The least number of times for which the words that are so frequent fit into the head.
+    sizes = sorted(((r["times"], r["count"]) for r in words.groupBy("times").count().collect()), reverse=True)
+    total = np.cumsum([n for _, n in sizes])
+    fit = int(np.searchsorted(total, head, side="right"))
+    least = sizes[fit - 1][0] if fit else float("inf")
+    top = words.where(F.col("times") >= F.lit(least)).select("word", "x").toArrow() if fit else None
+    shared = docs.sparkSession.sparkContext.broadcast(dict(zip(top["word"].to_pylist(), top["x"].to_pylist())) if fit else {})
+    if fit == len(sizes):
+        docs = docs.withColumn("_rare", F.lit(None).cast("array<struct<word:string,x:double>>"))
+    else:
+        # Features depend on the text alone, so that equal texts have one row of rare words.
+        key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+
+        def list_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in text_blocks(batches):
+                lists = letters_only(block.column(0))
+                flat = lists.flatten().dictionary_encode()
+                rare = np.array([w not in shared.value for w in flat.dictionary.to_pylist()], bool)
+                code = flat.indices.to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+                pairs = np.unique(np.stack([row[rare[code]], code[rare[code]]], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([block.column(1).take(pa.array(pairs[:, 0])), flat.dictionary.take(pa.array(pairs[:, 1]))], ["key", "word"])
+
+        rare = docs.select(F.col(text_col).alias("text"), key.alias("key")).mapInArrow(list_rare, "key string, word string").distinct()
+        rare = rare.join(words.select("word", "x"), "word").groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("word", "x")).alias("_rare"))
+        docs = docs.withColumn("_key", key).join(rare, "_key", "left").drop("_key")
+
+    def measure(block: pa.RecordBatch) -> np.ndarray:
+        common = shared.value
+        own = block.column(block.num_columns - 1).flatten()
+        rare = dict(zip(own.field("word").to_pylist(), own.field("x").to_pylist()))
+        look = lambda words: np.array([common[w] if w in common else rare[w] for w in words], float)
+        return features(look, block.column(block.schema.get_field_index(text_col)))
+
+    return docs, measure
 
 
 def fold(doc_id: Column) -> Column:
@@ -204,28 +337,21 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_rows: int = 3000, ordinary_rows: int = 4000, calibration_rows: int = 4000) -> Scorer:
-    """Fit on a bounded sample of labelled rows outside fold 2.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", calibration_rows: int = 4000, head: int = HEAD) -> Scorer:
+    """Fit on the labelled rows outside fold 2.
 
-    At most ``toxic_rows`` and ``ordinary_rows`` of folds 0 and 1, those of the lowest
-    hashes, are counted word by word on the executors; the driver gets one row for
-    each distinct word of the sample. At most ``calibration_rows`` of fold 3 give the
-    weights of the features. Null labels and ids are left out; of several labels of a
-    document the highest holds. No other column is read.
+    All of folds 0 and 1 are counted on the executors, word by word and then gram by
+    gram; the models stay there as tables. At most ``calibration_rows`` of fold 3,
+    those of the lowest hashes, give the weights of the features. Null labels and ids
+    are left out; of several labels of a document the highest holds. No other column
+    is read.
     """
     spark = docs.sparkSession
-    known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").alias("toxic"))
-    known = known.withColumn("fold", fold(F.col("id"))).where("fold <> 2").withColumn("order", F.xxhash64("id", F.lit(11)))
-    lowest = lambda rows, n: rows.orderBy("order", "id").limit(n).select("id", "toxic", "fold")
-    chosen = lowest(known.where("fold < 2 AND toxic = 1"), toxic_rows).union(lowest(known.where("fold < 2 AND toxic = 0"), ordinary_rows)).union(lowest(known.where("fold = 3"), calibration_rows))
-    chosen = chosen.toArrow()
-    share = np.array(chosen["toxic"].to_pylist() or [0.0], float).mean()
-    # As many rows as the three bounds add up to, at most.
-    picked = F.broadcast(spark.createDataFrame(chosen, "id long, toxic int, fold long")) if chosen.num_rows else None
+    scratch = Scratch(spark, "toxicity")
+    known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
+    known = scratch.save(known.withColumn("fold", fold(F.col("id"))).where("fold <> 2"), "labels")
+    share = float(known.agg(F.avg("toxic")).head()[0] or 0.0)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    if picked is None:
-        return Scorer(None, None, 0.0)
-    sample = texts.join(picked, "id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
@@ -236,38 +362,48 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             n = [np.bincount(code[toxic == side], minlength=len(flat.dictionary)).astype(np.int64) for side in (False, True)]
             yield pa.RecordBatch.from_arrays([flat.dictionary, *map(pa.array, n)], ["word", "n0", "n1"])
 
-    words = sample.where("fold < 2").select("text", "toxic").mapInArrow(count, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("word <> ''")
-    words = words.toArrow().sort_by("word")
-    counts = np.stack([words["n0"].to_numpy(), words["n1"].to_numpy()], axis=1) if words.num_rows else np.zeros((0, 2))
-    if not words.num_rows or not counts.sum(axis=0).all():
-        return Scorer(None, None, float(share))
-    model = LetterModel(words["word"].to_pylist(), counts)
-    shared = spark.sparkContext.broadcast(model)
+    # The fold is known from the id, so that only texts of folds 0 and 1 are dealt out.
+    counted = texts.where(fold(F.col("id")) < 2).join(known.where("fold < 2 AND toxic IN (0, 1)").select("id", "toxic"), "id")
+    words = counted.select("text", "toxic").mapInArrow(count, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("word <> ''")
+    words = scratch.save(words, "words")
+    if not all(words.agg(F.sum("n0"), F.sum("n1")).head()):
+        return Scorer(None, None, share)
+    model = GramTables.of(words, scratch)
+    scratch.drop("words")
+    chosen = known.where("fold = 3").orderBy(F.xxhash64("id", F.lit(11)), "id").limit(calibration_rows).select("id", "toxic").toArrow()
+    if not chosen.num_rows:
+        return Scorer(None, None, share)
+    sample = scratch.save(texts.join(F.broadcast(spark.createDataFrame(chosen, "id long, toxic int")), "id"), "calibration")
+    sample, features_of = _measured(sample, model, "text", head)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
-            x = features(shared.value, block.column(1))
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(x.tolist(), pa.list_(pa.float64())), block.column(2)], ["id", "x", "toxic"])
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(features_of(block).tolist(), pa.list_(pa.float64())), block.column(2)], ["id", "x", "toxic"])
 
-    seen = sample.where("fold = 3").select("id", "text", "toxic").mapInArrow(measure, "id long, x array<double>, toxic int").toArrow().sort_by("id")
+    seen = sample.mapInArrow(measure, "id long, x array<double>, toxic int").toArrow().sort_by("id")
     y = np.array(seen["toxic"].to_pylist(), float)
     if not len(y) or y.min() == y.max():
-        return Scorer(None, None, float(share))
-    return Scorer(model, Calibration(np.array(seen["x"].to_pylist()), y), float(share))
+        return Scorer(None, None, share)
+    return Scorer(model, Calibration(np.array(seen["x"].to_pylist()), y), share)
 
 
-def score_toxicity(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, scorer: Scorer, text_col: str = "text", head: int = HEAD) -> DataFrame:
     """All columns and rows of ``docs`` with ``toxicity``, a score from 0 to 1 of the whole text alone.
 
     A column of that name is replaced. Null texts are empty and have the score of a
-    text without words. No shuffle; each distinct word of a block is spelled once.
+    text without words. Each different word is looked up once, at the call; texts are
+    shuffled only if there are more different words than ``head``.
     """
     docs = docs.drop("toxicity")
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    if scorer.model is None:
+        return docs.withColumn("toxicity", F.lit(scorer.prior))
+    kind = StructType([*docs.schema.fields, StructField("toxicity", DoubleType())])
+    docs, features_of = _measured(docs, scorer.model, text_col, head)
+    calibration = scorer.calibration
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, text_col):
-            scores = shared.value.scores(block.column(block.schema.get_field_index(text_col)))
-            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(scores)], [*block.schema.names, "toxicity"])
+            scores = calibration.score(features_of(block))
+            yield pa.RecordBatch.from_arrays([*block.columns[:-1], pa.array(scores)], [*block.schema.names[:-1], "toxicity"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("toxicity", DoubleType())]))
+    return docs.mapInArrow(run, kind)
