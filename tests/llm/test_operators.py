@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from transcript_jobs.llm import near_duplicates as N
 from transcript_jobs.llm.components import components
-from transcript_jobs.llm.embedding_duplicates import near_embeddings
+from transcript_jobs.llm.embedding_duplicates import Settings as EmbeddingSettings, near_embeddings
 from transcript_jobs.llm.fingerprints import SAMPLES, fingerprint_with_next
 from transcript_jobs.llm.licenses import scan_licenses, words_of
 from transcript_jobs.llm.perspectives import rotate_perspectives
@@ -308,3 +308,19 @@ def test_near_embeddings(spark):
         want.setdefault(i, (0, i, True))
     assert got == want
     assert near_embeddings(d.limit(0)).count() == 0
+
+
+def test_near_embeddings_whose_audit_fails_are_compared_exactly(spark):
+    # One round over one order with a window of one: a large group is joined, most pairs are not met.
+    rng = np.random.default_rng(5)
+    v = [np.eye(24)[0] + rng.standard_normal(24) * 0.005 for _ in range(150)]
+    for _ in range(150):
+        c = rng.standard_normal(24)
+        v += [c, c + rng.standard_normal(24) * 0.01]
+    d = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int").repartition(4)
+    weak = EmbeddingSettings(neighbours=1, orders=1, window=1, rounds=1, most_rounds=1, list_size=2, block=64)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_embeddings(d, weak).collect()}
+    u = np.array([x / np.linalg.norm(x) for x in v])
+    links = (u @ u.T >= 0.98) & ~np.eye(len(u), dtype=bool)
+    top = reach(len(u), [(int(a), int(b)) for a, b in zip(*np.nonzero(links)) if a < b])
+    assert got == {i: (int(links[i].sum()), int(top[i])) for i in range(len(u))}

@@ -23,7 +23,8 @@ class Settings:
 
     The first graph links neighbours within ``window`` places in ``orders`` random
     orders. Rounds go on until ``audit`` nodes, compared with all others, show a
-    recall of ``recall``, at least ``rounds`` and at most ``most_rounds`` times.
+    recall of ``recall``, at least ``rounds`` and at most ``most_rounds`` times. Without
+    it all nodes of a label are compared in blocks.
     """
 
     threshold: float = 0.98
@@ -73,20 +74,24 @@ def _first_graph(nodes: DataFrame, s: Settings) -> DataFrame:
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, label, dims = batch.column(0), batch.column(1), batch.column(2).to_numpy()
-            vectors = _matrix(batch.column(3), "<f4")
+            vectors, bits = _matrix(batch.column(3), "<f4"), batch.column(4).to_numpy()
             for order in range(s.orders):
                 code, value = np.zeros(len(dims), np.int64), np.zeros(len(dims), np.float64)
                 for d in np.unique(dims):
                     at = np.flatnonzero(dims == d)
-                    planes = np.random.default_rng([order, int(d)]).standard_normal((13, int(d)))
+                    planes = np.random.default_rng([order, int(d)]).standard_normal((49, int(d)))
                     p = np.stack([vectors[k] for k in at]) @ planes.T
-                    code[at] = (p[:, :12] > 0) @ (1 << np.arange(12))
-                    value[at] = p[:, 12]
+                    for n in np.unique(bits[at]).tolist():
+                        own = bits[at] == n
+                        code[at[own]] = (p[own, 1 : n + 1] > 0) @ (1 << np.arange(n))
+                    value[at] = p[:, 0]
                 yield pa.RecordBatch.from_arrays([node, label, batch.column(2), batch.column(3), pa.array(np.full(len(dims), order, np.int32)), pa.array(code), pa.array(value)], ["node", "label", "dim", "single", "order", "code", "value"])
 
     kind = nodes.schema["label"].dataType.simpleString()
     keys = ["order", "label", "dim", "code", "value", "node"]
-    placed = nodes.select("node", "label", "dim", "single").mapInArrow(project, f"node long, label {kind}, dim int, single binary, order int, code long, value double")
+    # The bits follow the rows of the label, so that equal codes stay few.
+    sizes = nodes.groupBy("label", "dim").agg(F.greatest(F.lit(12), F.least(F.lit(48), F.ceil(F.log2(F.count("*") / s.window)))).cast("int").alias("bits"))
+    placed = nodes.join(sizes, ["label", "dim"]).select("node", "label", "dim", "single", "bits").mapInArrow(project, f"node long, label {kind}, dim int, single binary, order int, code long, value double")
     placed = placed.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
     def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,27 +199,69 @@ def _links(edges: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
 
 
 def _audit(grouped: DataFrame, s: Settings) -> float:
-    """The share of all links of a fixed number of nodes, found by comparing them with every node, that lie within components."""
-    sample = grouped.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(s.audit).select("node", "label", "dim", "double", "component").toArrow()
-    asked = grouped.sparkSession.sparkContext.broadcast([tuple(x.values()) for x in sample.to_pylist()])
+    """The estimated share, averaged over nodes with links, of a node's links that lie within its component.
+
+    Up to ``audit`` nodes of those with a link so far, and as many of those without,
+    are compared with every node; a large group's links count no more than its nodes.
+    """
+    sizes = {r["linked"]: r["count"] for r in grouped.groupBy("linked").count().collect()}
+    first = lambda linked: grouped.where(F.col("linked") == linked).orderBy(F.xxhash64("node", F.lit(3)), "node").limit(s.audit)
+    sample = first(True).union(first(False)).select("node", "label", "dim", "double", "component", "linked").toArrow().to_pylist()
+    asked = grouped.sparkSession.sparkContext.broadcast([tuple(x.values()) for x in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, component = batch.column(0).to_numpy(), batch.column(4).to_numpy()
             place = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-            vectors, all_, within = _matrix(batch.column(3)), 0, 0
+            vectors = _matrix(batch.column(3))
+            all_, within = np.zeros(len(asked.value), np.int64), np.zeros(len(asked.value), np.int64)
             for group in set(place):
                 at = [k for k, p in enumerate(place) if p == group]
-                some = [q for q in asked.value if (q[1], q[2]) == group]
-                if some:
+                which = [k for k, q in enumerate(asked.value) if (q[1], q[2]) == group]
+                if which:
+                    some = [asked.value[k] for k in which]
                     c = np.stack([vectors[k] for k in at]) @ np.stack([np.frombuffer(q[3], "<f8") for q in some]).T >= s.threshold
                     c &= node[at][:, None] != np.array([q[0] for q in some])[None, :]
-                    all_ += int(c.sum())
-                    within += int((c & (component[at][:, None] == np.array([q[4] for q in some])[None, :])).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([all_]), pa.array([within])], ["links", "within"])
+                    all_[which] += c.sum(axis=0)
+                    within[which] += (c & (component[at][:, None] == np.array([q[4] for q in some])[None, :])).sum(axis=0)
+            has = np.flatnonzero(all_)
+            yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(all_[has]), pa.array(within[has])], ["k", "links", "within"])
+
+    found = grouped.select("node", "label", "dim", "double", "component").mapInArrow(run, "k long, links long, within long").groupBy("k").agg(F.sum("links"), F.sum("within")).collect()
+    shares = {True: [], False: []}
+    for k, links, within in found:
+        shares[sample[k]["linked"]].append(within / links)
+    reached = total = 0.0
+    for linked, known in shares.items():
+        # As many nodes of this kind as have links, by the share of those asked.
+        n = sizes.get(linked, 0) * len(known) / max(1, min(s.audit, sizes.get(linked, 0)))
+        total += n
+        reached += n * float(np.mean(known)) if known else 0.0
+    return reached / total if total else 1.0
+
+
+def _all_links(nodes: DataFrame, s: Settings) -> DataFrame:
+    """Edges (a, b) that join what is linked, from the comparison of all nodes of a label in blocks; each unit joins its nodes to the smallest they reach in it."""
+    sizes = nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
+    dealt = nodes.join(sizes, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("one"), F.greatest(o, F.col("own")).alias("two")))
+    cut = dealt.select("label", "dim", "node", "double", F.inline(pairs))
+
+    def run(table: pa.Table) -> pa.Table:
+        node = table["node"].to_numpy()
+        x = np.stack([np.frombuffer(v, "<f8") for v in table["double"].to_pylist()])
+        linked = x @ x.T >= s.threshold
+        np.fill_diagonal(linked, True)
+        low = np.arange(len(node))
+        while True:
+            after = np.where(linked, low[None, :], len(node)).min(axis=1)
+            if (after == low).all():
+                break
+            low = after
+        some = low != np.arange(len(node))
+        return pa.table({"a": node[some], "b": node[low[some]]})
 
-    n = grouped.select("node", "label", "dim", "double", "component").mapInArrow(run, "links long, within long").agg(F.sum("links"), F.sum("within")).head()
-    return n[1] / n[0] if n[0] else 1.0
+    return cut.groupBy("label", "dim", "one", "two").applyInArrow(run, "a long, b long")
 
 
 def _count_links(grouped: DataFrame, s: Settings) -> DataFrame:
@@ -237,6 +284,12 @@ def _count_links(grouped: DataFrame, s: Settings) -> DataFrame:
     return units.groupBy("component", "one", "two").applyInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
 
 
+def _grouped(scratch: Scratch, nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """Nodes with the smallest node they reach, and whether they have a link."""
+    joined = components(scratch, links, f"joined-{name}")
+    return scratch.save(nodes.join(joined, "node", "left").withColumn("linked", F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "node")), f"grouped-{name}")
+
+
 def near_embeddings(vectors: DataFrame, settings: Settings = Settings(), id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Groups of vectors of one label with a cosine of ``threshold`` or more: ``id_col, n_links, component_id, kept``, a row for each row.
 
@@ -250,7 +303,8 @@ def near_embeddings(vectors: DataFrame, settings: Settings = Settings(), id_col:
     Equal vectors form one node. NN-descent refines a neighbour graph from random
     orders: lists that are full of links are enlarged, and all links seen on the way
     join components. A fixed number of nodes is compared with all others to audit the
-    recall, and rounds go on until it is reached. Links within a component are then
+    recall, and rounds go on until it is reached; if the last round does not, all
+    nodes of a label are compared in blocks. Links within a component are then
     counted exactly in blocks, so that no list bounds them and no pair is emitted.
     """
     s = settings
@@ -268,11 +322,12 @@ def near_embeddings(vectors: DataFrame, settings: Settings = Settings(), id_col:
         scratch.drop(f"found-{k}", f"graph-{k - 1}", f"links-{k - 1}", "start")
         if k < s.rounds:
             continue
-        joined = components(scratch, links, f"joined-{k}")
-        grouped = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        grouped = scratch.save(grouped, f"grouped-{k}")
+        grouped = _grouped(scratch, nodes, links, f"{k}")
         if _audit(grouped, s) >= s.recall:
             break
+    else:
+        links = scratch.save(_all_links(nodes, s).distinct(), "links-all")
+        grouped = _grouped(scratch, nodes, links, "all")
     counts = _count_links(grouped, s)
     smallest = grouped.groupBy("component").agg(F.min("rep").alias("low"))
     known = grouped.join(smallest, "component").join(counts, "node", "left")
