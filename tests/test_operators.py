@@ -50,6 +50,30 @@ def test_merge_fragments():
     assert X.merge_fragments([]) == ""
 
 
+def test_merge_fragments_of_long_texts(spark, tmp_path):
+    import random
+
+    from transcript_jobs.plans.queries import QUERIES
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (45_000, 79, 80, 0)]
+    # Parts that come again, contained ones and long runs.
+    texts += [texts[0][:20_000] + texts[0][5_000:30_000], "na" * 5_000 + texts[0][:500] + "na" * 300, "x" * 33_000 + "y"]
+    spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["merged"] for r in QUERIES["x6_merge_fragments"](spark, str(tmp_path)).collect()}
+
+    def plain(parts: list[str]) -> str:
+        merged = parts[0]
+        for part in parts[1:]:
+            if part not in merged:
+                n = next((n for n in range(len(part), 9, -1) if merged.endswith(part[:n])), 0)
+                merged += part[n:] if n else "\n……\n" + part
+        return merged
+
+    assert got == {i: plain([x[k : k + 100] for k in range(0, len(x) // 80 * 80 + 1, 80)]) for i, x in enumerate(texts)}
+    assert got[0] == texts[0]
+
+
 def test_route(spark):
     kind = "video_id long, flagged_count int, candidates array<struct<context_step2:string,requires_full_context_check:boolean>>"
     records = [(1, 0, []), (2, 1, [("ctx", False)]), (3, 1, [("chunk", True)]), (4, 1, [(" ", False)]), (9, 1, [("x", False)])]

@@ -114,13 +114,20 @@ def screening_records(videos: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def merge_fragments(fragments: list[str], least: int = 10, gap: str = "\n……\n") -> str:
     """Fragments in order, without repeats and contained ones, joined where an end and a start overlap by ``least`` characters or more."""
-    merged = ""
+    merged, seed, done = "", max(1, least), 0
+    # Where each run of ``seed`` characters begins, so that a fragment is compared at few places of a long text.
+    places: dict[str, list[int]] = {}
     for k, part in enumerate(dict.fromkeys(fragments)):
         if not k:
             merged = part
-        elif part not in merged:
+        elif len(part) < seed and part in merged or any(merged.startswith(part, at) for at in places.get(part[:seed], ())):
+            continue
+        else:
             n = next((n for n in range(min(len(merged), len(part)), least - 1, -1) if merged.endswith(part[:n])), 0)
             merged += part[n:] if n else gap + part
+        for at in range(done, len(merged) - seed + 1):
+            places.setdefault(merged[at : at + seed], []).append(at)
+        done = max(done, len(merged) - seed + 1)
     return merged
 
 

@@ -538,7 +538,7 @@ def x5_screening_records(spark, d):
 @query()
 def x6_merge_fragments(spark, d):
     t = V.table(spark, d, "documents").select("doc_id", "text")
-    parts = F.transform(F.sequence(F.lit(0), F.least(F.floor(F.length("text") / 80), F.lit(400)).cast("int")), lambda i: F.substring(F.col("text"), i * 80 + 1, F.lit(100)))
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / 80).cast("int")), lambda i: F.substring(F.col("text"), i * 80 + 1, F.lit(100)))
     return t.select("doc_id", X.merged(parts).alias("merged"))
 
 
