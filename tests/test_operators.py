@@ -74,6 +74,19 @@ def test_merge_fragments_of_long_texts(spark, tmp_path):
     assert got[0] == texts[0]
 
 
+def test_searches_of_any_number_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    v = rng.integers(-3, 4, (300, 4)).astype(float)
+    nodes = spark.createDataFrame([(i, 1, x.tolist()) for i, x in enumerate(v)], "node_id long, tokens long, embedding array<double>")
+    asked = nodes.select(F.col("node_id").alias("query_id"), "embedding").where("query_id % 2 = 0")
+    for name, n in (("MOST_QUERIES", 20), ("QUERY_BLOCK", 40), ("NODE_CHUNK", 70)):
+        monkeypatch.setattr(R, name, n)
+    got = {(r["query_id"], r["rank"]): r["node_id"] for r in R.inner_product_search(nodes, asked, 7).collect()}
+    assert got == {(q, k + 1): i for q in range(0, 300, 2) for k, i in enumerate(sorted(range(300), key=lambda i: (-(v[q] @ v[i]), i))[:7])}
+    far = {(r["query_id"], r["node_id"]): r["distance"] for r in R.query_distances(nodes, asked, "L1").collect()}
+    assert far == {(q, i): np.abs(v[q] - v[i]).sum() for q in range(0, 300, 2) for i in range(300)}
+
+
 def test_route(spark):
     kind = "video_id long, flagged_count int, candidates array<struct<context_step2:string,requires_full_context_check:boolean>>"
     records = [(1, 0, []), (2, 1, [("ctx", False)]), (3, 1, [("chunk", True)]), (4, 1, [(" ", False)]), (9, 1, [("x", False)])]
