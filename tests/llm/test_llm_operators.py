@@ -17,8 +17,8 @@ from transcript_jobs.llm.fingerprints import SAMPLES, fingerprint_with_next
 from transcript_jobs.llm.licenses import scan_licenses, words_of
 from transcript_jobs.llm.perspectives import rotate_perspectives
 from transcript_jobs.llm.source_mix import cumulative, mix_sources
-from transcript_jobs.llm.toxicity import GramTables, LetterModel, fit, fold, score_toxicity
-from transcript_jobs.plans.scratch import Scratch
+from transcript_jobs.llm import toxicity as T
+from transcript_jobs.llm.toxicity import KneserNey, Spelled, fit, fold, score_toxicity
 from transcript_jobs.plans.scratch import Scratch
 
 
@@ -132,22 +132,86 @@ def test_toxicity(spark):
     assert [r[0] for r in alone] == [0.0]
 
 
-def test_letter_model_sums_to_one():
-    model = LetterModel(["abc", "abd", "b"], np.array([[5, 1], [2, 7], [1, 0]]))
-    assert model.differences(["abd"])[0] > 0 > model.differences(["abc"])[0]
-
-
-def test_gram_tables_agree_with_the_model_in_one_process(spark):
+class PlainKneserNey:
+    """Both models word by word with dictionaries."""
+
+    def __init__(self, counts):
+        grams = {}
+        for word, both in counts.items():
+            letters = T.BEGIN * (T.ORDER - 1) + word + T.END
+            for e in range(T.ORDER - 1, len(letters)):
+                w = grams.setdefault(letters[e - T.ORDER + 1 : e + 1], [0, 0])
+                for k in range(2):
+                    w[k] += both[k]
+        self.levels = {T.ORDER: grams}
+        for n in range(T.ORDER - 1, 0, -1):
+            level = {}
+            for g, both in self.levels[n + 1].items():
+                w = level.setdefault(g[1:], [0, 0])
+                for k in range(2):
+                    w[k] += both[k] if g[1] == T.BEGIN else both[k] > 0
+            self.levels[n] = level
+        self.letters = max(2, len(self.levels[1]))
+        for n in range(1, T.SHARED):
+            self.levels[n] = {g: [a + b, a + b] for g, (a, b) in self.levels[n].items()}
+
+    def p(self, gram, k):
+        if not gram:
+            return 1 / (self.letters + 1)
+        level = self.levels[len(gram)]
+        same = [c[k] for g, c in level.items() if g[:-1] == gram[:-1]]
+        lower = self.p(gram[1:], k)
+        if not sum(same):
+            return lower
+        return (max(level.get(gram, [0, 0])[k] - T.DISCOUNT, 0) + T.DISCOUNT * sum(c > 0 for c in same) * lower) / sum(same)
+
+    def difference(self, gram):
+        return math.log(self.p(gram, 1)) - math.log(self.p(gram, 0))
+
+
+def some_counts():
     rng = random.Random(1)
     words = sorted({"".join(rng.choice("abcdé") for _ in range(rng.randint(1, 9))) for _ in range(300)})
-    counts = np.array([[rng.choice([0, 1, 5]), rng.choice([0, 1, 2])] for _ in words])
-    table = spark.createDataFrame([(w, int(a), int(b)) for w, (a, b) in zip(words, counts)], "word string, n0 long, n1 long").repartition(3)
+    return {w: [rng.choice([0, 1, 5]), rng.choice([0, 1, 2])] for w in words}
+
+
+def test_kneser_ney_against_dictionaries(spark):
+    counts = some_counts()
+    plain = PlainKneserNey(counts)
     scratch = Scratch(spark, "test-grams")
-    asked = [*words[::3], "zzz", "abcabcabc", "", "é"]
-    got = {r["word"]: r["x"] for r in GramTables.of(table, scratch).differences(spark.createDataFrame([(w,) for w in asked], "word string").distinct(), scratch).collect()}
-    want = LetterModel(words, counts).differences(asked)
-    assert set(got) == set(asked)
-    assert [got[w] for w in asked] == pytest.approx(list(want), abs=1e-5)
+    grams = spark.createDataFrame([(g, *c) for g, c in plain.levels[T.ORDER].items() if any(c)], "gram string, w0 long, w1 long").repartition(3)
+    model = KneserNey.of(grams, scratch)
+    asked = {g for w in [*counts, "zzz", "abcabcabc", "é"] for g in Spelled([w]).distinct()[0]}
+    got = {r["gram"]: r["x"] for r in model.differences(spark.createDataFrame([(g,) for g in sorted(asked)], "gram string"), scratch).collect()}
+    assert set(got) == asked
+    assert got == pytest.approx({g: plain.difference(g) for g in asked})
+    # In a known context the probabilities of all letters, and of one never seen, add up to one.
+    letters = [*plain.levels[1], "?"]
+    for context in (T.BEGIN * 3, "ab" + "c", "cab"):
+        for k in range(2):
+            assert sum(plain.p(context + x, k) for x in letters) == pytest.approx(1)
+
+
+def test_toxicity_features_of_texts_by_hand(spark):
+    d = spark.createDataFrame([(i, f"Mild {'krumpf ' * (i % 3 == 0)}river, MILD stone") for i in range(300)], "doc_id long, text string")
+    marks = d.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    counts = {}
+    for r in d.where(fold(F.col("doc_id")) < 2).collect():
+        for w in r["text"].lower().replace(",", "").split():
+            counts.setdefault(w, [0, 0])[r["doc_id"] % 3 == 0] += 1
+    plain = PlainKneserNey(counts)
+    scorer = fit(d, marks)
+    texts = ["a mild krumpf", None, "river stone " * 40 + "krumpf krumpf"]
+    asked = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    plain_x = lambda w: sum(plain.difference(g) for g in (lambda s: [s[e - T.ORDER + 1 : e + 1] for e in range(T.ORDER - 1, len(s))])(T.BEGIN * (T.ORDER - 1) + w + T.END))
+    rows = []
+    for t in texts:
+        x = [plain_x(w) for w in (t or "").split()]
+        n = max(1, len(x))
+        best = max([sum(x[i : i + T.WINDOW]) / T.WINDOW for i in range(len(x))], default=0)
+        rows.append([sum(x) / n, best, *(sum(v > step for v in x) / n for step in T.STEPS)])
+    got = [r["toxicity"] for r in score_toxicity(asked, scorer).collect()]
+    assert got == pytest.approx(list(scorer.calibration.score(np.array(rows))))
 
 
 def test_all_labelled_rows_are_counted(spark):
@@ -156,13 +220,14 @@ def test_all_labelled_rows_are_counted(spark):
     marks = d.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic"))
     scorer = fit(d, marks)
     counted = d.where(fold(F.col("doc_id")) < 2)
-    # The begin mark and the letter w: one beginning for each counted row.
-    begins = LetterModel(["w"], np.array([[1, 1]])).grams[1].keys.view(np.int64)
-    row = scorer.model.counts.where(F.col("n") == 2).where(F.col("g").isin(*begins.tolist())).agg(F.max("w0")).head()
-    assert row[0] == counted.count() > 5000
+    # The begin marks and the letter w: one beginning for each counted row.
+    row = scorer.model.counts.where(F.col("gram") == T.BEGIN * (T.ORDER - 1) + "w").head()
+    assert row["w0"] + row["w1"] == counted.count() > 5000
     whole = {r["doc_id"]: r["toxicity"] for r in score_toxicity(d, scorer).collect()}
     joined = {r["doc_id"]: r["toxicity"] for r in score_toxicity(d, scorer, head=10).collect()}
     assert len(joined) == 12_000 and joined == pytest.approx(whole)
+    kept = score_toxicity(d, scorer, below=0.3)
+    assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {i for i, x in whole.items() if x < 0.3}
 
 
 # Fingerprints

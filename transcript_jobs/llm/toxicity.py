@@ -12,18 +12,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from transcript_jobs.llm.batches import text_blocks
+from transcript_jobs.llm.batches import gather, text_blocks
 from transcript_jobs.plans.scratch import Scratch
 
-ORDER = 6
+#: Letters in the longest gram: a letter and those before it in its word.
+ORDER = 4
 #: Orders below this share their counts between the classes.
 SHARED = 3
 DISCOUNT = 0.75
-BEGIN, END = 1, 2
+#: Marks that stand before a word, once for each letter of the longest context, and after it.
+BEGIN, END = "\x01", "\x02"
 #: Words in a window.
 WINDOW = 16
-#: Differences of at most so many words, the most frequent of the texts at hand, go to all tasks; those of the others are joined.
-HEAD = 300_000
+#: Differences of words, in nats, over which their shares are counted.
+STEPS = (2.0, 5.0)
+#: The logarithms of at most so many grams, the most frequent of the texts at hand, go to all tasks (16 bytes each); those of the others are joined.
+HEAD = 500_000
+#: Bytes of text handled at once.
+BLOCK_BYTES = 2_000_000
 
 
 def letters_only(texts: pa.Array) -> pa.ListArray:
@@ -32,124 +38,135 @@ def letters_only(texts: pa.Array) -> pa.ListArray:
     return pc.split_pattern(pc.utf8_trim(plain, " "), " ")
 
 
-def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of all words, each between a begin and an end mark; each letter's place in its word, and its word."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    ends = np.cumsum(sizes)
-    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-    place = (np.arange(len(word)) - np.repeat(ends - sizes, sizes)).astype(np.int32)
-    letters = np.zeros(len(word), np.uint64)
-    letters[(place > 0) & (place < np.repeat(sizes, sizes) - 1)] = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
-    letters[ends - sizes] = BEGIN
-    letters[ends - 1] = END
-    return letters, place, word
-
-
-def grams(letters: np.ndarray, n: int) -> np.ndarray:
-    """A hash of the ``n`` letters that end at each place."""
-    out = np.zeros(len(letters), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(n - 1, -1, -1):
-            back = np.zeros(len(letters), np.uint64)
-            back[k:] = letters[: max(0, len(letters) - k)]
-            out = (out ^ (back + np.uint64(n))) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(31)
-    return out
+class Spelled:
+    """All words as one string of code points, each after ``ORDER - 1`` begin marks and before an end mark.
 
+    ``ends`` are the places where a gram ends, ``word`` the word of each, ``hashes``
+    a hash of the gram that ends there.
+    """
 
-@dataclass
-class Table:
-    """Counts by a sorted hash, a column for each class."""
+    def __init__(self, words: list[str]):
+        self.text = "".join(f"{BEGIN * (ORDER - 1)}{w}{END}" for w in words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        self.word = np.repeat(np.arange(len(words)), sizes)
+        self.ends = np.arange(len(self.word)) + (self.word + 1) * (ORDER - 1)
+        code = np.frombuffer(self.text.encode("utf-32-le"), "<u4").astype(np.uint64)
+        hashed = np.zeros(len(self.ends), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(ORDER - 1, -1, -1):
+                hashed = (hashed ^ code[self.ends - k]) * np.uint64(0x9E3779B97F4A7C15)
+                hashed ^= hashed >> np.uint64(31)
+        self.hashes = hashed
 
-    keys: np.ndarray
-    counts: np.ndarray
+    def distinct(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The different grams, the place among ``ends`` of the first of each, and which of them each place has."""
+        _, first, which = np.unique(self.hashes, return_index=True, return_inverse=True)
+        return [self.text[e - ORDER + 1 : e + 1] for e in self.ends[first].tolist()], first, which
 
-    @classmethod
-    def sums(cls, keys: np.ndarray, counts: np.ndarray) -> Table:
-        found, at = np.unique(keys, return_inverse=True)
-        out = np.zeros((len(found), counts.shape[1]), np.float32)
-        for c in range(counts.shape[1]):
-            out[:, c] = np.bincount(at, counts[:, c], len(found))
-        return cls(found, out)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros((len(keys), self.counts.shape[1]), np.float32)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where((self.keys[at] == keys)[:, None], self.counts[at], np.float32(0))
-
-
-class LetterModel:
-    """Two interpolated Kneser-Ney models, of ordinary and of toxic words, in one process: what ``GramTables`` holds as tables.
-
-    The highest order has counts; a lower one counts the different letters that stand
-    before a gram (grams that begin a word keep their counts). Orders under SHARED
-    add up both classes, so that what is rare in either falls back on the same counts.
+
+def list_grams(sides: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From batches of texts, and with two ``sides`` of their labels, the different grams of a block and how often each occurs on each side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches, limit=BLOCK_BYTES):
+            lists = letters_only(block.column(0))
+            flat = lists.flatten().dictionary_encode()
+            code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            side = np.repeat(block.column(1).to_numpy(), sizes) if sides > 1 else np.zeros(len(code))
+            words = flat.dictionary.to_pylist()
+            spelled = Spelled(words)
+            grams, _, which = spelled.distinct()
+            # An empty word is what a text without letters leaves.
+            real = np.array([bool(w) for w in words], float)
+            counts = [np.bincount(which, (np.bincount(code[side == s], minlength=len(words)) * real)[spelled.word], len(grams)).astype(np.int64) for s in range(sides)]
+            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), *map(pa.array, counts)], ["gram", *(f"w{s}" for s in range(sides))])
+
+    return run
+
+
+@dataclass
+class KneserNey:
+    """Two interpolated models, of ordinary and of toxic words, as one table.
+
+    ``known`` has for each gram of each order its counts ``w0, w1``; for each context
+    the sum ``t0, t1`` of the counts of its grams and their number ``k0, k1``. The
+    highest order has counts of occurrences; a lower one counts the different letters
+    that stand before a gram, but for grams that begin with a begin mark, which keep
+    their counts. Orders under SHARED add up both classes, so that what is rare in
+    either falls back on the same counts.
     """
 
-    def __init__(self, words: list[str], counts: np.ndarray):
-        letters, place, word = spelled(words)
-        weight = counts.astype(np.float32)[word]
-        self.grams: list[Table] = []
-        self.totals: list[Table] = []
-        self.kinds: list[Table] = []
+    counts: DataFrame
+    contexts: DataFrame
+    letters: int
+
+    @classmethod
+    def of(cls, grams: DataFrame, scratch: Scratch) -> KneserNey:
+        """From the grams of the highest order with their counts (gram, w0, w1)."""
+        level, levels = grams, [grams]
+        for n in range(ORDER - 1, 0, -1):
+            short = F.substring("gram", 2, n)
+            kept = lambda w: F.sum(F.when(short.startswith(BEGIN), F.col(w)).otherwise((F.col(w) > 0).cast("long"))).alias(w)
+            level = scratch.save(level.groupBy(short.alias("gram")).agg(kept("w0"), kept("w1")), f"order-{n}")
+            levels.append(level)
+        counts = levels[0]
+        for n, level in zip(range(ORDER - 1, 0, -1), levels[1:]):
+            both = F.col("w0") + F.col("w1")
+            counts = counts.union(level.select("gram", both.alias("w0"), both.alias("w1")) if n < SHARED else level)
+        contexts = counts.groupBy(context(F.col("gram")).alias("context")).agg(
+            F.sum("w0").alias("t0"), F.sum("w1").alias("t1"), F.count_if(F.col("w0") > 0).alias("k0"), F.count_if(F.col("w1") > 0).alias("k1")
+        )
+        return cls(counts, scratch.save(contexts, "contexts"), max(2, level.count()))
+
+    def differences(self, asked: DataFrame, scratch: Scratch) -> DataFrame:
+        """The rows of ``asked`` (gram, of the highest order) with ``x``, the logarithm of the last letter's probability as toxic over that as ordinary.
+
+        Each different gram of each order is looked up once; its probability takes that
+        of the gram without its first letter, order by order.
+        """
+        orders = F.transform(F.sequence(F.lit(1), F.lit(ORDER)), lambda n: F.substring(F.col("gram"), F.lit(ORDER + 1) - n, n))
+        every = asked.select(F.explode(orders).alias("gram")).distinct().withColumn("context", context(F.col("gram")))
+        every = every.join(self.counts, "gram", "left").join(self.contexts, "context", "left").na.fill(0)
+        every = scratch.save(every, "asked")
+        known = None
         for n in range(1, ORDER + 1):
-            own = grams(letters, n)
-            # Places where a gram of n letters ends: the begin mark itself is never predicted.
-            fits = (place >= max(1, n - 1))
-            first = place == n - 1
-            if n == ORDER:
-                table = Table.sums(own[fits], weight[fits])
+            here = every.where(F.length("gram") == n)
+            if known is None:
+                here = here.withColumns({"p0": F.lit(1.0 / (self.letters + 1)), "p1": F.lit(1.0 / (self.letters + 1))})
             else:
-                longer = grams(letters, n + 1)
-                wide = fits & (place >= n)
-                kinds, at = np.unique(longer[wide], return_index=True)
-                seen = Table.sums(longer[wide], weight[wide]).counts > 0
-                begin = fits & first
-                table = Table.sums(np.concatenate([own[wide][at], own[begin]]), np.concatenate([seen.astype(np.float32), weight[begin]]))
-            if n < SHARED:
-                table.counts[:] = table.counts.sum(axis=1, keepdims=True)
-            context = grams(letters, n - 1)[np.maximum(np.arange(len(letters)) - 1, 0)] if n > 1 else np.zeros(len(letters), np.uint64)
-            kinds, at = np.unique(own[fits], return_index=True)
-            self.grams.append(table)
-            self.totals.append(Table.sums(context[fits][at], table.get(kinds)))
-            self.kinds.append(Table.sums(context[fits][at], (table.get(kinds) > 0).astype(np.float64)))
-        self.letters = max(2, len(np.unique(letters)))
-
-    def differences(self, words: list[str]) -> np.ndarray:
-        """The logarithm of each word's probability as toxic over that as ordinary."""
-        letters, place, word = spelled(words)
-        p = np.full((len(letters), 2), 1.0 / (self.letters + 1))
-        for n in range(1, ORDER + 1):
-            own = grams(letters, n)
-            context = grams(letters, n - 1)[np.maximum(np.arange(len(letters)) - 1, 0)] if n > 1 else np.zeros(len(letters), np.uint64)
-            total, kinds, count = self.totals[n - 1].get(context), self.kinds[n - 1].get(context), self.grams[n - 1].get(own)
-            known = (place >= max(1, n - 1))[:, None] & (total > 0)
-            safe = np.maximum(total, 1)
-            p = np.where(known, np.maximum(count - DISCOUNT, 0) / safe + DISCOUNT * kinds / safe * p, p)
-        log = np.where(place > 0, np.log(p[:, 1]) - np.log(p[:, 0]), 0.0)
-        return np.bincount(word, log, len(words))
+                here = here.join(known.withColumnRenamed("gram", "short"), F.substring("gram", 2, n - 1) == F.col("short"))
+            known = here.select("gram", *(probability(k) for k in range(2)))
+        return asked.join(known.select("gram", (F.log("p1") - F.log("p0")).alias("x")), "gram")
+
+
+def context(gram: Column) -> Column:
+    """A gram without its last letter."""
+    return F.substring(gram, F.lit(1), F.length(gram) - 1)
+
+
+def probability(k: int) -> Column:
+    """The discounted count of a gram in its context, and what the discount leaves by the shorter gram's probability."""
+    w, t, kinds, p = (F.col(f"{c}{k}") for c in "wtkp")
+    return F.when(t > 0, F.greatest(w - DISCOUNT, F.lit(0.0)) / t + F.lit(DISCOUNT) * kinds / t * p).otherwise(p).alias(f"p{k}")
 
 
 def features(differences: Callable[[list[str]], np.ndarray], texts: pa.Array) -> np.ndarray:
-    """For each text: the length-normalised difference of all words, of its best window, and of its three best windows; and its length."""
+    """For each text: the length-normalised difference of all its words and of its best window, and the shares of words with a difference over each of STEPS."""
     lists = letters_only(texts)
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = lists.flatten().dictionary_encode()
     each = differences(flat.dictionary.to_pylist())[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0)
+    ends = np.cumsum(sizes)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    mean = lambda values: np.bincount(row, values, len(sizes)) / np.maximum(sizes, 1)
     total = np.concatenate([[0.0], np.cumsum(each)])
-    out = np.zeros((len(sizes), 5))
-    start = 0
-    for k, n in enumerate(sizes.tolist()):
-        if n:
-            own = each[start : start + n]
-            width = min(WINDOW, n)
-            windows = (total[start + width : start + n + 1] - total[start : start + n - width + 1]) / WINDOW
-            # Windows side by side for the second and third best: at each of three offsets one in WINDOW.
-            blocks = np.sort(np.add.reduceat(own, np.arange(0, n, WINDOW)) / WINDOW)[::-1]
-            out[k] = (own.mean(), windows.max(), blocks[:3].sum() / 3, np.clip(blocks, 0, None).mean(), np.log1p(n))
-            start += n
-    return out
+    at = np.arange(len(each))
+    windows = (total[np.minimum(at + WINDOW, ends[row])] - total[at]) / WINDOW
+    best, some = np.zeros(len(sizes)), sizes > 0
+    if some.any():
+        best[some] = np.maximum.reduceat(windows, (ends - sizes)[some])
+    return np.stack([mean(each), best, *(mean((each > step).astype(float)) for step in STEPS)], axis=1)
 
 
 class Calibration:
@@ -171,167 +188,111 @@ class Calibration:
 
     def _wide(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
-        return np.concatenate([np.ones((len(z), 1)), z, z[:, :4] ** 2], axis=1)
+        return np.concatenate([np.ones((len(z), 1)), z, z**2], axis=1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self._wide(x) @ self.w, -30, 30)))
 
 
-def _gram_rows(words: list[str], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """For each order the different grams of the words: context, gram without its first letter and that one's context, whether it begins a word, weights."""
-    letters, place, word = spelled(words)
-    weight = counts.astype(np.float64)[word]
-    own = [grams(letters, n).view(np.int64) for n in range(ORDER + 1)]
-    back = np.maximum(np.arange(len(letters)) - 1, 0)
-    for n in range(1, ORDER + 1):
-        fits = np.flatnonzero(place >= max(1, n - 1))
-        found, first, at = np.unique(own[n][fits], return_index=True, return_inverse=True)
-        some = fits[first]
-        columns = [np.full(len(found), n, np.int32), found, own[n - 1][back[some]], own[n - 1][some], own[max(n - 2, 0)][back[some]], place[some] == n - 1]
-        sums = [np.bincount(at, weight[fits, k], len(found)).astype(np.int64) for k in range(2)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns + sums], ["n", "g", "c", "s", "sc", "first", "w0", "w1"])
-
-
-def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block in text_blocks([batch], "word", 1_000_000):
-            yield from _gram_rows(block.column(0).to_pylist(), np.stack([block.column(1).to_numpy(), block.column(2).to_numpy()], axis=1))
-
-
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The longest gram that ends at each letter of each word."""
-    for batch in batches:
-        for block in text_blocks([batch], "word", 1_000_000):
-            letters, place, word = spelled(block.column(0).to_pylist())
-            longest = np.minimum(place + 1, ORDER)
-            gram = np.zeros(len(letters), np.int64)
-            for n in range(2, ORDER + 1):
-                gram = np.where(longest == n, grams(letters, n).view(np.int64), gram)
-            at = np.flatnonzero(place > 0)
-            yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(word[at])), pa.array(longest[at].astype(np.int32)), pa.array(gram[at])], ["word", "n", "g"])
-
-
-@dataclass
-class GramTables:
-    """The models of ``LetterModel`` as tables: ``counts`` (n, g, c, w0, w1) by order and gram, ``contexts`` (n, c, t0, t1, k0, k1)."""
-
-    counts: DataFrame
-    contexts: DataFrame
-    letters: int
-
-    @classmethod
-    def of(cls, words: DataFrame, scratch: Scratch) -> GramTables:
-        """From words with counts of each class (word, n0, n1)."""
-        raw = words.select("word", "n0", "n1").mapInArrow(_spell, "n int, g long, c long, s long, sc long, first boolean, w0 long, w1 long")
-        raw = scratch.save(raw.groupBy("n", "g").agg(*(F.min(x).alias(x) for x in ("c", "s", "sc", "first")), F.sum("w0").alias("w0"), F.sum("w1").alias("w1")), "grams")
-        seen = lambda w: (F.col(w) > 0).cast("long").alias(w)
-        # The highest order and grams that begin a word keep their counts; a lower one counts the letters before it.
-        counts = raw.where(f"n = {ORDER} OR first").select("n", "g", "c", "w0", "w1")
-        counts = counts.union(raw.where("n > 1").select(F.col("n") - 1, "s", "sc", seen("w0"), seen("w1")))
-        counts = counts.groupBy("n", "g").agg(F.min("c").alias("c"), F.sum("w0").alias("w0"), F.sum("w1").alias("w1"))
-        both = lambda w: F.when(F.col("n") < SHARED, F.col("w0") + F.col("w1")).otherwise(F.col(w)).alias(w)
-        counts = scratch.save(counts.select("n", "g", "c", both("w0"), both("w1")), "counts")
-        contexts = counts.groupBy("n", "c").agg(F.sum("w0").alias("t0"), F.sum("w1").alias("t1"), F.count_if(F.col("w0") > 0).alias("k0"), F.count_if(F.col("w1") > 0).alias("k1"))
-        letters = max(2, raw.where("n = 1").count() + 1)
-        scratch.drop("grams")
-        return cls(counts, scratch.save(contexts, "contexts"), letters)
-
-    def differences(self, words: DataFrame, scratch: Scratch) -> DataFrame:
-        """Different words with ``x``, the logarithm of the probability as toxic over that as ordinary.
-
-        Each different gram of the words is looked up once; a probability takes that
-        of the gram without its first letter, order by order.
-        """
-        none = F.lit(0).cast("long")
-        asked = words.select("word", none.alias("n0"), none.alias("n1")).mapInArrow(_spell, "n int, g long, c long, s long, sc long, first boolean, w0 long, w1 long")
-        asked = asked.groupBy("n", "g").agg(*(F.min(x).alias(x) for x in ("c", "s", "first")))
-        asked = scratch.save(asked.join(self.counts.drop("c"), ["n", "g"], "left").join(self.contexts, ["n", "c"], "left").na.fill(0), "asked")
-        known, each = None, []
-        for n in range(1, ORDER + 1):
-            here = asked.where(F.col("n") == n)
-            if known is None:
-                here = here.withColumns({"p0": F.lit(1.0 / (self.letters + 1)), "p1": F.lit(1.0 / (self.letters + 1))})
-            else:
-                here = here.join(known.select(F.col("g").alias("s"), "p0", "p1"), "s")
-            p = lambda k: F.when(F.col(f"t{k}") > 0, F.greatest(F.col(f"w{k}") - DISCOUNT, F.lit(0.0)) / F.col(f"t{k}") + F.lit(DISCOUNT) * F.col(f"k{k}") / F.col(f"t{k}") * F.col(f"p{k}")).otherwise(F.col(f"p{k}")).alias(f"p{k}")
-            known = scratch.save(here.select("n", "g", "first", p(0), p(1)), f"order-{n}")
-            scratch.drop(f"order-{n - 1}")
-            # Under the highest order only the beginnings of words end with such a gram.
-            if 1 < n < ORDER:
-                each.append(scratch.save(known.where("first").drop("first"), f"ends-{n}"))
-        scratch.drop("asked")
-        found = known.drop("first")
-        for more in each:
-            found = found.union(more)
-        logs = found.select("n", "g", (F.log("p1") - F.log("p0")).alias("x"))
-        return words.select("word").mapInArrow(_ends, "word string, n int, g long").join(logs, ["n", "g"]).groupBy("word").agg(F.sum("x").alias("x"))
-
-
 @dataclass
 class Scorer:
     """A fitted model; without both classes among the labels every text has the same score, the share of toxic labels."""
 
-    model: GramTables | None
+    model: KneserNey | None
     calibration: Calibration | None
     prior: float
 
 
-def _measured(docs: DataFrame, model: GramTables, text_col: str, head: int = HEAD) -> tuple[DataFrame, Callable[[pa.RecordBatch], np.ndarray]]:
+def _measured(docs: DataFrame, model: KneserNey, text_col: str, head: int = HEAD) -> tuple[DataFrame, Callable[[pa.RecordBatch], np.ndarray]]:
     """``docs`` with one more column, and a function that gives the features of a batch of its rows.
 
-    All different words of the texts get their difference from the model's tables.
-    Those of the ``head`` most frequent words are sent to every task; the others
-    reach their texts by a join, in the last column, if there are any.
+    All different grams of the texts are looked up in the model's tables. Those of the
+    ``head`` most frequent are sent to every task; the others reach their texts by a
+    join, in the last column, if there are any.
     """
-    scratch = Scratch(docs.sparkSession, "toxicity-words")
-
-    def list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches):
-            flat = letters_only(block.column(0)).flatten().dictionary_encode()
-            n = np.bincount(flat.indices.to_numpy(zero_copy_only=False), minlength=len(flat.dictionary)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([flat.dictionary, pa.array(n)], ["word", "n"])
-
-    words = docs.select(F.col(text_col).alias("text")).mapInArrow(list_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("times"))
-    words = scratch.save(words, "words")
-    words = scratch.save(words.join(model.differences(words, scratch), "word"), "differences")
-    scratch.drop("words", f"order-{ORDER}", *(f"ends-{n}" for n in range(2, ORDER)))
-    # The least number of times for which the words that are so frequent fit into the head.
-    sizes = sorted(((r["times"], r["count"]) for r in words.groupBy("times").count().collect()), reverse=True)
+    scratch = Scratch(docs.sparkSession, "toxicity-grams")
+    asked = docs.select(F.col(text_col).alias("text")).mapInArrow(list_grams(1), "gram string, w0 long").groupBy("gram").agg(F.sum("w0").alias("times"))
+    asked = scratch.save(asked, "times")
+    grams = scratch.save(model.differences(asked, scratch), "differences")
+    # One row for each number of times: the least one for which the grams that are so frequent fit into the head.
+    sizes = sorted(((r["times"], r["count"]) for r in grams.groupBy(F.least("times", F.lit(10_000)).alias("times")).count().collect()), reverse=True)
     total = np.cumsum([n for _, n in sizes])
     fit = int(np.searchsorted(total, head, side="right"))
     least = sizes[fit - 1][0] if fit else float("inf")
-    top = words.where(F.col("times") >= F.lit(least)).select("word", "x").toArrow() if fit else None
-    shared = docs.sparkSession.sparkContext.broadcast(dict(zip(top["word"].to_pylist(), top["x"].to_pylist())) if fit else {})
+    hashes, x = np.zeros(0, np.uint64), np.zeros(0)
+    if fit:
+        top = grams.where(F.col("times") >= F.lit(least)).select("gram", "x").toArrow()
+        # The begin mark of a first letter's gram is its own, so that all grams are spelled alike.
+        hashes, x = _hashes(top["gram"].to_pylist()), top["x"].to_numpy()
+        order = np.argsort(hashes)
+        hashes, x = hashes[order], x[order]
+    shared = docs.sparkSession.sparkContext.broadcast((hashes, x))
     if fit == len(sizes):
-        docs = docs.withColumn("_rare", F.lit(None).cast("array<struct<word:string,x:double>>"))
+        docs = docs.withColumn("_rare", F.lit(None).cast("array<struct<gram:string,x:double>>"))
     else:
-        # Features depend on the text alone, so that equal texts have one row of rare words.
+        # Features depend on the text alone, so that equal texts have one row of rare grams.
         key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
 
         def list_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for block in text_blocks(batches):
+            for block in text_blocks(batches, limit=BLOCK_BYTES):
                 lists = letters_only(block.column(0))
                 flat = lists.flatten().dictionary_encode()
-                rare = np.array([w not in shared.value for w in flat.dictionary.to_pylist()], bool)
-                code = flat.indices.to_numpy(zero_copy_only=False)
+                spelled = Spelled(flat.dictionary.to_pylist())
+                grams, first, which = spelled.distinct()
+                far = ~_found(shared.value[0], spelled.hashes[first])[1]
+                # Rows of the texts' words, then of the words' rare grams.
                 row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
-                pairs = np.unique(np.stack([row[rare[code]], code[rare[code]]], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([block.column(1).take(pa.array(pairs[:, 0])), flat.dictionary.take(pa.array(pairs[:, 1]))], ["key", "word"])
-
-        rare = docs.select(F.col(text_col).alias("text"), key.alias("key")).mapInArrow(list_rare, "key string, word string").distinct()
-        rare = rare.join(words.select("word", "x"), "word").groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("word", "x")).alias("_rare"))
+                pairs = np.unique(np.stack([row, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)], axis=1), axis=0)
+                of_word = np.flatnonzero(far[which])
+                starts = np.searchsorted(spelled.word[of_word], np.arange(len(flat.dictionary) + 1))
+                n = np.diff(starts)
+                at, _ = gather(starts[:-1], n, pairs[:, 1])
+                out = np.unique(np.stack([np.repeat(pairs[:, 0], n[pairs[:, 1]]), which[of_word[at]]], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([block.column(1).take(pa.array(out[:, 0])), pa.array([grams[k] for k in out[:, 1].tolist()], pa.string())], ["key", "gram"])
+
+        rare = docs.select(F.col(text_col).alias("text"), key.alias("key")).mapInArrow(list_rare, "key string, gram string").distinct()
+        rare = rare.join(grams.select("gram", "x"), "gram").groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("gram", "x")).alias("_rare"))
         docs = docs.withColumn("_key", key).join(rare, "_key", "left").drop("_key")
 
     def measure(block: pa.RecordBatch) -> np.ndarray:
-        common = shared.value
         own = block.column(block.num_columns - 1).flatten()
-        rare = dict(zip(own.field("word").to_pylist(), own.field("x").to_pylist()))
-        look = lambda words: np.array([common[w] if w in common else rare[w] for w in words], float)
+        rare_x = own.field("x").to_numpy(zero_copy_only=False)
+        rare_hashes = _hashes(own.field("gram").to_pylist())
+        rare_hashes, first = np.unique(rare_hashes, return_index=True)
+
+        def look(words: list[str]) -> np.ndarray:
+            spelled = Spelled(words)
+            at, near = _found(shared.value[0], spelled.hashes)
+            out = np.zeros(len(at))
+            out[near] = shared.value[1][at[near]]
+            if not near.all():
+                out[~near] = rare_x[first[_found(rare_hashes, spelled.hashes[~near])[0]]]
+            return np.bincount(spelled.word, out, len(words)) * np.array([bool(w) for w in words], float)
+
         return features(look, block.column(block.schema.get_field_index(text_col)))
 
     return docs, measure
 
 
+def _hashes(grams: list[str]) -> np.ndarray:
+    """The hashes that ``Spelled`` gives these grams."""
+    code = np.frombuffer("".join(grams).encode("utf-32-le"), "<u4").astype(np.uint64).reshape(-1, ORDER)
+    hashed = np.zeros(len(code), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(ORDER):
+            hashed = (hashed ^ code[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+            hashed ^= hashed >> np.uint64(31)
+    return hashed
+
+
+def _found(ordered: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each key among ordered ones, and whether it is there."""
+    if not len(ordered):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)
+    return at, ordered[at] == keys
+
+
 def fold(doc_id: Column) -> Column:
     """Four folds by the CRC-32 of the id as text; fold 2 is held out, folds 0 and 1 are counted, fold 3 calibrates."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
@@ -340,36 +301,24 @@ def fold(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", calibration_rows: int = 4000, head: int = HEAD) -> Scorer:
     """Fit on the labelled rows outside fold 2.
 
-    All of folds 0 and 1 are counted on the executors, word by word and then gram by
-    gram; the models stay there as tables. At most ``calibration_rows`` of fold 3,
-    those of the lowest hashes, give the weights of the features. Null labels and ids
-    are left out; of several labels of a document the highest holds. No other column
-    is read.
+    All of folds 0 and 1 are counted on the executors, gram by gram; the models stay
+    there as tables. At most ``calibration_rows`` of fold 3, those of the lowest
+    hashes, give the weights of the features. Null labels and ids are left out; of
+    several labels of a document the highest holds. No other column is read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
-    known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
+    known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = scratch.save(known.withColumn("fold", fold(F.col("id"))).where("fold <> 2"), "labels")
     share = float(known.agg(F.avg("toxic")).head()[0] or 0.0)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches):
-            lists = letters_only(block.column(0))
-            flat = lists.flatten().dictionary_encode()
-            code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            toxic = np.repeat(block.column(1).to_numpy(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)) == 1
-            n = [np.bincount(code[toxic == side], minlength=len(flat.dictionary)).astype(np.int64) for side in (False, True)]
-            yield pa.RecordBatch.from_arrays([flat.dictionary, *map(pa.array, n)], ["word", "n0", "n1"])
-
-    # The fold is known from the id, so that only texts of folds 0 and 1 are dealt out.
-    counted = texts.where(fold(F.col("id")) < 2).join(known.where("fold < 2 AND toxic IN (0, 1)").select("id", "toxic"), "id")
-    words = counted.select("text", "toxic").mapInArrow(count, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("word <> ''")
-    words = scratch.save(words, "words")
-    if not all(words.agg(F.sum("n0"), F.sum("n1")).head()):
+    # The fold is known from the id, so that only texts of folds 0 and 1 are dealt out; labels grow with the texts and are never broadcast.
+    counted = texts.where(fold(F.col("id")) < 2).join(known.where("fold < 2 AND toxic IN (0, 1)").select("id", "toxic").hint("shuffle_hash"), "id")
+    grams = counted.select("text", "toxic").mapInArrow(list_grams(2), "gram string, w0 long, w1 long").groupBy("gram").agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1"))
+    grams = scratch.save(grams.where("w0 + w1 > 0"), "grams")
+    if not all(grams.agg(F.sum("w0"), F.sum("w1")).head()):
         return Scorer(None, None, share)
-    model = GramTables.of(words, scratch)
-    scratch.drop("words")
+    model = KneserNey.of(grams, scratch)
     chosen = known.where("fold = 3").orderBy(F.xxhash64("id", F.lit(11)), "id").limit(calibration_rows).select("id", "toxic").toArrow()
     if not chosen.num_rows:
         return Scorer(None, None, share)
@@ -377,7 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample, features_of = _measured(sample, model, "text", head)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, limit=BLOCK_BYTES):
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(features_of(block).tolist(), pa.list_(pa.float64())), block.column(2)], ["id", "x", "toxic"])
 
     seen = sample.mapInArrow(measure, "id long, x array<double>, toxic int").toArrow().sort_by("id")
@@ -387,23 +336,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Scorer(model, Calibration(np.array(seen["x"].to_pylist()), y), share)
 
 
-def score_toxicity(docs: DataFrame, scorer: Scorer, text_col: str = "text", head: int = HEAD) -> DataFrame:
-    """All columns and rows of ``docs`` with ``toxicity``, a score from 0 to 1 of the whole text alone.
+def score_toxicity(docs: DataFrame, scorer: Scorer, text_col: str = "text", head: int = HEAD, score_col: str = "toxicity", below: float | None = None) -> DataFrame:
+    """All columns and rows of ``docs`` with ``score_col``, a score from 0 to 1 of the whole text alone.
 
-    A column of that name is replaced. Null texts are empty and have the score of a
-    text without words. Each different word is looked up once, at the call; texts are
-    shuffled only if there are more different words than ``head``.
+    A column of that name is replaced. With ``below`` only the rows with a lower score
+    are returned, with the columns of ``docs`` alone: their other columns are not
+    copied before they are rejected. Null texts are empty and have the score of a text
+    without words. Each different gram is looked up once, at the call; texts are
+    shuffled only if there are more different grams than ``head``.
     """
-    docs = docs.drop("toxicity")
     if scorer.model is None:
-        return docs.withColumn("toxicity", F.lit(scorer.prior))
-    kind = StructType([*docs.schema.fields, StructField("toxicity", DoubleType())])
-    docs, features_of = _measured(docs, scorer.model, text_col, head)
-    calibration = scorer.calibration
+        if below is not None:
+            return docs if scorer.prior < below else docs.limit(0)
+        return docs.withColumn(score_col, F.lit(scorer.prior))
+    kept = docs if below is not None else docs.drop(score_col)
+    names = kept.columns
+    # Inside the task columns are known by their place: no name of the table can clash.
+    plain = kept.toDF(*(f"c{k}" for k in range(len(names))))
+    scored, features_of = _measured(plain, scorer.model, f"c{names.index(text_col)}", head)
+    calibration, at = scorer.calibration, names.index(text_col)
+    fields = plain.schema.fields if below is not None else [*plain.schema.fields, StructField("score", DoubleType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches, text_col):
+        for block in text_blocks(batches, f"c{at}", BLOCK_BYTES):
             scores = calibration.score(features_of(block))
-            yield pa.RecordBatch.from_arrays([*block.columns[:-1], pa.array(scores)], [*block.schema.names[:-1], "toxicity"])
+            if below is not None:
+                yield block.select(block.schema.names[:-1]).filter(pa.array(scores < below))
+            else:
+                yield pa.RecordBatch.from_arrays([*block.columns[:-1], pa.array(scores)], [*block.schema.names[:-1], "score"])
 
-    return docs.mapInArrow(run, kind)
+    return scored.mapInArrow(run, StructType(fields)).toDF(*names, *([] if below is not None else [score_col]))
