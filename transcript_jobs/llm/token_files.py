@@ -5,42 +5,39 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from transcript_jobs.llm.batches import Memo, gather, text_blocks
+from transcript_jobs.llm.batches import gather, text_blocks
 from transcript_jobs.llm.bpe import byte_letters, tokenizer_text
 
-#: The words of the lower-casing tokenizer, and chunks whose words can be cut by that pattern alone.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa0-ɏ]*")
-
-CONTROL = regex.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+#: What the lower-casing tokenizer cuts off letters and white space, in texts of plain Latin letters alone. The capital dotted I becomes two letters.
+BESIDE_LETTERS = r"('(?:s|t|re|ve|m|ll|d)|[^\s\x{a0}\pL\pN]+|\pN)"
+PLAIN = r"\A[\t\n\r\x20-\x7e\x{a0}-\x{12f}\x{131}-\x{24f}]*\z"
 
 #: Bytes of text encoded at once.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 2_000_000
 BLOCKS = "file_part int, block int, first_token long, n_tokens long, dictionary string, doc_ids array<{id}>, token_counts array<int>, offsets array<int>, frames binary"
 
 
 class ChunkEncoder:
-    """Encodes texts with the tokenizers library, each distinct word of a block once.
+    """Encodes texts with the tokenizers library, each distinct word lately seen once.
 
-    A tokenizer that drops white space and splits at it encodes the chunks between
-    spaces alone; a chunk in plain Latin letters is cut into words, which the library
-    then encodes. Any other chunk goes to the library whole, and so do the texts of
-    any other tokenizer.
+    Texts in plain Latin letters are cut into words by Arrow, which the library's
+    model then encodes. A tokenizer that drops white space and splits at it encodes
+    the chunks between the spaces of other texts alone. The texts of any other
+    tokenizer go to the library whole.
     """
 
-    def __init__(self, text: str, memory: int = 100_000):
+    def __init__(self, text: str, memory: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -60,12 +57,17 @@ class ChunkEncoder:
             and all(t["content"].startswith("<|") for t in spec["added_tokens"])
         )
         self.letters = byte_letters()
-        self.words = Memo(memory)
+        self.memory = memory
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
     def model(self, words: list[str]) -> list[bytes]:
         """Ids of words that the library's normalizer and pre-tokenizer would hand to its model as they are."""
         tokenize, letter = self.tokenizer.model.tokenize, self.letters.__getitem__
-        return [np.array([t.id for t in tokenize(w if w.isascii() else "".join(map(letter, w.encode())))], "<u4").tobytes() for w in words]
+        ids = [[t.id for t in tokenize(w if w.isascii() else "".join(map(letter, w.encode())))] for w in words]
+        ends = (4 * np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))).tolist()
+        raw = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        return [raw[s:e] for s, e in zip([0, *ends], ends)]
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -76,39 +78,57 @@ class ChunkEncoder:
         if not self.by_word:
             ids = self.library(texts.to_pylist())
             return np.frombuffer(b"".join(ids), "<u4"), np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
+        plain = pc.and_(pc.match_substring_regex(texts, PLAIN), pc.invert(pc.match_substring(texts, "<|")))
+        sides = [(plain, self._words), (pc.invert(plain), self._chunks)]
+        flat, sizes, order = [], [], []
+        for side, lists_of in sides:
+            at = np.flatnonzero(side.to_numpy(zero_copy_only=False))
+            if len(at):
+                ids, ends = self._gathered(*lists_of(texts if len(at) == len(texts) else texts.take(pa.array(at))))
+                flat.append(ids)
+                sizes.append(np.diff(np.concatenate([[0], ends])))
+                order.append(at)
+        if len(order) < 2:
+            return (flat[0], np.cumsum(sizes[0])) if flat else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        sizes, back = np.concatenate(sizes), np.argsort(np.concatenate(order))
+        at, ends = gather(np.cumsum(sizes) - sizes, sizes, back)
+        return np.concatenate(flat)[at], ends
+
+    def _gathered(self, lists: pa.ListArray, codes: np.ndarray, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of lists of codes, and where each list's ids end; ``ids`` has those of each code."""
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at, after = gather(np.cumsum(sizes) - sizes, sizes, codes)
+        return np.frombuffer(b"".join(ids), "<u4")[at], np.concatenate([[0], after])[ends]
+
+    def _words(self, texts: pa.Array) -> tuple[pa.ListArray, np.ndarray, list[bytes]]:
+        """The words of plain texts, cut by Arrow alone, with the ids of each distinct one."""
+        lists = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), BESIDE_LETTERS, r" \1 "))
+        flat = lists.flatten().dictionary_encode()
+        words = flat.dictionary.to_pylist()
+        return lists, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), self._known(self.words, words, self.model)
+
+    def _chunks(self, texts: pa.Array) -> tuple[pa.ListArray, np.ndarray, list[bytes]]:
+        """The chunks between the spaces of any texts, with the ids that the library gives each distinct one."""
         lists = pc.split_pattern(texts, " ")
         flat = lists.flatten().dictionary_encode()
-        codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
         chunks = flat.dictionary.to_pylist()
-        cut, odd = [], set()
-        every = "".join(chunks)
-        calm = "<|" not in every and not CONTROL.search(every)
-        find = WORDS.findall
-        for c in chunks:
-            if calm and c.isascii() or PLAIN.fullmatch(c) and "<|" not in c and (c.isascii() or unicodedata.is_normalized("NFC", c)):
-                cut.append(find(c.lower()))
-            else:
-                # The mark keeps a chunk that the library has to normalize apart from a word of the same letters.
-                cut.append(["\0" + c])
-                odd.add("\0" + c)
-        code: dict[str, int] = {}
-        word_of = np.fromiter((code.setdefault(w, len(code)) for words in cut for w in words), np.int64)
-        n_words = np.fromiter(map(len, cut), np.int64, len(cut))
-        words = list(code)
-        ids = [self.words.get(w) for w in words]
-        missing = [k for k, x in enumerate(ids) if x is None]
-        plain = [k for k in missing if words[k] not in odd]
-        other = [k for k in missing if words[k] in odd]
-        for k, x in [*zip(plain, self.model([words[k] for k in plain])), *zip(other, self.library([words[k][1:] for k in other]))]:
+        return lists, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), self._known(self.chunks, chunks, self.library)
+
+    def _known(self, memo: dict[str, bytes], items: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The ids of each item, from ``memo`` or else encoded; a full memo keeps what these items need."""
+        ids = list(map(memo.get, items))
+        at = [k for k, x in enumerate(ids) if x is None]
+        new = [items[k] for k in at]
+        found = encode(new)
+        for k, x in zip(at, found):
             ids[k] = x
-            self.words.put(words[k], x)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        table = np.frombuffer(b"".join(ids), "<u4")
-        at, _ = gather(np.cumsum(n_words) - n_words, n_words, codes)
-        words_before = np.concatenate([[0], np.cumsum(n_words[codes])])[ends]
-        at, after = gather(np.cumsum(sizes) - sizes, sizes, word_of[at])
-        return table[at], np.concatenate([[0], after])[words_before]
+        if len(memo) + len(new) > self.memory:
+            memo.clear()
+            memo.update(zip(items, ids))
+        else:
+            memo.update(zip(new, found))
+        return ids
 
 
 @lru_cache(maxsize=2)
@@ -119,7 +139,8 @@ def chunk_encoder(text: str) -> ChunkEncoder:
 def train_dictionary(docs: DataFrame, shared, end_id: int, id_col: str, text_col: str, width: int, sample: int = 2000, bytes_each: int = 16_384, size: int = 65_536) -> bytes:
     """A compression dictionary from a bounded sample: the ``sample`` documents of the lowest hashes, ``bytes_each`` of serialized ids from each at most.
 
-    The bounds hold whatever the corpus; compression alone depends on it, no result does.
+    Of a longer document pieces are taken evenly from its whole length. The bounds
+    hold whatever the corpus; compression alone depends on it, no result does.
     """
     order = F.xxhash64(F.col(id_col), F.lit(7))
     chosen = docs.select(F.col(id_col).alias("id")).where(F.col(id_col).isNotNull()).orderBy(order, "id").limit(sample)
@@ -131,7 +152,7 @@ def train_dictionary(docs: DataFrame, shared, end_id: int, id_col: str, text_col
             ids, ends = enc.encode(block.column(1))
             ids = ids.astype(f"<u{width}")
             starts = np.concatenate([[0], ends[:-1]])
-            out = [np.append(ids[s:e], np.array([end_id], ids.dtype)).tobytes()[:bytes_each] for s, e in zip(starts, ends)]
+            out = [_spread(np.append(ids[s:e], np.array([end_id], ids.dtype)), bytes_each // width) for s, e in zip(starts, ends)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
     samples = [r[0] for r in rows.mapInArrow(run, "ids binary").orderBy(F.crc32("ids"), "ids").limit(sample).collect()]
@@ -142,6 +163,14 @@ def train_dictionary(docs: DataFrame, shared, end_id: int, id_col: str, text_col
         return b"".join(bytes(s) for s in samples)[:size]
 
 
+def _spread(ids: np.ndarray, most: int, piece: int = 512) -> bytes:
+    """At most ``most`` ids as bytes, in pieces at equal distances."""
+    if len(ids) <= most:
+        return ids.tobytes()
+    starts = np.linspace(0, len(ids) - piece, max(1, most // piece)).astype(np.int64)
+    return np.concatenate([ids[s : s + piece] for s in starts]).tobytes()
+
+
 def write_token_files(
     docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 500_000, parts: int | None = None
 ) -> None:
@@ -154,8 +183,8 @@ def write_token_files(
     compressed alone, so that one document is read by one slice.
 
     ``end_id`` closes each document; a null text has no other id. Documents with a
-    null id come first; repeated ids are ordered by their frames. An empty table
-    gives no blocks. Documents are dealt to parts by quantiles of the id and
+    null id come first; repeated ids are ordered by their frames. Ids are integers. An
+    empty table gives no blocks. Documents are dealt to parts by quantiles of the id and
     shuffled compressed; a part's ids before each block are counted as it is written.
     """
     spark = docs.sparkSession
