@@ -96,6 +96,12 @@ def test_mix(spark):
     assert mix_sources(docs.limit(0), {"hot": 1.0}).count() == 0
     assert mix_sources(docs, {"hot": 1.0}).where("source <> 'hot' OR source IS NULL").count() == 0
     assert "Python" not in got._jdf.queryExecution().toString()
+    # Columns of any name stay; null ids draw for themselves.
+    odd = docs.select(F.lit(None).cast("long").alias("doc_id"), F.lit("hot").alias("source"), F.col("doc_id").alias("_n"), F.lit(2).alias("steps"), F.lit(3).alias("Splits"), F.col("doc_id").alias("n"))
+    mixed = mix_sources(odd, {"hot": 1.0}, copy_col="c", order_col="o")
+    assert mixed.columns == ["doc_id", "source", "_n", "steps", "Splits", "n", "c", "o"]
+    drawn = [r["m"] for r in mixed.groupBy("n").agg(F.max("c").alias("m"), F.min(F.col("_n") == F.col("n")).alias("same")).where("same").collect()]
+    assert len(drawn) > 2000 and len(set(drawn)) > 3
 
 
 def test_poisson_steps():
@@ -324,6 +330,10 @@ def test_near_duplicates_hard_rows(spark):
     rows = [(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (2, "a b c d"), (7, "x y z q"), (7, "k l m n"), (8, "k l m n")]
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == sorted([(None, None, True), (3, 2, False), (3, 2, False), (2, 2, True), (7, 7, True), (7, 7, True), (8, 7, False)], key=str)
+    # An id with two texts, one of them a copy: each row has the component of its own text.
+    rows = [(1, "a b c d"), (5, "a b c d"), (5, "x y z q"), (6, "x y z q")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1), (5, 1), (5, 5), (6, 5)]
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -340,15 +350,18 @@ def test_sketch_fills_and_estimates():
 
 
 def test_perspectives(spark):
-    turns = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 300, "ann", "Bye"), (2, 0, "system", "Alone."), (None, 0, None, "who"), (3, None, "eve", "x")]
-    d = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").withColumn("part", F.lit(7))
-    got = {(r["conv_id"], r["perspective"], r["part"]): r for r in rotate_perspectives(d).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "ann", 1), (1, "bob", 0), (1, "bob", 1), (None, "unknown", 0), (3, "eve", 0)}
-    ann = got[1, "ann", 0]
-    assert ann["rendered"] == "<|system|>Be kind.<|end|>\n<|assistant|>Hi<|end|>\n<|user:bob|><|end|>\n<|user:bob|><|end|>\n" and ann["n_turns"] == 4
-    assert [ann["rendered"][m["start"] : m["stop"]] for m in ann["mask"]] == ["Hi<|end|>"]
-    assert [got[1, "bob", 0]["rendered"][m["start"] : m["stop"]] for m in got[1, "bob", 0]["mask"]] == ["<|end|>"] * 2
-    assert got[1, "bob", 1]["mask"] == [] and rotate_perspectives(d.limit(0)).count() == 0
+    turns = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 300, "ann", "Bye"), (2, 0, "system", "Alone."), (None, 0, None, "who"), (None, 0, None, "who"), (None, 0, "system", "s"), (3, None, "eve", "x")]
+    d = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").withColumn("piece", F.lit(7))
+    rows = rotate_perspectives(d).collect()
+    got = {(r["conv_id"], r["perspective"]): r for r in rows}
+    assert set(got) == {(1, "ann"), (1, "bob"), (None, "unknown"), (3, "eve")} and len(rows) == 5
+    ann = got[1, "ann"]
+    assert ann["rendered"] == "<|system|>Be kind.<|end|>\n<|assistant|>Hi<|end|>\n<|user:bob|><|end|>\n<|user:bob|><|end|>\n<|assistant|>Bye<|end|>\n" and ann["n_turns"] == 5
+    assert [ann["rendered"][m["start"] : m["stop"]] for m in ann["mask"]] == ["Hi<|end|>", "Bye<|end|>"]
+    assert [got[1, "bob"]["rendered"][m["start"] : m["stop"]] for m in got[1, "bob"]["mask"]] == ["<|end|>"] * 2
+    assert got[None, "unknown"]["rendered"] == "<|assistant|>who<|end|>\n" and rotate_perspectives(d.limit(0)).count() == 0
+    for piece in (1, 2, 10_000):
+        assert sorted(map(str, rotate_perspectives(d, piece=piece).collect())) == sorted(map(str, rows))
     assert "Python" not in rotate_perspectives(d)._jdf.queryExecution().executedPlan().toString()
 
 

@@ -95,6 +95,18 @@ def test_stages_on_hard_rows(spark, tmp_path):
     assert set(corpus_pipeline.run(spark, str(tmp_path)).columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    # Columns whose names the operators use pass through all stages but the last.
+    named = docs.withColumns({c: F.lit(42) for c in ("toxicity", "copy", "mix_key", "n", "id", "text_hash", "score", "gone_id")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        named = stage(spark, named, str(tmp_path))
+        assert named.columns == [*docs.columns, "toxicity", "copy", "mix_key", "n", "id", "text_hash", "score", "gone_id"]
+        assert all(r["copy"] == r["toxicity"] == r["text_hash"] == r["gone_id"] == 42 for r in named.collect())
+
+
+def test_an_id_with_two_texts_keeps_the_one_of_its_own(spark):
+    rows = [(1, "a b c d e f"), (5, "a b c d e f"), (5, "x y z q r s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.drop_near_copies(spark, docs, "").collect())) == [rows[0], rows[2]]
 
 
 def test_sql_of_queries(spark):

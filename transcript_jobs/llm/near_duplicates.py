@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transcript_jobs.llm.batches import text_blocks
@@ -17,6 +17,8 @@ from transcript_jobs.llm.components import components
 from transcript_jobs.plans.scratch import Scratch
 
 FULL = np.uint64(2**64 - 1)
+#: Bytes of text whose shingles a task holds at once.
+BLOCK_BYTES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -118,11 +120,11 @@ def set_names(sets: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
 
 
 def _sketch_rows(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """For each document: its set's size, a 128-bit hash of the set, its band keys, and eight bits of each coordinate."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """For each row: a hash of its text, its set's size, a 128-bit hash of the set, its band keys, and eight bits of each coordinate."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, limit=BLOCK_BYTES):
             sets, sizes = shingle_sets(block.column(1), s.words)
             sk = sketches(sets, sizes, s.size)
             names = set_names(sets, sizes)
@@ -135,11 +137,11 @@ def _sketch_rows(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> Da
             listed = pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)), mask=pa.array(sizes == 0))
             bits = pa.array([low[k * s.size : (k + 1) * s.size] for k in range(len(sizes))], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [block.column(0).cast(pa.int64()), pa.array(sizes), *(pa.array(x) for x in names), listed, bits],
-                ["id", "n", "set1", "set2", "keys", "bits"],
+                [block.column(0), block.column(2), pa.array(sizes), *(pa.array(x) for x in names), listed, bits],
+                ["id", "text_hash", "n", "set1", "set2", "keys", "bits"],
             )
 
-    return rows.mapInArrow(run, "id long, n long, set1 long, set2 long, keys array<long>, bits binary")
+    return rows.mapInArrow(run, "id long, text_hash long, n long, set1 long, set2 long, keys array<long>, bits binary")
 
 
 def _alike(pairs: DataFrame, s: Settings) -> DataFrame:
@@ -155,11 +157,11 @@ def _alike(pairs: DataFrame, s: Settings) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """The full sets of the documents ``wanted`` (rep, set1, set2), made again from their texts alone."""
-    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep")
+    """The full sets of the classes ``wanted`` (rep, id, set1, set2), made again from the texts of their ids alone."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, limit=BLOCK_BYTES):
             sets, sizes = shingle_sets(block.column(1), s.words)
             same = np.all([x == block.column(k).to_numpy() for x, k in zip(set_names(sets, sizes), (2, 3))], axis=0)
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
@@ -174,7 +176,7 @@ def _star_links(docs: DataFrame, pairs: DataFrame, about: DataFrame, s: Settings
     sides = [about.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab"]
     near = pairs.join(sides[0], "a").join(sides[1], "b").where(100 * F.least("n_a", "n_b") >= s.percent * F.greatest("n_a", "n_b"))
     likely = scratch.save(_alike(near, s), "star-pairs")
-    wanted = about.join(likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi").select("rep", "set1", "set2")
+    wanted = about.join(likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi").select("rep", "id", "set1", "set2")
     sets = scratch.save(_sets(docs, wanted, s, id_col, text_col), "star-sets")
     one, two = (sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -184,18 +186,35 @@ def _star_links(docs: DataFrame, pairs: DataFrame, about: DataFrame, s: Settings
     return links
 
 
+def _dealt(open_: DataFrame, s: Settings) -> DataFrame:
+    """``open_`` with the block of each member: by quantiles of the set's size, and those of one quantile that are too many by a hash.
+
+    Counts and quantiles combine before they are shuffled, so that no task sees all
+    members of a center.
+    """
+    # A number for a slice of each group; slices of members keep the quantiles' sketches apart until they are merged.
+    found = open_.groupBy("center", "main").agg(F.count("*").alias("m"), F.percentile_approx("n", F.lit([k / 64 for k in range(1, 64)]), F.lit(1000)).alias("cuts")).where(F.col("m") > s.block)
+    # Of 64 quantiles as many as there are blocks, at equal distances.
+    step = F.greatest(F.lit(1), F.floor(F.lit(64) / F.ceil(F.col("m") / s.block))).cast("int")
+    cuts = F.array_distinct(F.filter("cuts", lambda c, i: (i + 1) % step == 0))
+    large = found.select("center", "main", cuts.alias("cuts"))
+    placed = open_.join(large, ["center", "main"], "left").withColumn("slice", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("n"))), F.lit(0))).drop("cuts")
+    full = placed.groupBy("center", "main", "slice").count().where(F.col("count") > 2 * s.block).select("center", "main", "slice", F.ceil(F.col("count") / s.block).alias("pieces"))
+    placed = placed.join(full, ["center", "main", "slice"], "left")
+    piece = F.coalesce(F.pmod(F.xxhash64("rep", F.lit(9)), F.col("pieces")), F.lit(0))
+    return placed.withColumn("block", F.concat_ws(".", F.lpad(F.col("slice").cast("string"), 3, "0"), F.lpad(piece.cast("string"), 8, "0"))).drop("slice", "pieces")
+
+
 def _block_links(docs: DataFrame, open_: DataFrame, about: DataFrame, s: Settings, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
     """Links between components among the members of each center: ``open_`` has (center, rep, component, main).
 
-    A center's members are dealt to blocks in order of size, those that are joined to
-    it (main) apart from the rest. Pairs of blocks, but for two of main members, are
+    A center's members are dealt to blocks of like size, those that are joined to it
+    (main) apart from the rest. Pairs of blocks, but for two of main members, are
     units of work, unless their sizes alone rule links out. A unit intersects all its
     full sets by one matrix product and returns a tree of links for each component it
     joins, so that its output is no larger than its blocks.
     """
-    place = F.row_number().over(Window.partitionBy("center", "main").orderBy("n", "rep"))
-    dealt = open_.join(about.select("rep", "n"), "rep").withColumn("block", F.floor((place - 1) / s.block).cast("int"))
-    dealt = scratch.save(dealt, "dealt")
+    dealt = scratch.save(_dealt(open_.join(about.select("rep", "n"), "rep"), s), "dealt")
     blocks = dealt.groupBy("center", "main", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     sides = [blocks.select("center", *[F.col(c).alias(f"{c}{k}") for c in ("main", "block", "low", "high")]) for k in (1, 2)]
     order = F.struct("main1", "block1") <= F.struct("main2", "block2")
@@ -204,9 +223,11 @@ def _block_links(docs: DataFrame, open_: DataFrame, about: DataFrame, s: Setting
     units = units.withColumn("same", (F.col("main1") == F.col("main2")) & (F.col("block1") == F.col("block2")))
     ends = F.array(F.struct(F.lit(1).alias("side"), F.col("main1").alias("main"), F.col("block1").alias("block")), F.struct(F.lit(2).alias("side"), F.col("main2").alias("main"), F.col("block2").alias("block")))
     asked = units.select("center", F.concat_ws(":", F.col("main1").cast("string"), "block1", F.col("main2").cast("string"), "block2").alias("unit"), "same", F.inline(ends)).where(~F.col("same") | (F.col("side") == 1))
-    wanted = about.join(dealt.select("rep").distinct(), "rep", "left_semi").select("rep", "set1", "set2")
+    wanted = about.join(dealt.select("rep").distinct(), "rep", "left_semi").select("rep", "id", "set1", "set2")
     sets = scratch.save(_sets(docs, wanted, s, id_col, text_col), "block-sets")
     rows = asked.join(dealt.select("center", "main", "block", "rep", "component"), ["center", "main", "block"]).join(sets, "rep")
+    # One key for a unit, so that the units of a center are dealt to all tasks.
+    rows = rows.withColumn("unit", F.struct("center", "unit"))
 
     def run(table: pa.Table) -> pa.Table:
         rep, comp, side = (table[c].to_numpy() for c in ("rep", "component", "side"))
@@ -243,7 +264,7 @@ def _block_links(docs: DataFrame, open_: DataFrame, about: DataFrame, s: Setting
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    links = scratch.save(rows.groupBy("center", "unit").applyInArrow(run, "a long, b long"), "block-links")
+    links = scratch.save(rows.select("unit", "rep", "component", "side", "same", "shingles").groupBy("unit").applyInArrow(run, "a long, b long"), "block-links")
     scratch.drop("block-sets")
     return links
 
@@ -254,11 +275,11 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     ``component_id`` is the smallest id reachable by links, ``kept`` whether it is the
     row's own. Null and empty texts, and texts without words, have no shingles and no
     links. A row with a null id is linked with nothing, has a null component and is
-    kept. Rows that repeat an id are one document; if
-    their texts differ, each row takes the component of its own text, and an id that
-    stands for several texts is linked by that with the least hash. Other columns are ignored; an empty table gives no rows.
+    kept. Rows that repeat an id are rows like any other, each with the component of
+    its own text. A last column ``text_hash`` (xxhash64 of the text) tells them apart.
+    Other columns are ignored; an empty table gives no rows.
 
-    Documents with one and the same set form a class, represented by its smallest id.
+    Documents with one and the same set form a class, which has a number.
     Representatives that share a band key form a bucket. Its center is the member that
     shares most buckets with others, and is compared with all members of its buckets,
     not all pairs; links join documents to components. Members of one center that are
@@ -272,13 +293,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     sk = scratch.save(_sketch_rows(docs, s, id_col, text_col), "sketches")
     usable = sk.where("id IS NOT NULL AND n > 0")
     first = F.min_by(F.struct("id", "n", "keys", "bits"), "id").alias("r")
-    reps = scratch.save(usable.groupBy("set1", "set2").agg(first).select(F.col("r.id").alias("rep"), "set1", "set2", "r.n", "r.keys", "r.bits"), "classes")
-    classes = reps.select("set1", "set2", "rep")
-    if not classes.groupBy("rep").count().where("count > 1").isEmpty():
-        # Rows of one id but other texts: the least set stands for the id.
-        least = F.min_by(F.struct("set1", "set2", "n", "keys", "bits"), F.struct("set1", "set2")).alias("r")
-        reps = scratch.save(reps.groupBy("rep").agg(least).select("rep", "r.*"), "one-for-an-id")
-    about = reps.select("rep", "set1", "set2", "n", "bits")
+    # The number is drawn once and written; whatever reads it later sees the same one.
+    reps = usable.groupBy("set1", "set2").agg(first).select(F.monotonically_increasing_id().alias("rep"), "r.id", "set1", "set2", "r.n", "r.keys", "r.bits")
+    reps = scratch.save(reps, "classes")
+    about = reps.select("rep", "id", "set1", "set2", "n", "bits")
 
     bands = reps.select("rep", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -300,8 +318,11 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     if not more.isEmpty():
         joined = components(scratch, links.union(more), "all-components")
 
-    groups = classes.join(joined, F.col("rep") == F.col("node"), "left").select("set1", "set2", F.coalesce("component", "rep").alias("group"))
-    found = sk.select("id", "n", "set1", "set2").join(groups, ["set1", "set2"], "left")
-    component = F.when(F.col("n") > 0, F.col("group")).otherwise(F.col("id"))
-    found = found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))
-    return found.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    groups = reps.select("rep", "id", "set1", "set2").join(joined, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
+    lowest = groups.groupBy("component").agg(F.min("id").alias("component_id"))
+    groups = groups.join(lowest, "component").select("set1", "set2", "component_id")
+    linked = usable.select("id", "n", "text_hash", "set1", "set2").join(groups, ["set1", "set2"]).select("id", "n", "component_id", "text_hash")
+    alone = sk.where("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component_id"), "text_hash")
+    found = linked.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "text_hash")
+    kept = F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))
+    return found.select(id_col, "n_shingles", "component_id", kept.alias("kept"), "text_hash")

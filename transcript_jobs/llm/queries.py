@@ -88,7 +88,7 @@ def op5_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op7_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,17 +122,17 @@ ORACLES = {
         SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, least(s.doc_id, coalesce(l.low, s.doc_id)) AS component_id, s.doc_id = least(s.doc_id, coalesce(l.low, s.doc_id)) AS kept
         FROM sets s LEFT JOIN low l ON l.a = s.doc_id""",
     "op7_perspectives": """
-        WITH lines AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text, coalesce(floor(turn / 256), 0)::BIGINT AS part FROM conversations),
-        people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM lines WHERE speaker <> 'system'),
+        WITH lines AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations),
+        people AS (SELECT DISTINCT conv_id, alone, speaker AS perspective FROM lines WHERE speaker <> 'system'),
         seen AS (SELECT l.*, perspective, speaker = perspective AS own,
                  CASE WHEN speaker = perspective THEN '<|assistant|>' WHEN speaker = 'system' THEN '<|system|>' ELSE '<|user:' || speaker || '|>' END AS head
-                 FROM lines l JOIN people p ON l.conv_id IS NOT DISTINCT FROM p.conv_id),
-        placed AS (SELECT *, coalesce(sum(length(head) + length(text) + 8) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, speaker, text
+                 FROM lines l JOIN people p ON l.conv_id IS NOT DISTINCT FROM p.conv_id AND l.alone IS NOT DISTINCT FROM p.alone),
+        placed AS (SELECT *, coalesce(sum(length(head) + length(text) + 8) OVER (PARTITION BY conv_id, alone, perspective ORDER BY turn NULLS FIRST, speaker, text
                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begins FROM seen)
-        SELECT conv_id, perspective, part, count(*)::INTEGER AS n_turns,
+        SELECT conv_id, perspective, count(*)::INTEGER AS n_turns,
                string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY begins) AS rendered,
                coalesce(string_agg(CASE WHEN own THEN begins::BIGINT || '-' || (begins + length(text) + 7)::BIGINT END, ',' ORDER BY begins), '') AS mask
-        FROM placed GROUP BY conv_id, perspective, part""",
+        FROM placed GROUP BY conv_id, alone, perspective""",
     "op8_near_embeddings": """
         WITH RECURSIVE good AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
                                 WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
