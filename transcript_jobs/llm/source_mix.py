@@ -43,39 +43,60 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float], other_weight: f
     return {s: (total or n) * wanted[s] / share / counts[s] if s in wanted else 0.0 for s in counts}
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float], other_weight: float = 0.0, total: int | None = None, seed: int = 0, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores after it as keep it apart from ``columns`` (case aside)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def mix_sources(
+    docs: DataFrame,
+    weights: dict[str, float],
+    other_weight: float = 0.0,
+    total: int | None = None,
+    seed: int = 0,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    copy_col: str = "copy",
+    order_col: str = "mix_key",
+) -> DataFrame:
     """Replicate documents so that sources take their target shares, and shuffle all copies.
 
     Each document is repeated k times, k drawn from a Poisson distribution whose mean
     is its source's target rows over its rows, by inverting the cumulative
     distribution at a hash of seed and ``id_col``. A k of 0 leaves the document out:
     that is the sampling this operator is for. Returns the columns of ``docs`` with
-    ``copy`` (from 1) and ``mix_key`` (the hash that orders all copies); a column of
-    ``docs`` with one of these names is replaced.
+    ``copy_col`` (from 1) and ``order_col`` (the hash that orders all copies); a column
+    of ``docs`` with one of these names is replaced, all others stay.
 
     ``weights`` gives relative target weights; sources outside it, null ones
     included, share ``other_weight``; sources without rows leave their share to the
     rest. ``total`` is the expected number of rows, by default that of ``docs``.
-    Null ids hash as the text ``null``; rows with equal ids draw equal counts. An
-    empty table stays empty.
+    A null id is stood for by a hash of the whole row; rows with equal ids draw equal
+    counts. Null and empty texts are rows like any other. An empty table stays empty.
 
     One shuffle, by a hash of (id, copy): no source, however large, meets in one task.
     """
     rates = repetition_rates(docs, weights, other_weight, total, source_col)
-    docs = docs.drop("copy", "mix_key")
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    docs = docs.drop(copy_col, order_col)
+    steps_col, splits_col, n_col = free_names([*docs.columns, copy_col, order_col], "steps", "splits", "n")
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))))
     drawn = F.lit(0)
     if used := {s: r for s, r in rates.items() if r}:
         splits = {s: math.ceil(r / PART_MEAN) for s, r in used.items()}
         tables = {s: F.array(*map(F.lit, cumulative(r / splits[s]))) for s, r in used.items()}
         source = F.when(F.col(source_col).isin(list(weights)), F.col(source_col)).otherwise(F.lit(OTHERS))
         pick = lambda of: F.create_map(*[F.lit(x) if i == 0 else x for s, v in of.items() for i, x in enumerate((OTHERS if s is None else s, v))])[source]
-        docs = docs.withColumn("_steps", pick(tables)).withColumn("_splits", pick({s: F.lit(n) for s, n in splits.items()}))
-        below = lambda part: F.size(F.filter("_steps", lambda step: step <= uniform(F.concat(F.lit(f"{seed}:"), part.cast("string")), key)))
-        drawn = F.when(F.col("_splits") == 1, below(F.lit(1))).when(F.col("_splits") > 1, F.aggregate(F.sequence(F.lit(1), F.col("_splits")), F.lit(0), lambda n, part: n + below(part))).otherwise(0)
-        docs = docs.withColumn("_n", drawn).drop("_steps", "_splits")
-    else:
-        docs = docs.withColumn("_n", drawn)
-    copies = docs.where(F.col("_n") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
-    copies = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"{seed}:order"), key, F.col("copy").cast("string")).cast("binary")))
-    return copies.repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
+        docs = docs.withColumn(steps_col, pick(tables)).withColumn(splits_col, pick({s: F.lit(n) for s, n in splits.items()}))
+        n = F.col(splits_col)
+        below = lambda part: F.size(F.filter(steps_col, lambda step: step <= uniform(F.concat(F.lit(f"{seed}:"), part.cast("string")), key)))
+        drawn = F.when(n == 1, below(F.lit(1))).when(n > 1, F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda k, part: k + below(part))).otherwise(0)
+    docs = docs.withColumn(n_col, drawn).drop(steps_col, splits_col)
+    copies = docs.where(F.col(n_col) > 0).withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.col(n_col)))).drop(n_col)
+    copies = copies.withColumn(order_col, F.md5(F.concat_ws("|", F.lit(f"{seed}:order"), key, F.col(copy_col).cast("string")).cast("binary")))
+    return copies.repartition(F.col(order_col)).sortWithinPartitions(order_col)
