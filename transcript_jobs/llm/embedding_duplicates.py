@@ -246,6 +246,8 @@ def _all_links(nodes: DataFrame, s: Settings) -> DataFrame:
     dealt = nodes.join(sizes, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("one"), F.greatest(o, F.col("own")).alias("two")))
     cut = dealt.select("label", "dim", "node", "double", F.inline(pairs))
+    # One key for a pair of blocks, so that a label's pairs are dealt to all tasks.
+    cut = cut.select("node", "double", F.struct("label", "dim", "one", "two").alias("unit"))
 
     def run(table: pa.Table) -> pa.Table:
         node = table["node"].to_numpy()
@@ -261,7 +263,7 @@ def _all_links(nodes: DataFrame, s: Settings) -> DataFrame:
         some = low != np.arange(len(node))
         return pa.table({"a": node[some], "b": node[low[some]]})
 
-    return cut.groupBy("label", "dim", "one", "two").applyInArrow(run, "a long, b long")
+    return cut.groupBy("unit").applyInArrow(run, "a long, b long")
 
 
 def _count_links(grouped: DataFrame, s: Settings) -> DataFrame:
@@ -270,6 +272,8 @@ def _count_links(grouped: DataFrame, s: Settings) -> DataFrame:
     dealt = grouped.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("one"), F.greatest(o, F.col("own")).alias("two")))
     units = dealt.select("component", "node", "rows", "double", "own", F.inline(pairs))
+    # One key for a pair of blocks, so that a component's pairs are dealt to all tasks.
+    units = units.select("node", "rows", "double", "own", "one", "two", F.struct("component", "one", "two").alias("unit"))
 
     def run(table: pa.Table) -> pa.Table:
         node, rows, own = (table[c].to_numpy() for c in ("node", "rows", "own"))
@@ -281,7 +285,7 @@ def _count_links(grouped: DataFrame, s: Settings) -> DataFrame:
             return pa.table({"node": node[left], "n": linked @ rows[right]})
         return pa.table({"node": np.concatenate([node[left], node[right]]), "n": np.concatenate([linked @ rows[right], linked.T @ rows[left]])})
 
-    return units.groupBy("component", "one", "two").applyInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    return units.groupBy("unit").applyInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
 
 
 def _grouped(scratch: Scratch, nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
