@@ -18,6 +18,10 @@ from transcript_jobs.llm.pretokens import PIECES, units
 from transcript_jobs.llm.ragged import NEVER, merge_words
 
 
+#: Bytes from which a word that fails is merged with a heap instead of in rounds; both give the same tokens.
+LONG_WORD = 256
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in vocabularies of byte-level BPE."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -191,6 +195,10 @@ class Encoder:
         raw, ends = flat.astype("<i4").tobytes(), (4 * np.cumsum(sizes)).tolist()
         out = [raw[s:e] for s, e in zip([0, *ends], ends)]
         again = np.flatnonzero(bad).tolist()
+        # Rounds over all words at once pay for short words; a long one would need many, and is merged alone.
+        for k in [k for k in again if len(words[k]) > LONG_WORD]:
+            out[k] = np.array(self.v.merge(words[k]), "<i4").tobytes()
+        again = [k for k in again if len(words[k]) <= LONG_WORD]
         merged, sizes = merge_words(self.v, [words[k] for k in again])
         raw, ends = merged.astype("<i4").tobytes(), (4 * np.cumsum(sizes)).tolist()
         for k, s, e in zip(again, [0, *ends], ends):
