@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,12 +20,25 @@ IGNORED = ("チャンネル登録", "高評価", "こんにちは", "さよう
 ACCEPT, SURE = 0.65, 0.95
 
 
+#: The decimal digits of all scripts, and those of ASCII that they stand for.
+DIGITS = [c for c in map(chr, range(128, 0x20000)) if unicodedata.category(c) == "Nd"]
+ASCII_DIGITS = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
+
+
+def digits_only(c: Column) -> Column:
+    """The decimal digits of a text, of whatever script, in ASCII."""
+    return F.regexp_replace(F.translate(c, "".join(DIGITS), ASCII_DIGITS), r"[^0-9]", "")
+
+
 def parse_candidates(output: Column) -> Column:
-    """Tagged findings as ``array<struct<quote, type, reason>>``, empty if the output says that there are none."""
+    """Tagged findings as ``array<struct<quote, type, reason>>``, empty if the output says that there are none.
+
+    A type without digits, or with more than an int holds, is 0.
+    """
     field = lambda entry, tag: strip(F.regexp_extract(entry, rf"(?s)<{tag}>(.*?)</{tag}>", 1))
     entries = F.regexp_extract_all(output, F.lit(r"(?s)<CANDIDATE>(.*?)</CANDIDATE>"), F.lit(1))
-    digits = lambda e: F.regexp_replace(field(e, "TYPE"), r"\D", "")
-    parsed = F.transform(entries, lambda e: F.struct(field(e, "QUOTE").alias("quote"), F.when(digits(e) != "", digits(e).cast("int")).otherwise(0).alias("type"), field(e, "REASON").alias("reason")))
+    number = lambda e: F.coalesce(digits_only(field(e, "TYPE")).try_cast("int"), F.lit(0))
+    parsed = F.transform(entries, lambda e: F.struct(field(e, "QUOTE").alias("quote"), number(e).alias("type"), field(e, "REASON").alias("reason")))
     good = F.filter(parsed, lambda c: (c["quote"] != "") & ~c["quote"].rlike("|".join(IGNORED)))
     none = output.isNull() | output.rlike("|".join(NOTHING))
     return F.when(none, F.array().cast("array<struct<quote:string,type:int,reason:string>>")).otherwise(good)
@@ -39,25 +55,52 @@ def candidate_rows(outputs: DataFrame, output: str = "output", least: int = 5) -
     return rows.where(F.length("quote") >= least)
 
 
-def best_ratio(quote: str, sentences: list[str], floor: float) -> tuple[float, int]:
-    """The first sentence of the highest similarity ratio above ``floor``; bounds that cost less rule sentences out first."""
+def letter_counts(quote: str, sentences: list[str]) -> np.ndarray:
+    """How often each sentence has each letter of the quote, a row for each sentence."""
+    code = {c: k for k, c in enumerate(dict.fromkeys(quote))}
+    flat = np.frombuffer("".join(sentences).encode("utf-32-le"), "<u4")
+    known = np.array([ord(c) for c in code], np.uint32)
+    order = np.argsort(known)
+    at = np.minimum(np.searchsorted(known[order], flat), len(known) - 1)
+    hit = known[order][at] == flat
+    row = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
+    return np.bincount(row[hit] * len(code) + order[at[hit]], minlength=len(sentences) * len(code)).reshape(len(sentences), len(code))
+
+
+def best_ratio(quote: str, sentences: list[str], counts: np.ndarray, floor: float) -> tuple[float, int]:
+    """The first sentence of the highest similarity ratio above ``floor``.
+
+    Shared letters, whatever their order, bound a ratio from above: sentences are
+    compared in descending order of that bound, until none can be better.
+    """
+    if not sentences:
+        return floor, -1
+    of_quote = np.array(list(Counter(quote).values()))
+    total = len(quote) + np.array([len(s) for s in sentences])
+    bound = 2.0 * np.minimum(counts, of_quote).sum(axis=1) / total
     best, at = floor, -1
     matcher = SequenceMatcher(None)
-    for i, s in enumerate(sentences):
-        if not s or 2 * min(len(quote), len(s)) <= best * (len(quote) + len(s)):
-            continue
-        matcher.set_seqs(quote, s)
-        if matcher.quick_ratio() > best and (r := matcher.ratio()) > best:
-            best, at = r, i
+    for i in np.argsort(-bound, kind="stable").tolist():
+        if bound[i] < best or bound[i] <= floor:
+            break
+        if sentences[i]:
+            matcher.set_seqs(quote, sentences[i])
+            r = matcher.ratio()
+            if r > best or r == best and 0 <= i < at:
+                best, at = r, i
     return best, at
 
 
 def align_rest(quotes: pd.Series, sentences: pd.Series) -> pd.DataFrame:
-    """Similarity of quotes that no sentence holds: single sentences first, then neighbours joined."""
+    """Similarity of quotes that no sentence holds: single sentences first, then neighbours joined. Nulls, which need none, stay null."""
     rows = []
     for q, s in zip(quotes, sentences):
+        if q is None or s is None:
+            rows.append((None, None))
+            continue
         s = list(s)
-        score, at = best_ratio(q, s, 0.0)
+        counts = letter_counts(q, s)
+        score, at = best_ratio(q, s, counts, 0.0)
         if score < SURE:
             pairs = [a + b for a, b in zip(s, s[1:])]
             held = next((i for i, p in enumerate(pairs) if q in p), -1)
@@ -65,18 +108,18 @@ def align_rest(quotes: pd.Series, sentences: pd.Series) -> pd.DataFrame:
             if held >= 0:
                 score, at = 1.0, held
             else:
-                pair_score, pair_at = best_ratio(q, pairs, score)
+                pair_score, pair_at = best_ratio(q, pairs, counts[:-1] + counts[1:], score)
                 if pair_at >= 0:
                     score, at = pair_score, pair_at
         rows.append((score, at))
-    return pd.DataFrame(rows, columns=["score", "at"])
+    return pd.DataFrame(rows, columns=["score", "at"]).astype({"score": "float64", "at": "Int32"})
 
 
 def align_quotes(rows: DataFrame, quote: str = "quote", sentences: str = "sentences", window: int = 2) -> DataFrame:
     """Where each quote stands in its source's sentences: ``found, context, score, error``.
 
     A sentence that holds the normalised quote is found by built-in functions; only
-    quotes that none holds go to the matcher. The context is ``window`` sentences
+    quotes that none holds go to the matcher, all in one pass. The context is ``window`` sentences
     before to ``window + 1`` after. The sentences travel with the row, so that there
     is no shuffle.
     """
@@ -84,10 +127,10 @@ def align_quotes(rows: DataFrame, quote: str = "quote", sentences: str = "senten
     rows = rows.withColumn("_q", search_form(F.col(quote))).withColumn("_s", F.transform(F.col(sentences), search_form))
     rows = rows.withColumn("_hit", F.array_position(F.transform("_s", lambda s: (s != "") & s.contains(F.col("_q"))), True).cast("int") - 1)
     empty, hit = F.coalesce(F.col("_q") == "", F.lit(True)), F.coalesce(F.col("_hit") >= 0, F.lit(False))
-    rest = rows.where(~empty & ~hit).withColumn("_r", F.pandas_udf(align_rest, "score double, at int")("_q", "_s"))
-    done = rows.where(empty | hit).withColumn("_r", F.when(hit & ~empty, F.struct(F.lit(1.0).alias("score"), F.col("_hit").alias("at"))))
-    both = rest.unionByName(done)
-    score, at = F.col("_r")["score"], F.col("_r")["at"]
+    asks = ~empty & ~hit
+    both = rows.withColumn("_r", F.pandas_udf(align_rest, "score double, at int")(F.when(asks, F.col("_q")), F.when(asks, F.col("_s"))))
+    score = F.when(asks, F.col("_r")["score"]).when(hit & ~empty, F.lit(1.0))
+    at = F.when(asks, F.col("_r")["at"]).when(hit & ~empty, F.col("_hit"))
     found = F.coalesce((score >= ACCEPT) & (at >= 0), F.lit(False))
     error = F.when(F.coalesce(F.col("_q") == "", F.lit(True)), "quote_empty").when(~found, "low_confidence_match")
     return both.select(*kept, found.alias("found"), F.when(found, context_window(F.col(sentences), at, window)).otherwise("").alias("context"), score.alias("score"), error.alias("error"))
@@ -112,22 +155,27 @@ def screening_records(videos: DataFrame, candidates: DataFrame) -> DataFrame:
     return joined.select("video_id", "label", F.coalesce(F.size("candidates"), F.lit(0)).alias("flagged_count"), F.coalesce("candidates", F.array().cast(grouped.schema["candidates"].dataType)).alias("candidates"))
 
 
+#: Of the places of a merged text every so manieth is indexed.
+STRIDE = 8
+
+
 def merge_fragments(fragments: list[str], least: int = 10, gap: str = "\n……\n") -> str:
     """Fragments in order, without repeats and contained ones, joined where an end and a start overlap by ``least`` characters or more."""
     merged, seed, done = "", max(1, least), 0
-    # Where each run of ``seed`` characters begins, so that a fragment is compared at few places of a long text.
+    # Where every STRIDE-th run of ``seed`` characters begins, so that a fragment is compared at few places of a long text.
     places: dict[str, list[int]] = {}
+    held = lambda part: any(merged.startswith(part, at - o) for o in range(STRIDE) for at in places.get(part[o : o + seed], ()) if at >= o)
     for k, part in enumerate(dict.fromkeys(fragments)):
         if not k:
             merged = part
-        elif len(part) < seed and part in merged or any(merged.startswith(part, at) for at in places.get(part[:seed], ())):
+        elif part in merged if len(part) < seed + STRIDE else held(part):
             continue
         else:
             n = next((n for n in range(min(len(merged), len(part)), least - 1, -1) if merged.endswith(part[:n])), 0)
             merged += part[n:] if n else gap + part
-        for at in range(done, len(merged) - seed + 1):
+        for at in range(done, len(merged) - seed + 1, STRIDE):
             places.setdefault(merged[at : at + seed], []).append(at)
-        done = max(done, len(merged) - seed + 1)
+            done = at + STRIDE
     return merged
 
 
@@ -147,9 +195,8 @@ def route(records: DataFrame, videos: DataFrame, order: str = "ord") -> DataFram
     trusted = F.filter("candidates", lambda c: ~F.coalesce(c["requires_full_context_check"], F.lit(False)))
     contexts = F.transform(trusted, lambda c: F.coalesce(c["context_step2"], F.lit("")))
     joined = joined.withColumn("_parts", contexts)
-    some = joined.where((F.col("flagged_count") > 0) & (F.size("_parts") > 0)).withColumn("_merged", merged(F.col("_parts")))
-    rest = joined.where((F.col("flagged_count") <= 0) | (F.size("_parts") <= 0)).withColumn("_merged", F.lit(None).cast("string"))
-    both = some.unionByName(rest)
+    some = (F.col("flagged_count") > 0) & (F.size("_parts") > 0)
+    both = joined.withColumn("_merged", merged(F.when(some, F.col("_parts")))).withColumn("_merged", F.when(some, F.col("_merged")))
     flagged, has = F.col("flagged_count") > 0, F.col("_merged").isNotNull()
     blank = has & (strip(F.col("_merged")) == "")
     empty_full = ~has & (strip(F.coalesce(F.col("v.transcript"), F.lit(""))) == "")
