@@ -55,7 +55,7 @@ def search_form(c: Column) -> Column:
 
 def sentences_by_punctuation(c: Column) -> Column:
     """Sentences that end with a terminator and the punctuation right after it; a dot between digits ends none."""
-    parts = F.split(F.coalesce(c, F.lit("")), r"(?<=[。！？!?｡．.]\p{P}{0,8})(?!\p{P})(?<!\d\.(?=\d))")
+    parts = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?s).*?(?:[。！？!?｡．.]\p{P}{0,8}(?!\p{P})(?<!\d\.(?=\d))|\z)"), F.lit(0))
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 

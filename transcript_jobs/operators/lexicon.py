@@ -35,11 +35,24 @@ def match_vocabulary(vocabulary: DataFrame, rules: DataFrame, categories: DataFr
 
 
 def category_scores(texts: DataFrame, rules: DataFrame, categories: DataFrame, id_col: str = "video_id", text_col: str = "text", pattern: str = r"\p{L}+") -> DataFrame:
-    """100 x hits / tokens of every document and category, 0 where there are none: ``id_col, cat_id, name, score``."""
-    counts = token_counts(texts, id_col, text_col, pattern)
-    totals = counts.groupBy("id").agg(F.sum("n").alias("total"))
-    hits = match_vocabulary(counts, rules, categories)
-    sums = counts.join(hits, "token").groupBy("id", "cat_id").agg(F.sum(F.col("n") * F.col("hits")).alias("hits"))
+    """100 x hits / tokens of every document and category, 0 where there are none: ``id_col, cat_id, name, score``.
+
+    Each word of a text meets the lexicon where it stands, under itself and under its
+    beginnings of the lengths that prefix rules have; hits combine before the shuffle,
+    so that no word, however frequent, meets in one task. Rules count as in
+    ``match_vocabulary``.
+    """
+    known = rules.join(F.broadcast(categories.select("cat_id")), "cat_id", "left_semi")
+    exact = known.where(~F.col("is_prefix")).select(F.lit(0).alias("k"), "pattern", "cat_id").distinct()
+    prefix = known.where("is_prefix").select("rule_id", F.length("pattern").alias("k"), "pattern", "cat_id").distinct().select("k", "pattern", "cat_id")
+    # A lexicon's prefix lengths: a handful of numbers.
+    lengths = sorted(r[0] for r in prefix.select("k").distinct().collect())
+    words = texts.select(F.col(id_col).alias("id"), tokens(F.col(text_col), pattern).alias("w"))
+    totals = words.groupBy("id").agg(F.sum(F.size("w")).alias("total"))
+    each = words.select("id", F.explode("w").alias("token"))
+    keys = F.array(F.struct(F.lit(0).alias("k"), F.col("token").alias("pattern")), *[F.struct(F.lit(k).alias("k"), F.substring("token", 1, k).alias("pattern")) for k in lengths])
+    asked = each.select("id", "token", F.inline(keys)).where((F.col("k") == 0) | (F.length("token") >= F.col("k"))).drop("token")
+    sums = asked.join(F.broadcast(exact.unionByName(prefix)), ["k", "pattern"]).groupBy("id", "cat_id").agg(F.count("*").alias("hits"))
     # Categories of a lexicon are few; every document has a row for each.
     listed = F.array_sort(F.collect_list(F.struct("cat_id", "name")))
     all_ = categories.groupBy().agg(listed.alias("cats"))

@@ -18,9 +18,10 @@ def rouge_n(pairs: DataFrame, n: int, key: list[str], reference: str = "referenc
     Both sides' n-grams are tagged and counted in one shuffle; a pair is then summed
     in place. Pairs without n-grams on a side score 0.
     """
-    grams = lambda c: ngrams(tokens(F.col(c), pattern), n)
-    sides = F.array(F.struct(F.lit(0).alias("side"), grams(reference).alias("g")), F.struct(F.lit(1).alias("side"), grams(prediction).alias("g")))
-    each = pairs.select(*key, F.inline(sides)).select(*key, "side", F.explode("g").alias("gram"))
+    # One row for each side, so that a text is cut into words once and not again for each n-gram.
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col(reference).alias("text")), F.struct(F.lit(1).alias("side"), F.col(prediction).alias("text")))
+    words = pairs.select(*key, F.inline(sides)).select(*key, "side", tokens(F.col("text"), pattern).alias("words"))
+    each = words.select(*key, "side", F.explode(ngrams(F.col("words"), n)).alias("gram"))
     side = lambda k: F.sum(F.when(F.col("side") == k, 1).otherwise(0))
     counts = each.groupBy(*key, "gram").agg(side(0).alias("r"), side(1).alias("p"))
     sums = counts.groupBy(*key).agg(F.sum(F.least("r", "p")).alias("hit"), F.sum("r").alias("r"), F.sum("p").alias("p"))
@@ -78,23 +79,30 @@ def greedy_match(prediction: Column, reference: Column) -> Column:
     return F.pandas_udf(run, "precision double, recall double, f1 double")(prediction, reference)
 
 
+def word_set(sentence: Column) -> Column:
+    """The different words of a sentence, as hashes."""
+    return F.array_distinct(F.transform(tokens(sentence), lambda w: F.xxhash64(w)))
+
+
 def containment(source: Column, summary: Column) -> Column:
-    """A stand-in pair score: the share of the summary sentence's words that the source sentence has."""
-    words = F.array_distinct(tokens(summary))
-    shared = F.size(F.array_intersect(words, tokens(source)))
-    return F.when(F.size(words) > 0, shared / F.size(words)).otherwise(F.lit(0.0))
+    """A stand-in pair score of two word sets: the share of the summary sentence's words that the source sentence has."""
+    return F.when(F.size(summary) > 0, F.size(F.array_intersect(summary, source)) / F.size(summary)).otherwise(F.lit(0.0))
 
 
-def consistency(pairs: DataFrame, key: list[str], source_sentences: str, summary_sentences: str, scorer: Callable[[Column, Column], Column] = containment) -> DataFrame:
+def consistency(
+    pairs: DataFrame, key: list[str], source_sentences: str, summary_sentences: str, prepare: Callable[[Column], Column] = word_set, scorer: Callable[[Column, Column], Column] = containment
+) -> DataFrame:
     """Mean over summary sentences of the best score against any source sentence.
 
-    The sentences of a pair are crossed within its own row, so that no document meets
-    all others; the maxima combine before the shuffle.
+    ``prepare`` is taken of each sentence once, ``scorer`` of each two prepared ones.
+    The sentences of a pair are crossed within its own row: there is no shuffle. Pairs
+    without sentences on a side have no row.
     """
-    summary = pairs.select(*key, source_sentences, F.posexplode(summary_sentences).alias("j", "summary_sentence"))
-    crossed = summary.select(*key, "j", "summary_sentence", F.explode(source_sentences).alias("source_sentence"))
-    best = crossed.withColumn("score", scorer(F.col("source_sentence"), F.col("summary_sentence"))).groupBy(*key, "j").agg(F.max("score").alias("best"))
-    return best.groupBy(*key).agg(F.avg("best").alias("consistency"))
+    rows = pairs.select(*key, F.transform(source_sentences, prepare).alias("source"), F.transform(summary_sentences, prepare).alias("summary"))
+    best = F.transform("summary", lambda s: F.array_max(F.transform("source", lambda m: scorer(m, s))))
+    # The sizes refer to the columns once more, which keeps them from being computed again within the loops.
+    mean = F.when((F.size("source") > 0) & (F.size("summary") > 0), F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size("summary"))
+    return rows.select(*key, mean.alias("consistency")).where(F.col("consistency").isNotNull())
 
 
 def scored_or_null(score: Column, source: Column, summary: Column, summarised: Column, failed: Column) -> Column:
