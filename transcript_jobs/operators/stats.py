@@ -139,21 +139,34 @@ def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def average_ranks(rows: DataFrame, by: str, value: str, out: str) -> DataFrame:
-    """Ranks within ``by`` from 1, equal values sharing their mean."""
-    low = F.rank().over(Window.partitionBy(by).orderBy(value))
-    ties = F.count("*").over(Window.partitionBy(by, value))
-    return rows.withColumn(out, low + (ties - 1) / 2)
+def average_ranks(counts: DataFrame, by: str, value: str, out: str) -> DataFrame:
+    """``by, value, out``: the rank from 1 of each distinct value, equal rows sharing their mean, from rows (by, value, ..., t) counted ``t`` times."""
+    distinct = counts.groupBy(by, value).agg(F.sum("t").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return distinct.select(by, value, (before + (F.col("n") + 1) / 2).alias(out))
+
+
+def rank_correlation(good: DataFrame, by: str) -> DataFrame:
+    """Spearman's ``r`` of the columns x and y for each ``by``.
+
+    Rows are first counted by feature and both values, which combines before the
+    shuffle; only distinct values are ranked.
+    """
+    pairs = good.groupBy(by, "x", "y").agg(F.count("*").alias("t"))
+    ranks = pairs.join(average_ranks(pairs, by, "x", "rx"), [by, "x"]).join(average_ranks(pairs, by, "y", "ry"), [by, "y"])
+    middle = pairs.groupBy(by).agg(((F.sum("t") + 1) / 2).alias("m"))
+    a, b = F.col("rx") - F.col("m"), F.col("ry") - F.col("m")
+    sums = ranks.join(middle, by).groupBy(by).agg(F.sum(a * b * F.col("t")).alias("xy"), F.sum(a * a * F.col("t")).alias("xx"), F.sum(b * b * F.col("t")).alias("yy"))
+    return sums.select(by, F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))).alias("r"))
 
 
 def correlations(rows: DataFrame, by: str = "feature", x: str = "delta_len", y: str = "delta", method: str = "spearman") -> DataFrame:
     """Correlation of ``y`` with ``x`` for each ``by`` with three finite pairs or more: ``r, p, n, median_delta``, by ascending p."""
     good = rows.where(finite(F.col(x)) & finite(F.col(y))).select(by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    a, b = "x", "y"
+    found = good.groupBy(by).agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"), F.percentile("y", 0.5).alias("median_delta"))
     if method == "spearman":
-        good = average_ranks(average_ranks(good, by, "x", "rx"), by, "y", "ry")
-        a, b = "rx", "ry"
-    found = good.groupBy(by).agg(F.corr(a, b).alias("r"), F.count("*").alias("n"), F.percentile("y", 0.5).alias("median_delta")).where("n >= 3 AND r IS NOT NULL AND NOT isnan(r)")
+        found = found.drop("r").join(rank_correlation(good, by), by)
+    found = found.where("n >= 3 AND r IS NOT NULL AND NOT isnan(r)").select(by, "r", "n", "median_delta")
     return found.withColumn("p", F.pandas_udf(correlation_p, "double")("r", "n")).orderBy("p", by)
 
 
