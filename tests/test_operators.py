@@ -137,11 +137,35 @@ def test_consistency_and_objective(spark):
     scores = {("s0", "a"): 0.2, ("s0", "b"): 0.9, ("s1", "a"): 0.5, ("s1", "b"): 0.1}
     scorer = lambda s, m: F.coalesce(*[F.when((s == k[0]) & (m == k[1]), v) for k, v in scores.items()])
     df = spark.createDataFrame([(1, ["s0", "s1"], ["a", "b"])], "id int, s array<string>, m array<string>")
-    assert Q.consistency(df, ["id"], "s", "m", scorer).head()["consistency"] == pytest.approx(0.7)
+    assert Q.consistency(df, ["id"], "s", "m", lambda x: x, scorer).head()["consistency"] == pytest.approx(0.7)
     got = Q.objective(spark.createDataFrame([(1, x) for x in (0.2, 0.4, 0.6, 0.8)], "t int, score double"), ["t"]).head()["value"]
     assert got == pytest.approx(0.542639320225)
 
 
+def test_distances_of_zero_vectors_come_last(spark):
+    d = spark.createDataFrame([(1, 1, [0.0, 0.0]), (1, 2, [1.0, 0.0]), (1, 3, [0.0, 1.0])], "doc_id int, node_id long, embedding array<double>")
+    asked = spark.createDataFrame([(9, [1.0, 0.0])], "query_id int, embedding array<double>")
+    got = [(r["node_id"], r["distance"]) for r in R.ranked(R.query_distances(d, asked), ["query_id"]).orderBy("rank").collect()]
+    assert got == [(2, 0.0), (3, 1.0), (1, None)]
+
+
+def test_rank_correlation_with_ties(spark):
+    rng = __import__("random").Random(3)
+    rows = [("a", float(rng.randint(0, 6)), float(rng.randint(-9, 9))) for _ in range(500)] + [("b", 1.0, float(k)) for k in range(5)]
+    d = spark.createDataFrame(rows, "feature string, delta_len double, delta double")
+    got = {r["feature"]: r["r"] for r in A.correlations(d).collect()}
+    frame = __import__("pandas").DataFrame([r[1:] for r in rows[:500]])
+    want = frame.rank().corr().iloc[0, 1]
+    # A feature whose values are all equal has no correlation.
+    assert set(got) == {"a"} and got["a"] == pytest.approx(want)
+
+
+def test_types_in_any_digits(spark):
+    outputs = [f"<CANDIDATE><QUOTE>a long quote</QUOTE><TYPE>{t}</TYPE><REASON>r</REASON></CANDIDATE>" for t in ("型２", "型٣です", "4", "", "99999999999", "no")]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(outputs)], "video_id int, output string")
+    assert [r["type"] for r in X.candidate_rows(d).orderBy("video_id").collect()] == [2, 3, 4, 0, 0, 0]
+
+
 def test_budgeted_retrieval(spark):
     rows = [(1, i, t, i / 10) for i, t in enumerate((900, 900, 300, 100))]
     d = spark.createDataFrame(rows, "doc_id int, node_id long, tokens long, distance double")

@@ -29,7 +29,7 @@ ORACLES: dict[str, str] = {}
 
 #: The stand-in views in SQL.
 VIEWS = {
-    "videos": """SELECT d.doc_id AS video_id, source AS title, substr(text, 1, 300) AS description, text AS transcript,
+    "videos": """SELECT d.doc_id AS video_id, source AS title, text AS description, text AS transcript,
         CASE WHEN toxic = 1 THEN 'fake' ELSE 'real' END AS label, CASE WHEN n_chars >= 2000 THEN 'True' ELSE 'False' END AS is_long
         FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)""",
     "predictions": """SELECT 'm' || (doc_id % 3) AS model, doc_id AS video_id, CASE WHEN toxic = 1 THEN 'fake' ELSE 'real' END AS true_label,
@@ -38,7 +38,7 @@ VIEWS = {
         FROM documents WHERE text IS NOT NULL""",
     "trial_scores": "SELECT user_id AS trial, event_type AS model_name, event_id AS video_id, value / 100 AS score, event_type = 'error' AS failed, ts FROM events",
     "nodes": "SELECT label AS doc_id, vec_id AS node_id, (vec_id % 3)::INTEGER AS layer, embedding::DOUBLE[] AS embedding, vec_id % 400 + 50 AS tokens FROM embeddings",
-    "asked": "SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id IN (0, 20, 40)",
+    "asked": "SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0",
     "dists": "SELECT doc_id, node_id, layer, tokens, query_id, list_cosine_distance(embedding, q) AS distance FROM nodes, asked",
     "ranked": "SELECT *, row_number() OVER (PARTITION BY doc_id, query_id ORDER BY distance, node_id) AS rank FROM dists",
     "edges": """SELECT c.doc_id, c.node_id AS child_id, min(p.node_id) AS parent_id FROM nodes c JOIN nodes p
@@ -184,10 +184,10 @@ def p10_normal_verdicts(spark, d):
     return V.predictions(spark, d).select("video_id", T.normal_verdict(said).alias("verdict"))
 
 
-@query("SELECT doc_id, trim(substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 80)) AS answer FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS answer FROM documents")
 def p11_final_answer(spark, d):
-    text = F.substring(F.regexp_replace("text", r"\s+", " "), 1, 80)
-    said = F.concat(F.lit("<|channel|>analysis<|message|>"), F.substring("text", 1, 30), F.lit("<|end|><|start|>assistant<|channel|>final<|message|> "), text, F.lit(" <|end|>"))
+    text = F.regexp_replace("text", r"\s+", " ")
+    said = F.concat(F.lit("<|channel|>analysis<|message|>"), "text", F.lit("<|end|><|start|>assistant<|channel|>final<|message|> "), text, F.lit(" <|end|>"))
     return V.table(spark, d, "documents").select("doc_id", T.final_answer(said).alias("answer"))
 
 
@@ -291,9 +291,9 @@ def t12_length_budgets(spark, d):
 # Model stages
 
 
-def _first_words(prompts: list) -> list[str]:
-    """A stand-in model: the start of each prompt."""
-    return [(p if isinstance(p, str) else p[-1]["content"])[:40] for p in prompts]
+def _without_vowels(prompts: list) -> list[str]:
+    """A stand-in model: each prompt without its vowels."""
+    return [p.translate(dict.fromkeys(map(ord, "aeiou"))) for p in prompts]
 
 
 def _shorten(prompts: list) -> list[str]:
@@ -305,10 +305,10 @@ def _shorten(prompts: list) -> list[str]:
     return out
 
 
-@query("SELECT doc_id, substr(text, 1, 40) AS output, NULL::VARCHAR AS error FROM documents")
+@query("SELECT doc_id, regexp_replace(coalesce(text, ''), '[aeiou]', '', 'g') AS output, NULL::VARCHAR AS error FROM documents")
 def m1_generate(spark, d):
     rows = V.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("prompt"))
-    return M.generate(rows, _first_words).select("doc_id", "output", "error")
+    return M.generate(rows, _without_vowels).select("doc_id", "output", "error")
 
 
 @query()
@@ -339,7 +339,7 @@ def m5_parameter_grid(spark, d):
 # Summary quality
 
 
-def _rouge_sql(n: int) -> str:
+def _rouge_sql(n: int, scores: bool = False) -> str:
     gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
     grams = lambda side: f"(SELECT pair_id, [{gram} FOR i IN range(1, len(w) - {n - 2})] AS g FROM (SELECT pair_id, regexp_extract_all(lower({side}), '[a-z0-9]+') AS w FROM pairs))"
     return f"""WITH r AS (SELECT pair_id, unnest(g) AS x FROM {grams("reference")}), p AS (SELECT pair_id, unnest(g) AS x FROM {grams("prediction")}),
@@ -347,7 +347,10 @@ def _rouge_sql(n: int) -> str:
         h AS (SELECT rc.pair_id, sum(least(rc.n, pc.n)) AS hit FROM rc JOIN pc ON rc.pair_id = pc.pair_id AND rc.x = pc.x GROUP BY rc.pair_id),
         s AS (SELECT pair_id, model, coalesce(hit, 0) / greatest((SELECT count(*) FROM p WHERE p.pair_id = pairs.pair_id), 1) AS pr, coalesce(hit, 0) / greatest((SELECT count(*) FROM r WHERE r.pair_id = pairs.pair_id), 1) AS re
               FROM pairs LEFT JOIN h USING (pair_id))
-        SELECT pair_id, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6) AS f1 FROM s"""
+        {"SELECT * FROM s" if scores else SCORES}"""
+
+
+SCORES = """SELECT pair_id, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6) AS f1 FROM s"""
 
 
 def _rouge(spark, d, n):
@@ -364,6 +367,23 @@ def q1_rouge_2(spark, d):
     return _rouge(spark, d, 2)
 
 
+@query(f"SELECT model, count(*) AS n_samples, round(avg(pr), 6) AS avg_precision, round(avg(re), 6) AS avg_recall, round(avg(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END), 6) AS avg_f1 FROM ({_rouge_sql(1, scores=True)}) GROUP BY model", "pairs")
+def q1_rouge_means(spark, d):
+    """Mean scores of each model."""
+    pairs = V.pairs(spark, d)
+    scored = Q.rouge_n(pairs, 1, ["pair_id", "model"]).withColumn("seconds", F.lit(0.0))
+    means = Q.model_row(scored, ["precision", "recall", "f1"])
+    return means.select("model", "n_samples", *[r6(f"avg_{c}", f"avg_{c}") for c in ("precision", "recall", "f1")])
+
+
+@query()
+def q2_rouge_means(spark, d):
+    """Mean scores of each model."""
+    score = Q.rouge_l(T.tokens(F.col("reference")), T.tokens(F.col("prediction")))
+    scored = V.pairs(spark, d).select("model", score.alias("s")).select("model", "s.*", F.lit(0.0).alias("seconds"))
+    return Q.model_row(scored, ["precision", "recall", "f1"]).select("model", "n_samples", *[r6(f"avg_{c}", f"avg_{c}") for c in ("precision", "recall", "f1")])
+
+
 @query()
 def q2_rouge_l(spark, d):
     score = Q.rouge_l(T.tokens(F.col("reference")), T.tokens(F.col("prediction")))
@@ -372,7 +392,8 @@ def q2_rouge_l(spark, d):
 
 @query()
 def q3_greedy_match(spark, d):
-    n = V.table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(M.hashed_embedding(T.tokens(F.col("text")))).alias("v"))
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text", M.hashed_embedding(T.tokens(F.col("text"))).alias("e"))))
+    n = V.table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("t")).select("conv_id", F.transform("t", lambda x: x["e"]).alias("v"))
     return n.select("conv_id", Q.greedy_match(F.slice("v", 1, F.floor((F.size("v") + 1) / 2).cast("int")), F.col("v")).alias("s")).select("conv_id", "s.*")
 
 
@@ -419,6 +440,13 @@ def q9_best_trial(spark, d):
     return Q.best_trial(q8_trial_objective(spark, d))
 
 
+@query(f"WITH o AS ({OBJECTIVE}) SELECT model_name, min(trial) AS baseline_trial, arg_min(value, trial) AS baseline_value, max(value) AS best_value FROM o GROUP BY model_name", "trial_scores")
+def q9_baselines(spark, d):
+    """For each model the objective of its first trial, the baseline, and of its best."""
+    o = q8_trial_objective(spark, d)
+    return o.groupBy("model_name").agg(F.min("trial").alias("baseline_trial"), F.min_by("value", "trial").alias("baseline_value"), F.max("value").alias("best_value"))
+
+
 @query("SELECT trial, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000 AS duration_seconds FROM trial_scores GROUP BY trial", "trial_scores")
 def q9_trial_durations(spark, d):
     t = V.trial_scores(spark, d).groupBy("trial").agg(F.min("ts").alias("datetime_start"), F.max("ts").alias("datetime_complete"))
@@ -559,7 +587,7 @@ def x8_screening_verdicts(spark, d):
 
 def _dists(spark, d, metric="cosine"):
     nodes = V.nodes(spark, d)
-    asked = nodes.where(F.col("node_id").isin(0, 20, 40)).select(F.col("node_id").alias("query_id"), "embedding")
+    asked = nodes.where(F.col("node_id") % 20 == 0).select(F.col("node_id").alias("query_id"), "embedding")
     return R.query_distances(nodes, asked, metric).select("doc_id", "node_id", "layer", "tokens", "query_id", "distance")
 
 
@@ -628,6 +656,19 @@ def r12_inner_product_search(spark, d):
     return R.inner_product_search(nodes, asked, 10).select("query_id", "node_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    """SELECT query_id, node_id, rank, used FROM (SELECT *, (sum(tokens) OVER (PARTITION BY query_id ORDER BY rank))::BIGINT AS used FROM
+    (SELECT q.vec_id AS query_id, n.vec_id AS node_id, n.vec_id % 400 + 50 AS tokens, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.embedding::DOUBLE[], n.embedding::DOUBLE[]) DESC, n.vec_id) AS rank
+    FROM embeddings q, embeddings n WHERE q.vec_id % 20 = 0) WHERE rank <= 10) WHERE used - tokens <= 1000"""
+)
+def r12_within_budget(spark, d):
+    """The search's nodes up to the one that crosses a budget of tokens."""
+    nodes = V.nodes(spark, d)
+    asked = nodes.where(F.col("node_id") % 20 == 0).select(F.col("node_id").alias("query_id"), "embedding")
+    found = R.inner_product_search(nodes, asked, 10).withColumn("distance", -F.col("score"))
+    return R.until_crossed(found, ["query_id"], 10, 1000).select("query_id", "node_id", F.col("rank").cast("long").alias("rank"), "used")
+
+
 @query(
     """WITH t AS (SELECT *, 'node ' || node_id || chr(10) || chr(10) AS text FROM ranked WHERE rank <= 3),
     c AS (SELECT doc_id, query_id, string_agg(text, '' ORDER BY rank) AS context FROM t GROUP BY doc_id, query_id)
@@ -639,9 +680,10 @@ def r13_joined_contexts(spark, d):
     return R.joined_contexts(hits, ["doc_id"])
 
 
-@query("SELECT layer, count(*) AS n FROM nodes GROUP BY layer", "nodes")
+@query("SELECT query_id, layer, count(*) AS n FROM (SELECT *, sum(tokens) OVER (PARTITION BY doc_id, query_id ORDER BY rank) AS used FROM ranked WHERE rank <= 9) WHERE used <= 2000 GROUP BY query_id, layer", "ranked")
 def r14_layers(spark, d):
-    return V.nodes(spark, d).groupBy("layer").agg(F.count("*").alias("n"))
+    """The layers of the nodes that each search selects."""
+    return R.collapsed(_dists(spark, d), ["doc_id", "query_id"], 9, 2000).groupBy("query_id", "layer").agg(F.count("*").alias("n"))
 
 
 def _tree(spark, d):
@@ -658,15 +700,18 @@ def r4_tree_nodes(spark, d):
 @query()
 def r15_tree_retrieval(spark, d):
     nodes, _ = _tree(spark, d)
-    asked = V.table(spark, d, "benchmark").orderBy("item_id").limit(3).select(F.col("item_id").alias("query_id"), M.hashed_embedding(T.tokens(F.col("text"))).alias("embedding"))
+    asked = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), M.hashed_embedding(T.tokens(F.col("text"))).alias("embedding"))
     near = R.collapsed(R.query_distances(nodes, asked), ["doc_id", "query_id"], 9, 2000)
     return R.joined_contexts(near, ["doc_id"])
 
 
-@query("SELECT count(*) AS n_checked, 0::BIGINT AS n_different FROM embeddings")
+@query("SELECT count(*) AS n_checked, count(*) FILTER (doc_id % 50 = 0 AND len(regexp_extract_all(lower(text), '\\p{L}+')) > 0) AS n_different FROM documents")
 def r16_embedding_check(spark, d):
-    n = V.nodes(spark, d).select("node_id", "embedding")
-    return R.embedding_check(n.alias("a").toDF("node_id", "embedding"), V.nodes(spark, d).select("node_id", "embedding").toDF("node_id", "embedding"), "node_id").select("n_checked", "n_different")
+    """Stored vectors against those computed again from the texts; every fiftieth was stored turned round."""
+    again = m2_embed(spark, d)
+    turned = F.when(F.col("doc_id") % 50 == 0, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))
+    stored = Scratch(spark, "embedding-check").save(again.select("doc_id", turned.alias("embedding")), "stored")
+    return R.embedding_check(stored, again, "doc_id").select("n_checked", "n_different")
 
 
 # Cohorts, lexicon, statistics

@@ -17,7 +17,7 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(toxic, "doc_id", "left").select(
         F.col("doc_id").alias("video_id"),
         F.col("source").alias("title"),
-        F.substring("text", 1, 300).alias("description"),
+        F.col("text").alias("description"),
         F.col("text").alias("transcript"),
         F.when(F.col("toxic") == 1, "fake").otherwise("real").alias("label"),
         F.when(F.col("n_chars") >= 2000, "True").otherwise("False").alias("is_long"),
