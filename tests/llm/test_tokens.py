@@ -71,6 +71,17 @@ def test_ragged_merging(vocabulary):
     assert [ids[s:e].tolist() for s, e in zip([0, *ends], ends)] == [vocabulary.merge(w) for w in words]
 
 
+def test_long_unspaced_words(library, vocabulary, encoders):
+    rng = np.random.default_rng(5)
+    word = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 50_000))
+    want = library[BYTE].encode(word, add_special_tokens=False).ids
+    ids, sizes = merge_words(vocabulary, [b"ab", word.encode(), b"", b"zz"])
+    ends = np.cumsum(sizes).tolist()
+    assert ids[ends[0] : ends[1]].tolist() == want
+    encode, count, _ = encoders
+    assert encode.encode(pa.array([word]))[1].tolist() == want and count.count(pa.array([word]))[1].tolist() == [len(want)]
+
+
 ROWS = [(1, "Hello world <|endoftext|> again", "x"), (2, None, "y"), (2, None, "y"), (3, "", None), (None, "é日本", "z"), (4, "word " * 40_000 + "q" * 20_000, "l")]
 
 

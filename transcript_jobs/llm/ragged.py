@@ -20,30 +20,37 @@ def merge_words(v, words: list[bytes], symbols: bool = True) -> tuple[np.ndarray
     symbol = v.byte_id[np.frombuffer(b"".join(words), np.uint8)]
     word = np.repeat(np.arange(len(words), dtype=np.int64), sizes)
     place = np.arange(len(symbol))
+    # Rank and result of the pair that begins at each symbol; a word's last symbol begins none.
+    rank, made = np.full(len(symbol), NEVER), np.zeros(len(symbol), np.int64)
+
+    def look(at: np.ndarray) -> None:
+        rank[at], which = v.lookup(symbol[at], symbol[at + 1])
+        made[at] = v.key_made[which]
+
+    look(np.flatnonzero(word[1:] == word[:-1]))
     done: list[tuple[np.ndarray, np.ndarray]] = []
     while len(symbol):
-        at = np.flatnonzero(word[1:] == word[:-1])
-        rank, merge = v.lookup(symbol[at], symbol[at + 1])
-        lowest = np.full(len(words), NEVER)
-        if len(at):
-            owner = word[at]
-            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            lowest[owner[first]] = np.minimum.reduceat(rank, first)
-        live = lowest[word] < NEVER
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        lowest = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(symbol))))
+        live = lowest < NEVER
         if symbols and not live.all():
             done.append((place[~live], symbol[~live]))
-        if not live.any():
+        pos = np.flatnonzero(live & (rank == lowest))
+        if not len(pos):
             break
-        hit = (rank < NEVER) & (rank == lowest[owner])
-        pos, made = at[hit], v.key_made[merge[hit]]
         begins = np.concatenate([[True], pos[1:] != pos[:-1] + 1])
         run_at = np.maximum.accumulate(np.where(begins, pos, 0))
-        take = (pos - run_at) % 2 == 0
-        pos, made = pos[take], made[take]
-        np.subtract.at(counts, word[pos], 1)
-        symbol[pos] = made
+        pos = pos[(pos - run_at) % 2 == 0]
+        counts -= np.bincount(word[pos], minlength=len(words))
+        symbol[pos] = made[pos]
         live[pos + 1] = False
-        symbol, word, place = symbol[live], word[live], place[live]
+        at = (np.cumsum(live) - 1)[pos]
+        symbol, word, place, rank, made = symbol[live], word[live], place[live], rank[live], made[live]
+        # Only pairs beside a merge are looked up again.
+        near = np.unique(np.concatenate([at, at[at > 0] - 1]))
+        rank[near] = NEVER
+        near = near[near + 1 < len(symbol)]
+        look(near[word[near] == word[near + 1]])
     if not done:
         return np.zeros(0, np.int64), counts
     where, what = (np.concatenate(x) for x in zip(*done))
