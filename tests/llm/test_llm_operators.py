@@ -14,8 +14,9 @@ from transcript_jobs.llm import near_duplicates as N
 from transcript_jobs.llm.components import components
 from transcript_jobs.llm.embedding_duplicates import Settings as EmbeddingSettings, near_embeddings
 from transcript_jobs.llm.fingerprints import SAMPLES, fingerprint_with_next
-from transcript_jobs.llm.licenses import scan_licenses, words_of
+from transcript_jobs.llm.licenses import BODIES, NOTICES, RareIndex, rarity, scan_licenses, templates, words_of
 from transcript_jobs.llm.perspectives import rotate_perspectives
+from transcript_jobs.llm.queries import QUERIES
 from transcript_jobs.llm.source_mix import cumulative, mix_sources
 from transcript_jobs.llm import toxicity as T
 from transcript_jobs.llm.toxicity import KneserNey, Spelled, fit, fold, score_toxicity
@@ -79,6 +80,86 @@ def test_licenses(spark):
     assert scan_licenses(rows.limit(0)).count() == 0
 
 
+def places_by_trying_all(words, idf):
+    """Every start of every template, by the definition alone."""
+    found = []
+    for t in templates():
+        n, weight, passed = len(t.words), sum(idf[w] for w in t.words), []
+        if t.exact:
+            found += [(t.label, s, True, 1.0) for s in range(len(words)) if words[s : s + n] == t.words]
+            continue
+        for s in range(-n - t.slack, len(words) + t.slack):
+            window = words[max(0, s - t.slack) : max(0, s + n + t.slack)]
+            if not all(any(window[i : i + len(k)] == k for i in range(len(window))) for k in t.keys):
+                continue
+            near = [w in words[max(0, s + i - t.slack) : max(0, s + i + t.slack + 1)] for i, w in enumerate(t.words)]
+            share = sum(idf[w] for w, x in zip(t.words, near) if x) / weight
+            just = sum(0 <= s + i < len(words) and words[s + i] == w for i, w in enumerate(t.words))
+            if share >= t.share - 1e-9:
+                passed.append((-just, -min(share, 1.0), s))
+        kept = []
+        for _, share, s in sorted(passed):
+            if all(abs(s - k) >= n for k in kept):
+                kept.append(s)
+                found.append((t.label, max(0, s), False, -share))
+    return sorted((p, f, label, round(share, 9)) for label, p, f, share in found)
+
+
+def test_licence_places_are_all_found():
+    """The lookup of each text's rarest words loses no place, whatever words are frequent."""
+    rng = random.Random(5)
+    sources = [words_of(text) for _, text, _ in NOTICES + BODIES]
+    common = [w for words in sources for w in words]
+    notices = 0
+    for trial in range(60):
+        idf = {w: rng.choice([1e-6, 0.1, 1.0, 6.0, 12.0]) for w in sorted(set(common) | {w for t in templates() for w in t.words})}
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            words += [rng.choice(common) if rng.random() < 0.7 else b"other" for _ in range(rng.randint(0, 12))]
+            piece = list(rng.choice(sources))
+            for _ in range(rng.choice([0, 0, 1, 3, 8])):
+                i = rng.randrange(len(piece))
+                piece[i : i + 1] = rng.choice([[], [b"other"], [piece[i], b"other"]]) or []
+            words += piece[rng.choice([0, 0, 2]) :]
+        got = RareIndex(idf, templates()).places(words)
+        notices += sum(not p[2] for p in got)
+        assert sorted((p, f, label, round(share, 9)) for label, p, f, share in got) == places_by_trying_all(words, idf)
+    assert notices > 60
+
+
+def test_each_licence_is_found(spark):
+    """Every notice and longer part, as it stands and with a word in twelve changed outside its key phrases."""
+    rng = random.Random(7)
+    rows = []
+    for i, (_, text, keys) in enumerate(NOTICES + BODIES):
+        words, fixed = [w.decode() for w in words_of(text)], {w for k in keys for w in k.split()}
+        changed = ["other" if w not in fixed and rng.random() < 1 / 12 else w for w in words]
+        rows += [(2 * i, "before it " + text + " after it"), (2 * i + 1, "before it " + " ".join(changed))]
+    docs = spark.createDataFrame(rows + [(-1 - i, f"a plain text of the day {i} provided that it is free") for i in range(50)], "doc_id long, text string")
+    found = {r["doc_id"]: {(p["label"], p["first_word"]) for p in r["places"] if not p["phrase"]} for r in scan_licenses(docs).collect()}
+    for i, (label, _, _) in enumerate(NOTICES + BODIES):
+        assert (label, 2) in found[2 * i] and (label, 2) in found[2 * i + 1], label
+    assert not any(found[-1 - i] for i in range(50))
+
+
+def test_license_query(spark):
+    """The query's own columns over a whole table, with the places tried one by one."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    idf = rarity(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r for r in QUERIES["op1_license_scan"](spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        words = words_of(text)
+        places = places_by_trying_all(words, idf)
+        base = [p for p in places if p[1]]
+        r = got[i]
+        assert (r["n_words"], r["n_base"]) == (len(words), len(base))
+        assert (r["first_word"], r["last_word"]) == ((base[0][0], base[-1][0]) if base else (None, None))
+        assert r["base_labels"] == ",".join(sorted({p[2] for p in base})) and r["labels"] == ",".join(sorted({p[2] for p in places}))
+        assert abs(r["score"] - max([p[3] for p in places], default=0.0)) < 1e-8
+
+
 # Source mix
 
 

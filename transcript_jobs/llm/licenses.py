@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,6 +35,55 @@ NOTICES = [
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ["cc by sa"]),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["cc by nc"]),
 ]
+# Longer parts of licences, their label, and phrases that must stand in them.
+BODIES = [
+    (
+        "gpl-notice",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; "
+        "either version 2 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        "See the GNU General Public License for more details. "
+        "You should have received a copy of the GNU General Public License along with this program.",
+        ["free software foundation", "in the hope that it will be useful"],
+    ),
+    (
+        "apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+        "See the License for the specific language governing permissions and limitations under the License.",
+        ["except in compliance with the license", "governing permissions and limitations"],
+    ),
+    (
+        "mit-text",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+        "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        ["to deal in the software without restriction", "copies or substantial portions"],
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+        ["with or without fee", "the author disclaims all warranties"],
+    ),
+    (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        ["redistribution and use", "must retain the above copyright notice", "in binary form must reproduce"],
+    ),
+    (
+        "zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions.",
+        ["in no event will the authors be held liable", "alter it and redistribute it freely"],
+    ),
+]
 
 #: A to Z become small, digits and all bytes outside ASCII stay, whatever separates words becomes a blank.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -44,67 +93,113 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LETTERS).split()
 
 
-@dataclass
+@dataclass(frozen=True)
 class Template:
+    """A licence's words; how many words they may be shifted (``slack``), and the part of their weight that must be found (``share``)."""
+
     label: str
     words: list[bytes]
     exact: bool
+    slack: int
+    share: float
     keys: list[list[bytes]] = field(default_factory=list)
 
 
-def templates() -> list[Template]:
-    exact = [Template(label, phrase.encode().split(), True) for phrase, label in PHRASES.items()]
-    return exact + [Template(label, text.encode().split(), False, [k.encode().split() for k in keys]) for label, text, keys in NOTICES]
+def templates(slack: int = 4, share: float = 0.6) -> list[Template]:
+    """Phrases stand word for word. The words of a notice may be shifted by ``slack`` or a tenth of its length, and a part may be missing."""
+    found = [Template(label, words_of(phrase), True, 0, 1.0) for phrase, label in PHRASES.items()]
+    for label, text, keys in NOTICES + BODIES:
+        words = words_of(text)
+        found.append(Template(label, words, False, max(slack, len(words) // 10), share, [words_of(k) for k in keys]))
+    return found
 
 
 class RareIndex:
-    """Postings (template, position) of each template's rarest words.
+    """Looks up a text's rarest licence words and meets what templates say about their places."""
 
-    ``anchors`` is how many a notice has; a phrase has one, which any place of the
-    phrase must hold. ``slack`` is by how many words a notice's words may be shifted
-    against each other, ``share`` the part of its weight that must be found.
-    """
+    def __init__(self, idf: dict[bytes, float], templates: list[Template]):
+        self.idf, self.templates = idf, templates
+        self.weights = [sum(idf[w] for w in t.words) for t in templates]
+        self.needed = [set(t.words) if t.exact else {w for k in t.keys for w in k} for t in templates]
+        self.vocabulary = {w for t in templates for w in t.words}
+
+    def anchors(self, t: int, present: set[bytes]) -> tuple[list[int], float]:
+        """Places in the template of the text's words of highest IDF, and the weight of those that must agree.
 
-    def __init__(self, idf: dict[bytes, float], anchors: int = 6, slack: int = 4, share: float = 0.6):
-        self.idf, self.slack, self.share = idf, slack, share
-        self.templates = templates()
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, template in enumerate(self.templates):
-            order = sorted(range(len(template.words)), key=lambda i: (-idf[template.words[i]], template.words[i], i))
-            for i in order[: 1 if template.exact else anchors]:
-                self.postings[template.words[i]].append((t, i))
+        As many words are taken as are needed for the others, with any one of the
+        taken, to stay under the weight asked for: so two must agree at every place.
+        A template whose present words weigh too little has none.
+        """
+        template, need = self.templates[t], self.templates[t].share * self.weights[t] * (1 - 1e-9)
+        order = sorted((i for i, w in enumerate(template.words) if w in present), key=lambda i: (-self.idf[template.words[i]], template.words[i], i))
+        rest = sum(self.idf[template.words[i]] for i in order)
+        if rest < need:
+            return [], 0.0
+        highest = self.idf[template.words[order[0]]]
+        for taken, i in enumerate(order, 1):
+            rest -= self.idf[template.words[i]]
+            if rest + highest < need:
+                return order[:taken], need - rest
+        return order, need
+
+    def candidates(self, t: int, anchors: list[int], need: float, at: dict[bytes, list[int]]) -> Iterator[int]:
+        """Starts about which anchors of the weight needed agree, in order."""
+        template, steps = self.templates[t], Counter()
+        for i in anchors:
+            weight, until = self.idf[template.words[i]], None
+            for place in at[template.words[i]]:
+                low, high = place - i - template.slack, place - i + template.slack + 1
+                if until is None or low > until:
+                    if until is not None:
+                        steps[until] -= weight
+                    steps[low] += weight
+                until = high
+            steps[until] -= weight
+        agreed, before, least = 0.0, 0, need - 1e-9 * self.weights[t]
+        for here in sorted(steps):
+            if agreed >= least:
+                yield from range(before, here)
+            agreed, before = agreed + steps[here], here
+
+    def notice(self, t: int, words: list[bytes], s: int) -> tuple[float, int] | None:
+        """Share of the weight found near its places, and how many words stand just there, if the text at ``s`` is the notice."""
+        template, slack = self.templates[t], self.templates[t].slack
+        window = words[max(0, s - slack) : max(0, s + len(template.words) + slack)]
+        if not all(_stands(key, window) for key in template.keys):
+            return None
+        near, just = 0.0, 0
+        for i, w in enumerate(template.words):
+            if w in words[max(0, s + i - slack) : max(0, s + i + slack + 1)]:
+                near += self.idf[w]
+                just += 0 <= s + i < len(words) and words[s + i] == w
+        share = near / self.weights[t]
+        return (min(share, 1.0), just) if share >= template.share - 1e-9 else None
 
     def places(self, words: list[bytes]) -> list[tuple[str, int, bool, float]]:
         """(label, first word, whether a phrase, share of the weight found) of all verified places."""
-        rare = self.postings.keys() & set(words)
-        if not rare:
+        present = self.vocabulary.intersection(words)
+        chosen = {t: a for t in range(len(self.templates)) if self.needed[t] <= present and (a := self.anchors(t, present))[0]}
+        if not chosen:
             return []
-        starts: dict[int, set[int]] = defaultdict(set)
-        for at, word in enumerate(words):
-            if word in rare:
-                for t, i in self.postings[word]:
-                    starts[t].add(at - i)
+        at: dict[bytes, list[int]] = {self.templates[t].words[i]: [] for t, (anchors, _) in chosen.items() for i in anchors}
+        for place, word in enumerate(words):
+            if word in at:
+                at[word].append(place)
         found = []
-        for t, at in sorted(starts.items()):
+        for t, (anchors, need) in chosen.items():
             template = self.templates[t]
             n = len(template.words)
+            starts = self.candidates(t, anchors, need, at)
             if template.exact:
-                found += [(template.label, s, True, 1.0) for s in sorted(at) if s >= 0 and words[s : s + n] == template.words]
+                found += [(template.label, s, True, 1.0) for s in starts if s >= 0 and words[s : s + n] == template.words]
                 continue
-            end = -1
-            for s in sorted(at):
-                if s <= end:
-                    continue
-                low, high = max(0, s - self.slack), s + n + self.slack
-                window = words[low:high]
-                if not all(_stands(key, window) for key in template.keys):
-                    continue
-                weight = sum(self.idf[w] for w in template.words)
-                near = sum(self.idf[w] for i, w in enumerate(template.words) if w in words[max(0, s + i - self.slack) : s + i + self.slack + 1])
-                if near >= self.share * weight:
-                    found.append((template.label, max(0, s), False, near / weight))
-                    end = s + n // 2
-        return found
+            ranked = sorted((-v[1], -v[0], s) for s in starts if (v := self.notice(t, words, s)))
+            kept: set[int] = set()
+            for _, share, s in ranked:
+                if not any(s + d in kept for d in range(1 - n, n)):
+                    kept.add(s)
+                    found.append((template.label, max(0, s), False, -share))
+        return sorted(found, key=lambda p: (p[1], not p[2], p[0], -p[3]))
 
 
 def _stands(key: list[bytes], window: list[bytes]) -> bool:
@@ -135,16 +230,23 @@ def rarity(docs: DataFrame, text_col: str = "text") -> dict[bytes, float]:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Find licence phrases and notices in whole texts.
 
-    The templates' rarest words over all documents index them: a rare word of a text
-    gives the places where a template would have to begin, phrases are compared word
-    for word there, notices must hold their mandatory key phrases and most of their
-    weight near their places. Returns ``id_col``, ``n_words`` and ``places``
-    (array of ``label, first_word, phrase, share``), a row for each row.
+    Words weigh what they tell: their inverse document frequency over all documents.
+    Of each text the licence words of highest weight are looked up, the places where
+    templates would have to begin are met by relative position, and where words of
+    enough weight agree, at least two, the place is verified: phrases word for word,
+    notices by their mandatory key phrases and most of their weight near its places.
+    No place is lost by the lookup: words left out weigh too little to make one.
+    Returns ``id_col``, ``n_words`` and ``places`` (array of ``label, first_word,
+    phrase, share``, in order of ``first_word``), a row for each row.
+
+    All places of a phrase count. Places of one notice that overlap are one: that of
+    the most words just in place, then of the greatest share, then the first; places
+    of different templates may overlap.
 
     Null and empty texts have no words and no places; repeated rows and null ids pass
     through; other columns are ignored. Two scans, no shuffle of texts.
     """
-    index = docs.sparkSession.sparkContext.broadcast(RareIndex(rarity(docs, text_col)))
+    index = docs.sparkSession.sparkContext.broadcast(RareIndex(rarity(docs, text_col), templates()))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     place = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("phrase", pa.bool_()), ("share", pa.float64())])
 
