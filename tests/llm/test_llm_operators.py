@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from transcript_jobs.llm import near_duplicates as N
 from transcript_jobs.llm.components import components
 from transcript_jobs.llm.embedding_duplicates import Settings as EmbeddingSettings, near_embeddings
-from transcript_jobs.llm.fingerprints import SAMPLES, fingerprint_with_next
+from transcript_jobs.llm.fingerprints import SAMPLES, even_cuts, fingerprint_with_next, labels_apart
 from transcript_jobs.llm.licenses import BODIES, NOTICES, RareIndex, rarity, scan_licenses, templates, words_of
 from transcript_jobs.llm.perspectives import rotate_perspectives
 from transcript_jobs.llm.queries import QUERIES
@@ -368,6 +368,15 @@ def test_fingerprints(spark):
     assert "Python" not in fingerprint_with_next(d)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_buckets_of_like_bytes_apart(spark):
+    sizes = [(k, 1 + 1000 * (k == 40)) for k in range(100)]
+    assert even_cuts(sizes, 11) == [40, 41] and even_cuts([], 4) == [] and even_cuts([(5, 9)], 4) == []
+    assert even_cuts([(k, 3) for k in range(12)], 4) == [3, 6, 9]
+    labels = labels_apart(spark, 13)
+    rows = spark.createDataFrame([(x,) for x in labels], "label int").repartition(13, "label")
+    assert len(set(labels)) == 13 and {len(p) for p in rows.rdd.glom().collect()} == {1}
+
+
 def test_collision_rate_is_generalised_jaccard():
     rng = random.Random(2)
     a = [f"t{rng.randint(0, 40)}" for _ in range(120)]

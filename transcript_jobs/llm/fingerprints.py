@@ -46,18 +46,42 @@ def as_text(samples: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(samples, lambda x: F.lpad(F.lower(F.hex(F.xxhash64(x).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), ""), F.lit(""))
 
 
-def ordered_buckets(docs: DataFrame, key: str, n: int) -> tuple[Column, list[int]]:
-    """An expression that puts ``key`` into about ``n`` ascending buckets of like size, and its cuts."""
-    found = docs.select(F.percentile_approx(key, [k / n for k in range(1, n)] or [0.5], 20 * n)).head()[0] or []
-    cuts = sorted(set(found))
+def ordered_cuts(docs: DataFrame, key: str, n: int) -> list[int]:
+    """At most ``n - 1`` ascending values that cut ``key`` into pieces of about as many rows."""
+    return sorted(set(docs.select(F.percentile_approx(key, [k / n for k in range(1, n)] or [0.5], 4 * n)).head()[0] or []))
+
+
+def piece(key: Column, cuts: list[int]) -> Column:
+    """How many of the ascending ``cuts`` are not above ``key``."""
     if not cuts:
-        return F.lit(0), cuts
+        return F.lit(0)
     wide = math.isqrt(len(cuts)) + 1
     groups = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
-    below = lambda options: F.size(F.filter(options, lambda c: c <= F.col(key)))
+    below = lambda options: F.size(F.filter(options, lambda c: c <= key))
     coarse = below(F.array(*[F.lit(g[0]) for g in groups]))
-    fine = F.array(*[F.array(*map(F.lit, g)) for g in [[], *groups]][1:])
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * wide + below(F.get(fine, F.greatest(coarse - 1, F.lit(0))))), cuts
+    fine = F.array(*[F.array(*map(F.lit, g)) for g in groups])
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * wide + below(F.get(fine, F.greatest(coarse - 1, F.lit(0)))))
+
+
+def even_cuts(sizes: list[tuple[int, int]], n: int) -> list[int]:
+    """The first keys of all but the first of at most ``n`` runs of pieces (first key, bytes) that are about as large in bytes."""
+    whole, before, cuts, last = sum(size for _, size in sizes) or 1, 0, [], 0
+    for first, size in sizes:
+        # A piece belongs to the run in which its middle lies.
+        run = (2 * before + size) * n // (2 * whole)
+        if before and run > last:
+            cuts.append(first)
+        last = run
+        before += size
+    return cuts
+
+
+def labels_apart(spark: SparkSession, n: int) -> list[int]:
+    """``n`` numbers that hashing deals to as many different ones of ``n`` partitions."""
+    tried = spark.range(20 * n).select(F.col("id").cast("int").alias("label"))
+    found = tried.groupBy(F.pmod(F.hash("label"), F.lit(n)).alias("part")).agg(F.min("label").alias("label")).collect()
+    # Twenty tries each leave a partition out once in 500 million; its bucket then shares one.
+    return [*(r["label"] for r in found), *range(20 * n, 21 * n - len(found))]
 
 
 def small_table(spark: SparkSession, rows: list[tuple[int, int]], names: tuple[str, str]) -> DataFrame:
@@ -80,20 +104,25 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
     other (0.0). Null ids come first; rows of one id are ordered by text. Other
     columns are ignored. An empty table gives no rows.
 
-    Texts are shuffled once, into buckets of consecutive ids; the first document of
-    each bucket is also sent to the bucket before it. Counting terms and taking
-    minima then stay within the tasks: no term or source meets in one place.
+    Texts are shuffled once, into buckets of consecutive ids that hold about as many
+    bytes, each in a partition of its own; the first document of each bucket is also
+    sent to the bucket before it. Counting terms and taking minima then stay within
+    the tasks: no term or source meets in one place. Rows of one id share a bucket.
     """
     spark = docs.sparkSession
     n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The key alone stands for the id, so that all later steps read one and the same shuffle.
     null_id = F.lit(-(2**63))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), null_id).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bucket, _ = ordered_buckets(rows, "key", n)
-    rows = rows.withColumn("home", bucket.cast("int"))
-    firsts = sorted((r["home"], r["key"]) for r in rows.groupBy("home").agg(F.min("key").alias("key")).collect())
-    # At most as many rows as there are buckets, a number that is a setting.
-    ahead = small_table(spark, [(firsts[(i + 1) % len(firsts)][1], b) for i, (b, _) in enumerate(firsts)] or [(0, -1)], ("key", "before"))
+    # Eight pieces of like row counts for a bucket are measured and joined: a number that is a setting.
+    fine = ordered_cuts(rows, "key", 8 * n)
+    sizes = rows.groupBy(piece(F.col("key"), fine).alias("piece")).agg(F.min("key").alias("key"), F.sum(F.octet_length("text") + 1).alias("size")).collect()
+    sizes = sorted((r["key"], r["size"]) for r in sizes)
+    starts = even_cuts(sizes, n)
+    labels = labels_apart(spark, n)
+    rows = rows.withColumn("home", F.get(F.array(*map(F.lit, labels)), piece(F.col("key"), starts)))
+    firsts = [key for key, _ in sizes[:1]] + starts
+    ahead = small_table(spark, [(firsts[(i + 1) % len(firsts)], labels[i]) for i in range(len(firsts))] or [(0, -1)], ("key", "before"))
     places = F.array(F.struct(F.col("home").alias("bucket"), F.lit(False).alias("guest")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guest")))
     sent = rows.join(F.broadcast(ahead), "key", "left").select("key", "text", F.inline(F.filter(places, lambda p: p["bucket"].isNotNull())))
     # Said here, as joins on the bucket would say it in some of the later steps alone, which then shuffle for themselves.
