@@ -14,6 +14,7 @@ from transcript_jobs.operators import quality as Q
 from transcript_jobs.operators import retrieval as R
 from transcript_jobs.operators import screening as X
 from transcript_jobs.operators import stats as A
+from transcript_jobs.operators.models import embed
 from transcript_jobs.plans.summarise import recursive_summary
 from transcript_jobs.plans.tree import build_tree, clusters_within_budget, soft_clusters
 from transcript_jobs.sources import tables as IO
@@ -262,3 +263,11 @@ def test_recursive_summary(spark):
     same = lambda prompts: [p[-1]["content"].split("\n\n", 1)[1] for p in prompts]
     stuck = {r["video_id"]: r["rounds"] for r in recursive_summary(docs, same, most_chars=200, final_chars=300, max_rounds=2).collect()}
     assert stuck[1] == 2
+
+
+def test_embeddings_of_length_one(spark):
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["ab", "", None] * 7)], "id int, text string").coalesce(1)
+    asked = lambda batch: [[3.0 * len(t), 4.0 * len(t), 0.0 * len(batch)] for t in batch]
+    got = {r["id"]: r["embedding"] for r in embed(texts, asked, normalise=True).collect()}
+    assert all(got[i] == pytest.approx([0.6, 0.8, 0.0] if i % 3 == 0 else [0.0] * 3) for i in range(21))
+    assert {tuple(r["embedding"]) for r in embed(texts, asked).collect()} == {(6.0, 8.0, 0.0), (0.0, 0.0, 0.0)}

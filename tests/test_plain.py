@@ -109,6 +109,7 @@ def test_safe_blocks(spark, data):
         ("t5_char_chunks_unsliced", ("doc_id", "pos", "chunk"), lambda t: C.pack_by_chars(punctuated(t), 1536, hard_slice=False)),
         ("t6_sliding_chunks", ("doc_id", "pos", "text", "start_idx"), lambda t: C.slide(lined(t), 4000, 3)),
         ("t7_token_chunks", ("doc_id", "pos", "chunk"), lambda t: C.pack_by_tokens(lined(t), 100, 1, C.count_words)),
+        ("r1_tree_leaves", ("doc_id", "node_id", "text", "tokens"), lambda t: [(c, C.count_words(c)) for c in C.pack_by_tokens(latin(t), 100, 0, C.count_words)]),
     ],
 )
 def test_chunks(spark, data, name, columns, cut):
@@ -288,7 +289,11 @@ def test_trees_and_searches(spark, data, monkeypatch):
     for (doc, node), below in children.items():
         assert nodes[doc, node]["text"] == "".join(one_line(nodes[doc, c]["text"]) for c in sorted(below))[:200]
 
-    got = dict(run(spark, data, "r15_tree_retrieval", "doc_id", "context_text"))
+    kept = []
+    retrieve = core.r15_tree_retrieval
+    monkeypatch.setattr(core, "r15_tree_retrieval", lambda *a: kept.append(retrieve(*a)) or kept[-1])
+    judged = run(spark, data, "r15_tree_predictions", "doc_id", "true_label", "prediction", "n_chars")
+    got = dict((r["doc_id"], r["context_text"]) for r in kept[0].collect())
     asked = duckdb.sql(f"SELECT item_id, text FROM read_parquet('{data[0]}/benchmark.parquet/*.parquet') ORDER BY item_id").fetchall()
     want = {}
     for doc in {d for d, _ in nodes}:
@@ -309,3 +314,5 @@ def test_trees_and_searches(spark, data, monkeypatch):
         if contexts:
             want[doc] = "\n\n".join(contexts)
     assert got == want
+    verdicts = [(i, len(f"Title: src{i % 3}\nDescription: \nText:\n{c}")) for i, c in want.items()]
+    assert judged == listed((i, "fake" if i % 4 == 0 else "real", "fake" if n % 2 else "real", n) for i, n in verdicts)

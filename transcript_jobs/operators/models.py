@@ -54,20 +54,18 @@ def hashed_embedding(words: Column, size: int = 32) -> Column:
     return F.pandas_udf(run, "array<double>")(words)
 
 
-def unit(vector: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
-
-
 def embed(df: DataFrame, model: Callable[[list[str]], list[list[float]]], text_col: str = "text", out: str = "embedding", normalise: bool = False, batch: int = 8) -> DataFrame:
-    """``df`` with the model's vectors, asked for ``batch`` texts at a time."""
+    """``df`` with the model's vectors, asked for ``batch`` texts at a time, null texts as empty; ``normalise`` scales them to length 1, but for zero vectors."""
+
+    def scaled(v: list[float]) -> np.ndarray:
+        v = np.asarray(v, float)
+        return v / (np.sqrt((v * v).sum()) or 1.0) if normalise else v
 
     def run(texts: pd.Series) -> pd.Series:
         asked = ["" if t is None else t for t in texts]
-        return pd.Series([list(map(float, v)) for i in range(0, len(asked), batch) for v in model(asked[i : i + batch])])
+        return pd.Series([scaled(v) for i in range(0, len(asked), batch) for v in model(asked[i : i + batch])])
 
-    vector = F.pandas_udf(run, "array<double>")(F.col(text_col))
-    return df.withColumn(out, unit(vector) if normalise else vector)
+    return df.withColumn(out, F.pandas_udf(run, "array<double>")(F.col(text_col)))
 
 
 def content_key(prefix: str, version: str, *columns: str) -> Column:

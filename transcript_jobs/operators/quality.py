@@ -105,6 +105,11 @@ def consistency(
     return rows.select(*key, mean.alias("consistency")).where(F.col("consistency").isNotNull())
 
 
+def scored_part(source: Column, most: int = 10_000) -> Column:
+    """What a scorer with a window of ``most`` characters sees of a source."""
+    return F.substring(source, 1, most)
+
+
 def scored_or_null(score: Column, source: Column, summary: Column, summarised: Column, failed: Column) -> Column:
     """The score under the rules of a run: null if not summarised, 0 for empty texts and errors."""
     blank = (F.coalesce(source, F.lit("")) == "") | (F.coalesce(summary, F.lit("")) == "")

@@ -21,7 +21,7 @@ from transcript_jobs.operators import stats as A
 from transcript_jobs.plans import views as V
 from transcript_jobs.plans.scratch import Scratch
 from transcript_jobs.plans.summarise import recursive_summary
-from transcript_jobs.plans.tree import build_tree
+from transcript_jobs.plans.tree import build_tree, leaves
 from transcript_jobs.sources import tables as IO
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,6 +122,22 @@ def s7_append_logs(spark, d):
     return spark.read.parquet(path)
 
 
+LEXICON_OF_SOURCES = "SELECT source, row_number() OVER (ORDER BY source) AS k FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)"
+
+
+@query(f"SELECT k::INTEGER AS cat_id, source AS name, unnest([source, source || ' post']) AS pattern, unnest([false, true]) AS is_prefix FROM ({LEXICON_OF_SOURCES})")
+def s8_lexicon_file(spark, d):
+    """A lexicon of the sources: a category for each, its name as a rule and its name with a blank and a word as a prefix rule."""
+    path = f"{Scratch(spark, 'lexicon').root}/lexicon"
+    names = V.table(spark, d, "documents").where("source IS NOT NULL").select("source").distinct().agg(F.array_sort(F.collect_list("source")).alias("s"))
+    lines = lambda shape: F.array_join(F.transform("s", shape), "\n")
+    rule = lambda x, i: F.concat(x, F.lit("\t"), i + 1, F.lit("\n"), x, F.lit(" post* "), i + 1, F.lit("\nno rule"))
+    text = F.concat(F.lit("%\n"), lines(lambda x, i: F.concat(i + 1, F.lit(" "), x)), F.lit("\n%\n"), lines(rule), F.lit("\n"))
+    names.select(text.alias("value")).write.text(path)
+    cats, rules = IO.read_lexicon(spark, path)
+    return rules.join(cats, "cat_id").select("cat_id", "name", "pattern", "is_prefix")
+
+
 # Selection and cleaning
 
 
@@ -316,6 +332,17 @@ def m2_embed(spark, d):
     return V.table(spark, d, "documents").select("doc_id", M.hashed_embedding(T.tokens(F.col("text"))).alias("embedding"))
 
 
+@query(
+    """SELECT doc_id, round(n / norm, 6) AS length_part, round(e / norm, 6) AS e_part FROM (SELECT doc_id, n, e, sqrt(n * n + e * e + 1) AS norm FROM
+    (SELECT doc_id, length(coalesce(text, ''))::DOUBLE AS n, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')))::DOUBLE AS e FROM documents))"""
+)
+def m2_embed_batches(spark, d):
+    """Vectors of a stand-in model, asked for eight texts at a time, scaled to length 1."""
+    model = lambda texts: [[len(t), t.count("e"), 1] for t in texts]
+    v = M.embed(V.table(spark, d, "documents").select("doc_id", "text"), model, normalise=True).select("doc_id", "embedding")
+    return v.select("doc_id", r6(F.col("embedding")[0], "length_part"), r6(F.col("embedding")[1], "e_part"))
+
+
 @query("SELECT video_id, upper(title) || '/' || label AS output FROM videos", "videos")
 def m3_content_cache(spark, d):
     rows = V.videos(spark, d).select("video_id", "title", "label").withColumn("key", M.content_key("title", "v1", "title", "label"))
@@ -336,6 +363,36 @@ def m5_parameter_grid(spark, d):
     return grid.select("doc_id", F.concat("model_name", F.lit(":"), F.col("compression_rate").cast("int")).alias("trial"))
 
 
+def _cut_by_rate(prompts: list) -> list[str]:
+    """Two stand-in models: a keeps the first share of a text, b the last."""
+    sizes = [int(len(p["text"]) * p["rate"]) for p in prompts]
+    return [p["text"][:n] if p["model"] == "a" else p["text"][len(p["text"]) - n :] for p, n in zip(prompts, sizes)]
+
+
+SWEEP = r"""cut AS (SELECT doc_id, trial, text, CASE WHEN trial < 2 THEN substr(text, 1, n) ELSE substr(text, length(text) - n + 1, n) END AS summary FROM
+    (SELECT doc_id, coalesce(text, '') AS text, k AS trial, floor(length(coalesce(text, '')) * CASE WHEN k % 2 = 0 THEN 0.25 ELSE 0.5 END)::INTEGER AS n FROM documents, (VALUES (0), (1), (2), (3)) g(k))),
+    bags AS (SELECT doc_id, trial, list_distinct(regexp_extract_all(lower(text), '\p{L}+')) AS t, list_distinct(regexp_extract_all(lower(summary), '\p{L}+')) AS s FROM cut),
+    sweep AS (SELECT doc_id, trial, CASE WHEN len(t) > 0 THEN len(list_intersect(t, s)) / len(t) ELSE 0 END::DOUBLE AS score FROM bags)"""
+
+
+def _sweep(spark, d):
+    docs = V.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    asked = M.parameter_grid(docs, ["a", "b"], [0.25, 0.5]).select("doc_id", "trial", F.struct("text", F.col("model_name").alias("model"), F.col("compression_rate").alias("rate")).alias("prompt"))
+    made = M.generate(asked, _cut_by_rate).select("doc_id", "trial", F.array_distinct(T.tokens(F.col("prompt.text"))).alias("t"), F.array_distinct(T.tokens(F.col("output"))).alias("s"))
+    return made.select("doc_id", "trial", F.when(F.size("t") > 0, F.size(F.array_intersect("t", "s")) / F.size("t")).otherwise(0.0).alias("score"))
+
+
+@query(f"WITH {SWEEP} SELECT doc_id, trial, round(score, 6) AS score FROM sweep")
+def m5_sweep(spark, d):
+    """The score of every document under every trial of the grid: the share of its words that the summary keeps."""
+    return _sweep(spark, d).select("doc_id", "trial", r6("score", "score"))
+
+
+@query(f"WITH {SWEEP} SELECT trial, round(avg(score) + 0.25 * quantile_cont(score, 0.1) - 0.10 * stddev_pop(score), 6) AS value FROM sweep GROUP BY trial")
+def m5_sweep_objectives(spark, d):
+    return Q.objective(_sweep(spark, d), ["trial"]).select("trial", r6("value", "value"))
+
+
 # Summary quality
 
 
@@ -415,6 +472,20 @@ def q5_scoring_rules(spark, d):
     return V.pairs(spark, d).select("pair_id", score.alias("score"))
 
 
+@query(
+    r"""SELECT model, count(score) AS n_scored, round(avg(score), 6) AS avg_score FROM (SELECT model, CASE WHEN pair_id % 5 = 0 THEN NULL WHEN source = '' OR prediction = '' OR pair_id % 7 = 0 THEN 0.0
+    WHEN len(s) = 0 THEN 0.0 ELSE len(list_intersect(s, t)) / len(s) END::DOUBLE AS score FROM
+    (SELECT *, list_distinct(regexp_extract_all(lower(prediction), '\p{L}+')) AS s, list_distinct(regexp_extract_all(lower(substr(source, 1, 10000)), '\p{L}+')) AS t FROM pairs)) GROUP BY model""",
+    "pairs",
+)
+def q5_mean_scores(spark, d):
+    """Mean over summarised rows of the share of a summary's words that its source's first 10,000 characters, the rule's window, hold."""
+    p = V.pairs(spark, d).select("pair_id", "model", "source", "prediction", F.array_distinct(T.tokens(F.col("prediction"))).alias("s"), F.array_distinct(T.tokens(Q.scored_part(F.col("source")))).alias("t"))
+    share = F.try_divide(F.size(F.array_intersect("s", "t")), F.size("s"))
+    scored = p.select("model", Q.scored_or_null(share, F.col("source"), F.col("prediction"), F.col("pair_id") % 5 != 0, F.col("pair_id") % 7 == 0).alias("score"))
+    return scored.groupBy("model").agg(F.count("score").alias("n_scored"), F.round(F.avg("score"), 6).alias("avg_score"))
+
+
 @query("SELECT model_name AS model, count(*) AS n_samples, round(avg(score), 6) AS avg_score, round(sum(score), 4) AS total_seconds, round(avg(score), 6) AS seconds_each FROM trial_scores GROUP BY model_name", "trial_scores")
 def q6_model_rows(spark, d):
     rows = V.trial_scores(spark, d).withColumn("seconds", F.col("score"))
@@ -691,6 +762,12 @@ def _tree(spark, d):
     return build_tree(V.table(spark, d, "documents"), embed, lambda c: F.substring(c, 1, 200), sentences=T.sentences_latin)
 
 
+@query()
+def r1_tree_leaves(spark, d):
+    found = leaves(V.table(spark, d, "documents"), lambda c: M.hashed_embedding(T.tokens(c)), sentences=T.sentences_latin)
+    return found.select("doc_id", "node_id", "text", "tokens")
+
+
 @query()
 def r4_tree_nodes(spark, d):
     nodes, _ = _tree(spark, d)
@@ -705,6 +782,20 @@ def r15_tree_retrieval(spark, d):
     return R.joined_contexts(near, ["doc_id"])
 
 
+@query()
+def r15_tree_predictions(spark, d):
+    """From tree to verdict: each document's contexts are put to a stand-in model, the calls logged, and the verdicts joined with the truth."""
+    scratch = Scratch(spark, "tree-predictions")
+    found = r15_tree_retrieval(spark, d)
+    videos = V.videos(spark, d).select(F.col("video_id").alias("doc_id"), "title", F.col("label").alias("true_label"))
+    asked = videos.join(found, "doc_id").select("doc_id", "true_label", P.verdict_prompt(F.col("title"), F.lit(""), F.col("context_text")).alias("prompt"))
+    judge = lambda prompts: ["Verdict: fake" if len(p[-1]["content"]) % 2 else "Verdict: real" for p in prompts]
+    answers = scratch.save(M.generate(asked, judge).select("doc_id", "true_label", F.length(F.col("prompt")[1]["content"]).alias("n_chars"), "output"), "answers")
+    IO.append_log(answers, f"{scratch.root}/log", ["doc_id", "n_chars", "output"])
+    log = spark.read.parquet(f"{scratch.root}/log").select("doc_id", T.normal_verdict(F.col("output")).alias("prediction"), "n_chars")
+    return answers.select("doc_id", "true_label").join(log, "doc_id")
+
+
 @query("SELECT count(*) AS n_checked, count(*) FILTER (doc_id % 50 = 0 AND len(regexp_extract_all(lower(text), '\\p{L}+')) > 0) AS n_different FROM documents")
 def r16_embedding_check(spark, d):
     """Stored vectors against those computed again from the texts; every fiftieth was stored turned round."""
@@ -751,6 +842,17 @@ def c4_cohort_tables(spark, d):
     return spark.read.schema("video_id long, true_label string, prediction string, method string, outcome string").parquet(f"{scratch.root}/cohorts").select("method", "outcome", "video_id")
 
 
+@query(
+    f"""WITH {METHODS} SELECT method, CASE WHEN prediction = 'real' THEN 'missed' ELSE 'kept' END AS outcome, count(*) AS n, round(avg(length(transcript)), 6) AS avg_length, min(length(transcript)) AS min_length, max(length(transcript)) AS max_length
+    FROM methods JOIN videos USING (video_id) WHERE true_label = 'fake' AND prediction IN ('real', 'fake') AND video_id IN (SELECT video_id FROM predictions WHERE true_label = 'fake' AND prediction = 'fake') GROUP BY ALL""",
+    "predictions videos",
+)
+def c4_text_lengths(spark, d):
+    texts = V.videos(spark, d).select("video_id", F.col("transcript").alias("text"))
+    n = L.text_lengths(_cohorts(spark, d).join(texts, "video_id"))
+    return n.select("method", "outcome", "n", r6("avg_length", "avg_length"), F.col("min_length").cast("long").alias("min_length"), F.col("max_length").cast("long").alias("max_length"))
+
+
 #: A small lexicon: categories, and rules (rule, pattern, prefix, category); 9 has no category.
 CATEGORIES = [(1, "article"), (2, "syllable"), (3, "rare")]
 RULES = [(0, "the", False, 1), (1, "of", False, 1), (2, "th", True, 2), (3, "the", True, 2), (4, "on", True, 2), (5, "zz", True, 3), (6, "an", False, 1), (6, "an", False, 2), (7, "in", False, 9)]
