@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from transcript_jobs.llm.bpe import encode_and_decode
 from transcript_jobs.llm.embedding_duplicates import near_embeddings
+from transcript_jobs.llm.fill_in_middle import fill_in_middle, restore
 from transcript_jobs.llm.fingerprints import fingerprint_with_next
 from transcript_jobs.llm.licenses import scan_licenses
 from transcript_jobs.llm.near_duplicates import near_duplicates
@@ -97,7 +98,28 @@ def op7_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered.withColumn("mask", F.array_join(spans, ","))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_source_mix, op4_toxicity, op5_weighted_fingerprints, op6_near_duplicates, op7_perspectives, op8_near_embeddings, op9_bpe_round_trip, op10_token_counts)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    back = restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_token_files,
+        op3_source_mix,
+        op4_toxicity,
+        op5_weighted_fingerprints,
+        op6_near_duplicates,
+        op7_perspectives,
+        op8_near_embeddings,
+        op9_bpe_round_trip,
+        op10_token_counts,
+        op11_fill_in_middle,
+    )
+}
 ORACLES = {
     "op3_source_mix": """
         WITH weights AS (SELECT 'src' || i AS name, CASE WHEN i < 5 THEN 2.0::DOUBLE ELSE 1.0 END AS w FROM range(20) t(i) UNION ALL SELECT '', 1.0),
@@ -143,4 +165,13 @@ ORACLES = {
         n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
         SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
         FROM embeddings e LEFT JOIN n ON n.a = vec_id LEFT JOIN low l ON l.a = vec_id""",
+    "op11_fill_in_middle": r"""
+        WITH drawn AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+                       list_transform(range(4), lambda k: ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 8 * k + 1, 8))::BIGINT) AS h FROM documents),
+        cuts AS (SELECT *, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS lo, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS hi,
+                 CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+        parts AS (SELECT *, coalesce(array_to_string(u[1:lo], ''), '') AS p, coalesce(array_to_string(u[lo + 1:hi], ''), '') AS m, coalesce(array_to_string(u[hi + 1:n], ''), '') AS s FROM cuts)
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(CASE form WHEN 'plain' THEN text ELSE p || m || s END) AS restored_sha256 FROM parts""",
 }
