@@ -11,6 +11,7 @@ from transcript_jobs.llm.embedding_duplicates import near_embeddings
 from transcript_jobs.llm.fill_in_middle import fill_in_middle, restore
 from transcript_jobs.llm.fingerprints import fingerprint_with_next
 from transcript_jobs.llm.licenses import scan_licenses
+from transcript_jobs.llm.manifest import build_manifest, folded, hex_text, leaf_digest, proof_digest
 from transcript_jobs.llm.near_duplicates import near_duplicates
 from transcript_jobs.llm.perspectives import rotate_perspectives
 from transcript_jobs.llm.source_mix import mix_sources
@@ -104,6 +105,16 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, and a check of rows of which those with an even CRC-32 of the id have lost their line breaks."""
+    struck = (F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & (F.instr("text", "\n") > 0)
+    changed = leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), F.translate("text", "\n", ""))
+    made = build_manifest(table(spark, sf_dir, "documents"), also={"tampered": F.when(struck, F.unhex(changed))})
+    again = folded(F.coalesce(hex_text(F.col("tampered")), F.col("leaf")), F.col("proof"))
+    checked = made.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), again.alias("folded_root"))
+    return checked.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -118,6 +129,7 @@ QUERIES = {
         op9_bpe_round_trip,
         op10_token_counts,
         op11_fill_in_middle,
+        op12_merkle_manifest,
     )
 }
 ORACLES = {
@@ -174,4 +186,25 @@ ORACLES = {
         SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
                sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
                sha256(CASE form WHEN 'plain' THEN text ELSE p || m || s END) AS restored_sha256 FROM parts""",
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE rows_ AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS tree, text,
+                 concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+                 list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT) AS bytes FROM documents),
+        hashed AS (SELECT *, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) AS stripped,
+                 xor(list_reduce([4294967295::BIGINT] || bytes, lambda a, b: list_reduce([xor(a, b)] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)), 4294967295::BIGINT) AS crc FROM rows_),
+        leaves AS (SELECT doc_id, tree, leaf, CASE WHEN crc % 2 = 0 THEN stripped ELSE leaf END AS tampered, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM hashed),
+        nodes(lvl, tree, pos, n, d) AS (SELECT 0, tree, pos, n, leaf FROM leaves
+                 UNION ALL SELECT lvl + 1, tree, pos // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY lvl, tree, pos // 3, n),
+        subs AS (SELECT tree, lvl AS height, d AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+        tops(lvl, pos, n, d) AS (SELECT 0, pos, n, subroot FROM subs UNION ALL SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY lvl, pos // 3, n),
+        every AS (SELECT lvl, tree, pos, n, d FROM nodes UNION ALL SELECT lvl, NULL, pos, n, d FROM tops),
+        steps AS (SELECT lvl, tree, pos, coalesce(string_agg(d, '' ORDER BY pos) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before_,
+                 coalesce(string_agg(d, '' ORDER BY pos) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after_ FROM every WHERE n > 1 WINDOW w AS (PARTITION BY lvl, tree, pos // 3 ORDER BY pos)),
+        climb(id, tree, lvl, pos, d, proof) AS (SELECT concat(tree, ':', pos), tree, 0, pos, tampered, '' FROM leaves
+                 UNION ALL SELECT id, c.tree, c.lvl + 1, c.pos // 3, sha256(before_ || d || after_), proof || before_ || after_ FROM climb c JOIN steps s ON s.lvl = c.lvl AND s.tree = c.tree AND s.pos = c.pos),
+        inner_ AS (SELECT c.id, c.d, c.proof, s.subroot, s.pos, n.doc_id, n.leaf FROM climb c JOIN subs s ON s.tree = c.tree AND c.lvl = s.height JOIN leaves n ON concat(n.tree, ':', n.pos) = c.id),
+        up(id, lvl, pos, d, proof) AS (SELECT id, 0, pos, d, proof FROM inner_
+                 UNION ALL SELECT id, u.lvl + 1, u.pos // 3, sha256(before_ || d || after_), proof || before_ || after_ FROM up u JOIN steps s ON s.lvl = u.lvl AND s.tree IS NULL AND s.pos = u.pos)
+        SELECT i.doc_id, i.leaf, i.subroot, r.d AS root, sha256(u.proof) AS proof_sha256, u.d AS folded_root, u.d = r.d AS verified
+        FROM inner_ i JOIN up u ON u.id = i.id JOIN tops r ON r.n = 1 AND r.lvl = u.lvl""",
 }
