@@ -11,6 +11,7 @@ from transcript_jobs.llm.embedding_duplicates import near_embeddings
 from transcript_jobs.llm.fill_in_middle import fill_in_middle, restore
 from transcript_jobs.llm.fingerprints import fingerprint_with_next
 from transcript_jobs.llm.licenses import scan_licenses
+from transcript_jobs.llm.line_quality import judge_quality
 from transcript_jobs.llm.manifest import build_manifest, folded, hex_text, leaf_digest, proof_digest
 from transcript_jobs.llm.near_duplicates import near_duplicates
 from transcript_jobs.llm.perspectives import rotate_perspectives
@@ -115,6 +116,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents")).drop("removed_lines")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -130,6 +135,7 @@ QUERIES = {
         op10_token_counts,
         op11_fill_in_middle,
         op12_merkle_manifest,
+        op13_line_quality,
     )
 }
 ORACLES = {
@@ -207,4 +213,20 @@ ORACLES = {
                  UNION ALL SELECT id, u.lvl + 1, u.pos // 3, sha256(before_ || d || after_), proof || before_ || after_ FROM up u JOIN steps s ON s.lvl = u.lvl AND s.tree IS NULL AND s.pos = u.pos)
         SELECT i.doc_id, i.leaf, i.subroot, r.d AS root, sha256(u.proof) AS proof_sha256, u.d AS folded_root, u.d = r.d AS verified
         FROM inner_ i JOIN up u ON u.id = i.id JOIN tops r ON r.n = 1 AND r.lvl = u.lvl""",
+    "op13_line_quality": r"""
+        WITH docs AS (SELECT row_number() OVER () AS id, doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS text FROM documents),
+        cut AS (SELECT id, doc_id, host, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM docs),
+        grams AS (SELECT id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM cut)),
+        again AS (SELECT id, i FROM grams QUALIFY count(*) OVER (PARTITION BY id, g) > 1),
+        repeats AS (SELECT id, count(DISTINCT p) AS n FROM (SELECT id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY id),
+        norms AS (SELECT id, host, text, list_filter(list_transform(ls, lambda x: trim(regexp_replace(translate(lower(x), '123456789', '000000000'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'))), lambda x: x <> '') AS ls FROM cut),
+        parts AS (SELECT id, host, text, x, len(string_split(x, ' ')) AS n FROM (SELECT id, host, text, unnest(ls) AS x FROM norms)),
+        hosts AS (SELECT host, greatest(20, least(1000, floor(count(DISTINCT text) * 0.005::DOUBLE))) AS most FROM docs GROUP BY host),
+        often AS (SELECT host, x FROM parts JOIN hosts USING (host) GROUP BY host, x, most HAVING count(DISTINCT text) > most),
+        gone AS (SELECT id, sum(n)::BIGINT AS removed_words FROM parts JOIN often USING (host, x) GROUP BY id),
+        counted AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words
+                    FROM cut LEFT JOIN repeats USING (id) LEFT JOIN gone USING (id)),
+        failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+        SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, base_failed, NOT base_failed AND n_words - removed_words >= 0.3::DOUBLE * n_words AS kept FROM failed""",
 }
