@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import time
 import zlib
 
 import numpy as np
@@ -82,6 +84,52 @@ def test_long_unspaced_words(library, vocabulary, encoders):
     assert encode.encode(pa.array([word]))[1].tolist() == want and count.count(pa.array([word]))[1].tolist() == [len(want)]
 
 
+def test_words_of_all_lengths_at_once(library, vocabulary, encoders):
+    rng = np.random.default_rng(9)
+    letters = [list("ab"), list("abcdefghij"), list("etaoinshrdlu"), ["日", "本", "語", "a"], ["aaaa", "b"], ["=", "-"], ["0", "1"]]
+    words = ["".join(rng.choice(letters[k % 7], int(rng.integers(0, 900)))) for k in range(140)] + ["a" * n for n in (255, 256, 257, 258, 1001)] + ["", "b"]
+    raw = [w.encode() for w in words]
+    ids, sizes = merge_words(vocabulary, raw)
+    ends = np.cumsum(sizes).tolist()
+    assert [ids[s:e].tolist() for s, e in zip([0, *ends], ends)] == [vocabulary.merge(w) for w in raw]
+    none, counts = merge_words(vocabulary, raw, symbols=False)
+    assert not len(none) and counts.tolist() == sizes.tolist()
+    assert encoders[1].count(pa.array(words))[1].tolist() == [len(e.ids) for e in library[BYTE].encode_batch(words, add_special_tokens=False)]
+
+
+def test_megabytes_without_a_space(library, vocabulary):
+    rng = np.random.default_rng(6)
+    word = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 4_000_000))
+    start = time.time()
+    count = Counter(vocabulary).count(pa.array([word]))[1].tolist()
+    assert time.time() - start < 60
+    assert count == [len(library[BYTE].encode(word, add_special_tokens=False).ids)]
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}},
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}},
+        {"pre_tokenizer": {"type": "Whitespace"}},
+        {"pre_tokenizer": None},
+        {"normalizer": {"type": "NFC"}},
+        {"decoder": {"type": "BPEDecoder"}},
+        {"model": {"ignore_merges": True}},
+        {"model": {"byte_fallback": True}},
+        {"model": {"end_of_word_suffix": "</w>"}},
+        {"model": {"dropout": 0.1}},
+        {"model": {"type": "WordPiece"}},
+        {"added_tokens": [{"id": 50256, "content": "<|endoftext|>", "lstrip": True}]},
+    ],
+)
+def test_other_tokenizers_are_refused(change):
+    spec = json.load(open(BYTE, encoding="utf-8"))
+    spec |= {k: spec["model"] | v if k == "model" else v for k, v in change.items()}
+    with pytest.raises(ValueError):
+        Vocabulary(json.dumps(spec))
+
+
 ROWS = [(1, "Hello world <|endoftext|> again", "x"), (2, None, "y"), (2, None, "y"), (3, "", None), (None, "é日本", "z"), (4, "word " * 40_000 + "q" * 20_000, "l")]
 
 
