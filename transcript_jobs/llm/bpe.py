@@ -37,6 +37,35 @@ def tokenizer_text(spark: SparkSession, path: str) -> str:
         return f.read()
 
 
+#: What a tokenizer's file must say of how it works, each with the values that mean what is done here.
+KNOWN = {
+    "normalizer": [None],
+    "pre_tokenizer.type": ["ByteLevel"],
+    "pre_tokenizer.add_prefix_space": [False],
+    "pre_tokenizer.use_regex": [True, None],
+    "decoder.type": ["ByteLevel"],
+    "model.type": ["BPE", None],
+    "model.dropout": [None, 0.0],
+    "model.continuing_subword_prefix": [None, ""],
+    "model.end_of_word_suffix": [None, ""],
+    "model.byte_fallback": [False, None],
+    "model.ignore_merges": [False, None],
+}
+
+
+def check_shape(spec: dict) -> None:
+    """Refuse a tokenizer that works otherwise than plain byte-level BPE, as its ids would be wrong."""
+    for name, good in KNOWN.items():
+        part = spec
+        for key in name.split("."):
+            part = (part or {}).get(key)
+        if not any(part is g or part == g and type(part) is type(g) for g in good):
+            raise ValueError(f"this tokenizer has {name} = {part!r}; byte-level BPE with {good[0]!r} is supported")
+    for token in spec["added_tokens"]:
+        if any(token.get(k) for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"this tokenizer matches {token['content']!r} by more than its string")
+
+
 class Vocabulary:
     """A tokenizer's tokens and merges as arrays.
 
@@ -46,6 +75,7 @@ class Vocabulary:
 
     def __init__(self, text: str):
         spec = json.loads(text)
+        check_shape(spec)
         model = spec["model"]
         byte_of = {c: b for b, c in enumerate(byte_letters())}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
