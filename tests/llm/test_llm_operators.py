@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 
@@ -365,6 +366,13 @@ def test_fingerprints(spark):
     assert fingerprint_with_next(d.limit(0)).count() == 0
     one = fingerprint_with_next(d.where("doc_id = 3")).head()
     assert one["near_next"] == 1.0
+    ends = [(-(2**63), "least"), (2**63 - 1, "most"), (None, "none"), (None, "another"), (0, "zero")]
+    whole = sorted(ends, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    found = {(r["doc_id"], r["edited_sha256"]) for r in fingerprint_with_next(spark.createDataFrame(ends, "doc_id long, text string")).collect()}
+    edited = lambda t, n: t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+    assert found == {(i, hashlib.sha256(edited(t, whole[(k + 1) % 5][1]).encode()).hexdigest()) for k, (i, t) in enumerate(whole)}
+    with pytest.raises(TypeError):
+        fingerprint_with_next(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
     assert "Python" not in fingerprint_with_next(d)._jdf.queryExecution().executedPlan().toString()
 
 

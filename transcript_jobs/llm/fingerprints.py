@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Samples in a fingerprint: the likeness of two is the share of equal samples, within 1/sqrt(4 * SAMPLES) of the truth.
 SAMPLES = 48
@@ -101,8 +102,9 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Returns ``id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next``, a row for each row. Null texts are empty; an empty text
     has an empty fingerprint, like that of another empty text (1.0) and unlike any
-    other (0.0). Null ids come first; rows of one id are ordered by text. Other
-    columns are ignored. An empty table gives no rows.
+    other (0.0). Ids are integers of any size; a type of another kind raises. Null ids
+    come first; rows of one id are ordered by text. Other columns are ignored. An
+    empty table gives no rows.
 
     Texts are shuffled once, into buckets of consecutive ids that hold about as many
     bytes, each in a partition of its own; the first document of each bucket is also
@@ -111,9 +113,10 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The key alone stands for the id, so that all later steps read one and the same shuffle.
-    null_id = F.lit(-(2**63))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), null_id).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must hold integers")
+    # A null id takes the least key; ``known`` tells it from an id of that value.
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.col(id_col).isNotNull().alias("known"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # Eight pieces of like row counts for a bucket are measured and joined: a number that is a setting.
     fine = ordered_cuts(rows, "key", 8 * n)
     sizes = rows.groupBy(piece(F.col("key"), fine).alias("piece")).agg(F.min("key").alias("key"), F.sum(F.octet_length("text") + 1).alias("size")).collect()
@@ -124,12 +127,12 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
     firsts = [key for key, _ in sizes[:1]] + starts
     ahead = small_table(spark, [(firsts[(i + 1) % len(firsts)], labels[i]) for i in range(len(firsts))] or [(0, -1)], ("key", "before"))
     places = F.array(F.struct(F.col("home").alias("bucket"), F.lit(False).alias("guest")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guest")))
-    sent = rows.join(F.broadcast(ahead), "key", "left").select("key", "text", F.inline(F.filter(places, lambda p: p["bucket"].isNotNull())))
+    sent = rows.join(F.broadcast(ahead), "key", "left").select("key", "known", "text", F.inline(F.filter(places, lambda p: p["bucket"].isNotNull())))
     # Said here, as joins on the bucket would say it in some of the later steps alone, which then shuffle for themselves.
     sent = sent.where(F.col("bucket").isNotNull())
-    by_id = Window.partitionBy("bucket").orderBy("guest", "key", "text")
+    by_id = Window.partitionBy("bucket").orderBy("guest", "key", "known", "text")
     half = F.floor(F.length("text") / 2).cast("int")
-    seen = sent.repartition(n, "bucket").select("bucket", "guest", "key", "text", F.row_number().over(by_id).alias("row"), F.lead("text").over(by_id).alias("next"))
+    seen = sent.repartition(n, "bucket").select("bucket", "guest", "key", "known", "text", F.row_number().over(by_id).alias("row"), F.lead("text").over(by_id).alias("next"))
     seen = seen.withColumn("edited", F.when(~F.col("guest"), F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next", F.lit(1), half))))
 
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))
@@ -139,12 +142,12 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
     least = samples_of(counts, ["bucket", "row", "side"], samples)
     prints = least.select("bucket", "row", "side", F.array(*[f"s{k}" for k in range(samples)]).alias("s"))
 
-    about = seen.select("bucket", "row", "guest", "key", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    about = seen.select("bucket", "row", "guest", "key", "known", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     own = about.join(prints.where("side = 0").select("bucket", "row", F.col("s").alias("own")), ["bucket", "row"], "left")
     both = own.join(prints.where("side = 1").select("bucket", "row", F.col("s").alias("changed")), ["bucket", "row"], "left")
     both = both.withColumn("following", F.lead("own").over(Window.partitionBy("bucket").orderBy("row")))
     return both.where(~F.col("guest")).select(
-        F.when(F.col("key") != null_id, F.col("key")).cast(docs.schema[id_col].dataType).alias(id_col),
+        F.when(F.col("known"), F.col("key")).cast(docs.schema[id_col].dataType).alias(id_col),
         "n_chars",
         "edited_sha256",
         as_text(F.col("own")).alias("fingerprint"),
