@@ -16,7 +16,7 @@ from transcript_jobs.operators import screening as X
 from transcript_jobs.operators import stats as A
 from transcript_jobs.operators.models import embed
 from transcript_jobs.plans.summarise import recursive_summary
-from transcript_jobs.plans.tree import build_tree, clusters_within_budget, soft_clusters
+from transcript_jobs.plans.tree import Clustering, build_tree, clusters_within_budget, soft_clusters
 from transcript_jobs.sources import tables as IO
 
 
@@ -236,7 +236,7 @@ def test_soft_clusters():
     found = soft_clusters(x)
     assert set(np.concatenate(found)) == set(range(90)) and len(found) >= 3
     tokens = np.full(90, 100)
-    assert all(tokens[c].sum() <= 1500 or len(c) == 1 for c in clusters_within_budget(x, tokens, 1500))
+    assert all(tokens[c].sum() <= 1500 or len(c) == 1 for c in clusters_within_budget(x, tokens, how=Clustering(budget=1500)))
     assert [list(c) for c in soft_clusters(x[:5])] == [[0, 1, 2, 3, 4]]
 
 
@@ -246,7 +246,7 @@ def test_tree(spark):
 
     text = " ".join(f"Word{i % 7} number{i} stands here." for i in range(400))
     docs = spark.createDataFrame([(1, text), (2, "Short."), (3, None)], "doc_id long, text string")
-    nodes, edges = build_tree(docs, lambda c: hashed_embedding(tokens(c)), lambda c: F.substring(c, 1, 60), most_tokens=20, sentences=sentences_latin, budget=200)
+    nodes, edges = build_tree(docs, lambda c: hashed_embedding(tokens(c)), lambda c: F.substring(c, 1, 60), most_tokens=20, sentences=sentences_latin, how=Clustering(budget=200))
     rows = nodes.select("doc_id", "node_id", "layer").collect()
     ids = [r["node_id"] for r in rows if r["doc_id"] == 1]
     assert sorted(ids) == list(range(len(ids))) and max(r["layer"] for r in rows) >= 1

@@ -134,9 +134,16 @@ def test_recursive_summaries(spark, data):
 
     assert run(spark, data, "m4_recursive_summary", "video_id", "summary", "rounds") == listed((i, *shorten(t or "")) for i, t in data[1].items())
 
+    def smoothed(t):
+        """What was joined from parts is put to the model once more."""
+        text, rounds = shorten(t)
+        return (". ".join(text.split(". ")[::4]) if rounds else text), rounds
+
+    assert run(spark, data, "m4_smoothed_summary", "video_id", "summary", "rounds") == listed((i, *smoothed(t or "")) for i, t in data[1].items())
+
 
 def rouge(t):
-    a, b = words(t[: len(t) // 4]), words(t[20 : 20 + len(t) // 4])
+    a, b = words(t[: len(t) // 2]), words(t[len(t) // 2 :])
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
         for j, y in enumerate(b):
@@ -162,6 +169,8 @@ def test_greedy_matches(spark, data):
         near = v[: (len(v) + 1) // 2] @ v.T
         p, r = near.max(axis=1).mean(), near.max(axis=0).mean()
         assert got[c] == pytest.approx((p, r, 2 * p * r / (p + r) if p + r else 0.0))
+    means = {r[0]: r[1:] for r in run(spark, data, "q3_mean_matches", "model", "n_samples", "avg_f1")}
+    assert means == {"m0": (2, pytest.approx((got[0][2] + got[3][2]) / 2, abs=1e-5)), "m1": (1, pytest.approx(got[1][2], abs=1e-5)), "m2": (1, pytest.approx(got[2][2], abs=1e-5))}
 
 
 def screened(data):
@@ -270,6 +279,29 @@ def test_residual_tests(spark, data):
         assert got[f] == (pytest.approx(slope), pytest.approx(intercept), pytest.approx(p, rel=1e-3))
 
 
+def test_two_spaces(spark, data, monkeypatch):
+    built = []
+    made = core.build_tree
+    monkeypatch.setattr(core, "build_tree", lambda *a, **k: built.append(made(*a, **k)) or built[-1])
+    got = defaultdict(list)
+    for doc, q, node, rank in run(spark, data, "r4_two_spaces", "doc_id", "query_id", "node_id", "rank"):
+        got[doc, q].append((rank, node))
+    nodes = built[0][0].collect()
+    shape = lambda t: np.array([len(t), 1 + sum(c in "aeiou" for c in t)], float)
+    for r in nodes:
+        assert np.allclose(r["embeddings"]["search"], shape(r["text"])) and np.allclose(r["embeddings"]["cluster"], vector(r["text"])) and r["embedding"] == r["embeddings"]["cluster"]
+    asked = duckdb.sql(f"SELECT item_id, text FROM read_parquet('{data[0]}/benchmark.parquet/*.parquet')").fetchall()
+    for doc in {r["doc_id"] for r in nodes}:
+        for q, text in asked:
+            near = []
+            for r in nodes:
+                if r["doc_id"] == doc:
+                    v, w = shape(r["text"]), shape(text)
+                    near.append((1 - v @ w / np.linalg.norm(v) / np.linalg.norm(w), r["node_id"]))
+            found = [dict((n, d) for d, n in near)[n] for _, n in sorted(got[doc, q])]
+            assert np.allclose(found, [d for d, _ in sorted(near)[:3]], atol=1e-9)
+
+
 def test_trees_and_searches(spark, data, monkeypatch):
     built = []
     made = core.build_tree
@@ -287,14 +319,14 @@ def test_trees_and_searches(spark, data, monkeypatch):
     assert set(children) == {k for k, r in nodes.items() if r["layer"] > 0}
     one_line = lambda t: re.sub(r"\r?\n", " ", t) + "\n\n"
     for (doc, node), below in children.items():
-        assert nodes[doc, node]["text"] == "".join(one_line(nodes[doc, c]["text"]) for c in sorted(below))[:200]
+        assert nodes[doc, node]["text"] == ". ".join("".join(one_line(nodes[doc, c]["text"]) for c in sorted(below)).split(". ")[::4])
 
     kept = []
     retrieve = core.r15_tree_retrieval
     monkeypatch.setattr(core, "r15_tree_retrieval", lambda *a: kept.append(retrieve(*a)) or kept[-1])
     judged = run(spark, data, "r15_tree_predictions", "doc_id", "true_label", "prediction", "n_chars")
     got = dict((r["doc_id"], r["context_text"]) for r in kept[0].collect())
-    asked = duckdb.sql(f"SELECT item_id, text FROM read_parquet('{data[0]}/benchmark.parquet/*.parquet') ORDER BY item_id").fetchall()
+    asked = [(k, core.QUESTION_FORM.format(q)) for k, q in enumerate(core.QUESTIONS)]
     want = {}
     for doc in {d for d, _ in nodes}:
         contexts = []

@@ -16,7 +16,8 @@ def generate(prompts: DataFrame, model: Callable[[list], list], prompt_col: str
 
     A batch that fails is tried row by row, so that one bad prompt costs one row: its
     output is ``on_error`` or the text of ``fallback_col``, and its error is kept.
-    Rows are dealt out round robin first, as calls cost far more than rows weigh.
+    With ``parts`` rows are first dealt out over as many tasks, as calls cost far more
+    than rows weigh; without, they stay where they are.
     """
     dealt = prompts.repartition(parts) if parts else prompts
 

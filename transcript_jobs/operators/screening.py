@@ -67,25 +67,41 @@ def letter_counts(quote: str, sentences: list[str]) -> np.ndarray:
     return np.bincount(row[hit] * len(code) + order[at[hit]], minlength=len(sentences) * len(code)).reshape(len(sentences), len(code))
 
 
+def shared_order(masks: dict[str, int], size: int, sentence: str) -> int:
+    """How many letters a quote of ``size`` letters and a sentence share in the same order at most, from the places of the quote's letters as bits."""
+    full = (1 << size) - 1
+    row = full
+    for c in sentence:
+        if m := masks.get(c):
+            hit = row & m
+            row = ((row + hit) | (row - hit)) & full
+    return size - row.bit_count()
+
+
 def best_ratio(quote: str, sentences: list[str], counts: np.ndarray, floor: float) -> tuple[float, int]:
     """The first sentence of the highest similarity ratio above ``floor``.
 
-    Shared letters, whatever their order, bound a ratio from above: sentences are
-    compared in descending order of that bound, until none can be better.
+    Two bounds of a ratio keep most sentences from the matcher: the letters that both
+    have, and those that they have in the same order, which no matching blocks exceed.
+    Sentences come in descending order of the first, until none can be better.
     """
     if not sentences:
         return floor, -1
     of_quote = np.array(list(Counter(quote).values()))
     total = len(quote) + np.array([len(s) for s in sentences])
     bound = 2.0 * np.minimum(counts, of_quote).sum(axis=1) / total
+    masks: dict[str, int] = {}
+    for k, c in enumerate(quote):
+        masks[c] = masks.get(c, 0) | 1 << k
     best, at = floor, -1
-    matcher = SequenceMatcher(None)
     for i in np.argsort(-bound, kind="stable").tolist():
         if bound[i] < best or bound[i] <= floor:
             break
         if sentences[i]:
-            matcher.set_seqs(quote, sentences[i])
-            r = matcher.ratio()
+            ordered = 2.0 * shared_order(masks, len(quote), sentences[i]) / total[i]
+            if ordered < best or ordered <= floor:
+                continue
+            r = SequenceMatcher(None, quote, sentences[i]).ratio()
             if r > best or r == best and 0 <= i < at:
                 best, at = r, i
     return best, at
@@ -100,17 +116,16 @@ def align_rest(quotes: pd.Series, sentences: pd.Series) -> pd.DataFrame:
             continue
         s = list(s)
         counts = letter_counts(q, s)
-        score, at = best_ratio(q, s, counts, 0.0)
-        if score < SURE:
-            pairs = [a + b for a, b in zip(s, s[1:])]
-            held = next((i for i, p in enumerate(pairs) if q in p), -1)
-            # Pairs before the one that holds the quote can still only lose to it.
-            if held >= 0:
-                score, at = 1.0, held
-            else:
-                pair_score, pair_at = best_ratio(q, pairs, counts[:-1] + counts[1:], score)
-                if pair_at >= 0:
-                    score, at = pair_score, pair_at
+        pairs = [a + b for a, b in zip(s, s[1:])]
+        held = next((i for i, p in enumerate(pairs) if q in p), -1)
+        # Two neighbours that hold the quote lose to a sentence that is sure alone, and to nothing else.
+        score, at = best_ratio(q, s, counts, float(np.nextafter(SURE, 0)) if held >= 0 else 0.0)
+        if held >= 0 and at < 0:
+            score, at = 1.0, held
+        elif score < SURE:
+            pair_score, pair_at = best_ratio(q, pairs, counts[:-1] + counts[1:], score)
+            if pair_at >= 0:
+                score, at = pair_score, pair_at
         rows.append((score, at))
     return pd.DataFrame(rows, columns=["score", "at"]).astype({"score": "float64", "at": "Int32"})
 
@@ -159,6 +174,33 @@ def screening_records(videos: DataFrame, candidates: DataFrame) -> DataFrame:
 STRIDE = 8
 
 
+def overlap(text: str, part: str, least: int) -> int:
+    """The most characters, ``least`` or more, that end ``text`` and start ``part``; 0 if there are fewer.
+
+    A first search leaves out what cannot begin an overlap. From there each character
+    of the end extends the longest start of ``part`` that ends with it, or falls back
+    to the next shorter one, so that the time grows with the length alone.
+    """
+    end = text[max(len(text) - len(part), 0) :]
+    at = end.find(part[:least])
+    if at < 0 or len(part) < least:
+        return 0
+    end = end[at:]
+    start = part[: len(end)]
+    shorter, k = [0] * len(start), 0
+    for i in range(1, len(start)):
+        while k and start[i] != start[k]:
+            k = shorter[k - 1]
+        k += start[i] == start[k]
+        shorter[i] = k
+    k = 0
+    for c in end:
+        while k and (k == len(start) or start[k] != c):
+            k = shorter[k - 1]
+        k += start[k] == c
+    return k if k >= least else 0
+
+
 def merge_fragments(fragments: list[str], least: int = 10, gap: str = "\n……\n") -> str:
     """Fragments in order, without repeats and contained ones, joined where an end and a start overlap by ``least`` characters or more."""
     merged, seed, done = "", max(1, least), 0
@@ -171,7 +213,7 @@ def merge_fragments(fragments: list[str], least: int = 10, gap: str = "\n……\
         elif part in merged if len(part) < seed + STRIDE else held(part):
             continue
         else:
-            n = next((n for n in range(min(len(merged), len(part)), least - 1, -1) if merged.endswith(part[:n])), 0)
+            n = overlap(merged, part, seed)
             merged += part[n:] if n else gap + part
         for at in range(done, len(merged) - seed + 1, STRIDE):
             places.setdefault(merged[at : at + seed], []).append(at)

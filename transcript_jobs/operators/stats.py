@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from transcript_jobs.plans.scratch import Scratch
+
 #: Up to so many differences the null distribution is exact, and with zeros or ties sign flips are tried up to FLIPS.
 EXACT, FLIPS = 50, 13
 
@@ -47,20 +49,54 @@ def signed_rank_p(n: int, zeros: int, w: float, tie_sum: float, tied: bool, rank
     return min(1.0, {"two-sided": 2 * min(low, high), "less": low, "greater": high}[alternative])
 
 
+def rows_before(counts: DataFrame, by: list[str], value: str, size: str) -> DataFrame:
+    """``counts`` with ``before``, the rows of the same ``by`` with a lower value, and ``total``, all its rows.
+
+    Distinct values with how many rows have them (``size``) are sorted by ranges of
+    (by, value); a range sums its own, and what the ranges before hold is added. A
+    feature's values lie in as many tasks as they need: no window runs over a feature.
+    """
+    order = [*by, value]
+    sorted_ = counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    # Written, so that all that follows sees the same ranges.
+    sorted_ = Scratch(counts.sparkSession, "ranks").save(sorted_, "sorted")
+    sums = sorted_.groupBy(*by, "_part").agg(F.sum(size).alias("_sum"))
+    # A row for each feature and range.
+    whole = Window.partitionBy(*by)
+    earlier = F.sum("_sum").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select(*by, "_part", F.coalesce(earlier, F.lit(0)).alias("_start"), F.sum("_sum").over(whole).alias("total"))
+    own = F.sum(size).over(Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    found = sorted_.withColumn("before", F.coalesce(own, F.lit(0))).join(starts, [*by, "_part"])
+    return found.withColumn("before", F.col("before") + F.col("_start")).drop("_part", "_start")
+
+
+def quantile_of(placed: DataFrame, by: list[str], value: str, size: str, share: float, out: str) -> DataFrame:
+    """The interpolated quantile of each ``by``, from the distinct values that ``rows_before`` has placed."""
+    at = F.lit(share) * (F.col("total") - 1)
+    has = lambda place: (F.col("before") <= place) & (place < F.col("before") + F.col(size))
+    ends = placed.where(has(F.floor(at)) | has(F.ceil(at))).groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.first(at - F.floor(at)).alias("_part"))
+    return ends.select(*by, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias(out))
+
+
+def quantile(rows: DataFrame, by: list[str], value: str, share: float, out: str = "quantile") -> DataFrame:
+    """The exact interpolated quantile of the non-null values of each ``by``, with as many distinct values as there are."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_value")).agg(F.count("*").alias("_size"))
+    return quantile_of(rows_before(counts, by, "_value", "_size"), by, "_value", "_size", share, out)
+
+
 def signed_rank(rows: DataFrame, by: str = "feature", value: str = "delta", alternative: str = "two-sided", least: int = 3) -> DataFrame:
     """Wilcoxon's signed-rank test for each ``by``: ``n, n_zero, w_plus, p_raw``, with median and mean.
 
     Differences are first counted by feature and absolute value, which combines before
-    the shuffle: few features have many rows, so that only distinct values are ranked.
+    the shuffle; distinct values are ranked by ranges, so that few features with many
+    rows keep many tasks at work.
     With fewer than ``least`` values, or only one distinct value, p is 1.
     """
     good = rows.where(finite(F.col(value))).select(by, F.col(value).cast("double").alias("d"))
     # Halves of the signs are kept apart within one group of equal absolute values.
     counts = good.groupBy(by, F.abs("d").alias("a")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("t_plus"))
-    order = Window.partitionBy(by).orderBy("a")
-    nonzero = counts.where("a > 0").withColumn("before", F.coalesce(F.sum("t").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    nonzero = nonzero.withColumn("rank", F.col("before") + (F.col("t") + 1) / 2).withColumn("all", F.sum("t").over(Window.partitionBy(by)))
-    few = F.when(F.col("all") <= FLIPS, F.struct("rank", "t"))
+    nonzero = rows_before(counts.where("a > 0"), [by], "a", "t").withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
+    few = F.when(F.col("total") <= FLIPS, F.struct("rank", "t"))
     sums = nonzero.groupBy(by).agg(
         F.sum("t").alias("n_nonzero"),
         F.sum(F.col("rank") * F.col("t_plus")).alias("w_plus"),
@@ -68,8 +104,8 @@ def signed_rank(rows: DataFrame, by: str = "feature", value: str = "delta", alte
         F.max("t").alias("largest_tie"),
         F.collect_list(few).alias("ranks"),
     )
-    about = good.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col("d") == 0).alias("n_zero"), F.percentile("d", 0.5).alias("median_delta"), F.avg("d").alias("mean_delta"), F.min("d").alias("low"), F.max("d").alias("high"))
-    joined = about.join(sums, by, "left").na.fill({"n_nonzero": 0, "w_plus": 0.0, "tie_sum": 0.0, "largest_tie": 1})
+    about = good.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col("d") == 0).alias("n_zero"), F.avg("d").alias("mean_delta"), F.min("d").alias("low"), F.max("d").alias("high"))
+    joined = about.join(quantile(good, [by], "d", 0.5, "median_delta"), by).join(sums, by, "left").na.fill({"n_nonzero": 0, "w_plus": 0.0, "tie_sum": 0.0, "largest_tie": 1})
 
     def p(n, zeros, w, ties, largest, ranks, count, flat):
         out = []
@@ -95,7 +131,8 @@ def _typed(f):
 def summary(rows: DataFrame, by: str = "feature", value: str = "delta") -> DataFrame:
     """Median, mean and count of finite values."""
     good = rows.where(finite(F.col(value)))
-    return good.groupBy(by).agg(F.percentile(value, 0.5).alias("median_delta"), F.avg(value).alias("mean_delta"), F.count("*").alias("n"))
+    about = good.groupBy(by).agg(F.avg(value).alias("mean_delta"), F.count("*").alias("n"))
+    return about.join(quantile(good, [by], value, 0.5, "median_delta"), by).select(by, "median_delta", "mean_delta", "n")
 
 
 def false_discovery(tests: DataFrame, p: str = "p_raw", tie: str = "feature", level: float = 0.05, exclude: tuple[str, ...] = ("len",)) -> DataFrame:
@@ -141,9 +178,8 @@ def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
 
 def average_ranks(counts: DataFrame, by: str, value: str, out: str) -> DataFrame:
     """``by, value, out``: the rank from 1 of each distinct value, equal rows sharing their mean, from rows (by, value, ..., t) counted ``t`` times."""
-    distinct = counts.groupBy(by, value).agg(F.sum("t").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return distinct.select(by, value, (before + (F.col("n") + 1) / 2).alias(out))
+    distinct = rows_before(counts.groupBy(by, value).agg(F.sum("t").alias("n")), [by], value, "n")
+    return distinct.select(by, value, (F.col("before") + (F.col("n") + 1) / 2).alias(out))
 
 
 def rank_correlation(good: DataFrame, by: str) -> DataFrame:
@@ -163,7 +199,7 @@ def rank_correlation(good: DataFrame, by: str) -> DataFrame:
 def correlations(rows: DataFrame, by: str = "feature", x: str = "delta_len", y: str = "delta", method: str = "spearman") -> DataFrame:
     """Correlation of ``y`` with ``x`` for each ``by`` with three finite pairs or more: ``r, p, n, median_delta``, by ascending p."""
     good = rows.where(finite(F.col(x)) & finite(F.col(y))).select(by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    found = good.groupBy(by).agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"), F.percentile("y", 0.5).alias("median_delta"))
+    found = good.groupBy(by).agg(F.corr("x", "y").alias("r"), F.count("*").alias("n")).join(quantile(good, [by], "y", 0.5, "median_delta"), by)
     if method == "spearman":
         found = found.drop("r").join(rank_correlation(good, by), by)
     found = found.where("n >= 3 AND r IS NOT NULL AND NOT isnan(r)").select(by, "r", "n", "median_delta")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from transcript_jobs.operators import retrieval as R
 from transcript_jobs.operators import screening as X
 from transcript_jobs.operators import select as S
 from transcript_jobs.operators import stats as A
+from transcript_jobs.operators.store import ContentStore
 from transcript_jobs.plans import views as V
 from transcript_jobs.plans.scratch import Scratch
 from transcript_jobs.plans.summarise import recursive_summary
@@ -34,7 +36,7 @@ VIEWS = {
         FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)""",
     "predictions": """SELECT 'm' || (doc_id % 3) AS model, doc_id AS video_id, CASE WHEN toxic = 1 THEN 'fake' ELSE 'real' END AS true_label,
         CASE WHEN doc_id % 17 = 0 THEN 'Error' WHEN quality = 0 THEN 'fake' ELSE 'real' END AS prediction FROM labels""",
-    "pairs": """SELECT doc_id AS pair_id, lang AS model, text AS source, substr(text, 1, length(text) // 4) AS reference, substr(text, 21, length(text) // 4) AS prediction
+    "pairs": """SELECT doc_id AS pair_id, lang AS model, text AS source, substr(text, 1, length(text) // 2) AS reference, substr(text, length(text) // 2 + 1) AS prediction
         FROM documents WHERE text IS NOT NULL""",
     "trial_scores": "SELECT user_id AS trial, event_type AS model_name, event_id AS video_id, value / 100 AS score, event_type = 'error' AS failed, ts FROM events",
     "nodes": "SELECT label AS doc_id, vec_id AS node_id, (vec_id % 3)::INTEGER AS layer, embedding::DOUBLE[] AS embedding, vec_id % 400 + 50 AS tokens FROM embeddings",
@@ -105,6 +107,27 @@ def s4_nested_json(spark, d):
     return back.select("video_id", "label", "flagged_count", F.col("candidates")[0]["quote"].alias("quote"))
 
 
+@query("SELECT video_id::VARCHAR AS video_id, label, 2 AS flagged_count, generate_subscripts(q, 1) - 1 AS pos, unnest(q) AS quote, unnest(t)::INTEGER AS type FROM (SELECT video_id, label, [description, title] AS q, [1, 2] AS t FROM videos)", "videos")
+def s4_json_arrays(spark, d):
+    """Screening records in files that hold one array each."""
+    path = f"{Scratch(spark, 'json').root}/arrays"
+    found = lambda n, c: F.struct(F.lit(n).alias("type"), F.lit("claim").alias("reason"), F.col(c).alias("quote"), F.lit(False).alias("requires_full_context_check"))
+    records = V.videos(spark, d).select(F.col("video_id").cast("string"), "label", F.lit(2).alias("flagged_count"), F.array(found(1, "description"), found(2, "title")).alias("candidates"), F.floor(F.col("video_id") / 200).alias("file"))
+    IO.write_json_arrays(records, path, "file")
+    back = IO.read_screening(spark, path)
+    return back.select("video_id", "label", "flagged_count", F.posexplode("candidates").alias("pos", "c")).select("video_id", "label", "flagged_count", F.col("pos").cast("long").alias("pos"), "c.quote", "c.type")
+
+
+@query("SELECT doc_id, text, lang FROM documents")
+def s5_csv_with_mark(spark, d):
+    """Texts in files that begin with a byte order mark; the files' first bytes are looked at, too."""
+    path = f"{Scratch(spark, 'csv').root}/marked"
+    IO.write_csv(V.table(spark, d, "documents").select("doc_id", "text", "lang"), path, mark=True)
+    back = IO.read_strict_csv(spark, path, ["doc_id", "text", "lang"])
+    unmarked = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).where(F.hex(F.substring("content", 1, 3)) != "EFBBBF")
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").join(unmarked.limit(1).select("path"), F.lit(True), "left_anti")
+
+
 @query("SELECT event_type, round(avg(value), 6) AS avg_value FROM events GROUP BY event_type")
 def s5_csv_with_fixed_decimals(spark, d):
     scratch = Scratch(spark, "csv")
@@ -219,7 +242,45 @@ def _lengths(c):
     return F.transform(c, lambda x: F.length(x))
 
 
-@query()
+#: Sentences in SQL, as lists by document. Dots between digits are set aside while texts are cut.
+SENTENCES = r"""punctuated AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(t, '[^。！？!?｡．.]*[。！？!?｡．.]\p{P}*|[^。！？!?｡．.]+'),
+        lambda x: replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), chr(1), '.')), lambda x: x <> '') AS s
+        FROM (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '([0-9])\.([0-9])', '\1' || chr(1) || '\2', 'g'), '([0-9])\.([0-9])', '\1' || chr(1) || '\2', 'g') AS t FROM documents)),
+    lined AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents),
+    latin AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?]) +', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents)"""
+
+
+def _packed_sql(items: str, opens: str, carries: str = "false", first: str = "0") -> str:
+    """SQL that folds ``items`` (doc_id, i from 1, x, n, grp) into chunks: ``opens`` says whether an item begins a new one, ``carries`` whether it takes the item before along."""
+    return f"""WITH RECURSIVE {SENTENCES}, items AS ({items}),
+    fold(doc_id, i, k, size, carried, grp, n) AS (SELECT doc_id, i, {first}, n, false, grp, n FROM items WHERE i = 1
+        UNION ALL SELECT t.doc_id, t.i, k + CASE WHEN {opens} THEN 1 ELSE 0 END, CASE WHEN NOT ({opens}) THEN size + t.n WHEN {carries} THEN f.n + t.n ELSE t.n END, ({opens}) AND {carries}, t.grp, t.n
+        FROM fold f JOIN items t ON t.doc_id = f.doc_id AND t.i = f.i + 1),
+    shown AS (SELECT f.doc_id, f.k, f.i, t.x FROM fold f JOIN items t USING (doc_id, i) UNION ALL SELECT f.doc_id, f.k, f.i - 1, t.x FROM fold f JOIN items t ON t.doc_id = f.doc_id AND t.i = f.i - 1 WHERE carried),
+    chunks AS (SELECT doc_id, k AS pos, string_agg(x, '' ORDER BY i) AS chunk FROM shown GROUP BY doc_id, k)"""
+
+
+CHARS = "SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS x FROM punctuated"
+#: A sentence over 3,000 characters is several items, each of which begins a chunk.
+SLICED = f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, p) AS i, x, length(x) AS n, CASE WHEN long THEN p + 1 ELSE 0 END AS grp FROM
+    (SELECT doc_id, i, long, unnest(range(parts)) AS p, substr(x, unnest(range(parts)) * 3000 + 1, 3000) AS x FROM
+     (SELECT doc_id, i, x, length(x) > 3000 AS long, ((length(x) + 2999) // 3000)::INTEGER AS parts FROM ({CHARS})))"""
+TOKENS = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'))"
+
+
+def _token_items(view: str) -> str:
+    """A sentence over 100 tokens is a group of pieces of its own."""
+    return f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, p) AS i, x, {TOKENS.format("x")} AS n, grp FROM
+    (SELECT doc_id, i, grp, generate_subscripts(cut, 1) AS p, unnest(cut) AS x FROM
+     (SELECT doc_id, i, grp, CASE WHEN grp % 2 = 1 THEN list_filter(list_transform(regexp_split_to_array(x, '[、，；：:]'), lambda y: trim(y)), lambda y: y <> '') ELSE [x] END AS cut FROM
+      (SELECT doc_id, i, x, 2 * (sum(long) OVER (PARTITION BY doc_id ORDER BY i)) - long AS grp FROM
+       (SELECT doc_id, i, x, ({TOKENS.format("x")} > 100)::INTEGER AS long FROM (SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS x FROM {view})))))"""
+
+
+BEGUN = "f.grp <> t.grp OR size + t.n > 100"
+
+
+@query(f"WITH {SENTENCES} SELECT doc_id, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS sentence FROM punctuated")
 def t1_sentences_by_punctuation(spark, d):
     return V.table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences_by_punctuation(F.col("text"))).alias("pos", "sentence"))
 
@@ -229,29 +290,46 @@ def t2_sentences_by_line(spark, d):
     return V.table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences_by_line(F.col("text"))).alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query()
+#: A line and its break are a piece, apart if the line is over 1,000 characters; a piece over 10,000 is several items, each a block.
+PIECES = """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, p, q) AS i, x, length(x) AS n, long AS grp FROM
+    (SELECT doc_id, i, p, (length(x) > 10000)::INTEGER AS long, unnest(range((length(x) + 9999) // 10000)) AS q, substr(x, unnest(range((length(x) + 9999) // 10000)) * 10000 + 1, 10000) AS x FROM
+     (SELECT doc_id, i, generate_subscripts(cut, 1) AS p, unnest(cut) AS x FROM
+      (SELECT doc_id, i, CASE WHEN i = n THEN list_filter([l], lambda y: y <> '') WHEN length(l) > 1000 THEN [l, chr(10)] ELSE [l || chr(10)] END AS cut FROM
+       (SELECT doc_id, len(ls) AS n, generate_subscripts(ls, 1) AS i, unnest(ls) AS l FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)))))"""
+
+
+@query(_packed_sql(PIECES, "t.grp > 0 OR f.grp > 0 OR size + t.n > 10000") + " SELECT doc_id, pos, length(chunk) AS n FROM chunks")
 def t3_safe_blocks(spark, d):
     blocks = C.safe_blocks(F.col("text"))
     return V.table(spark, d, "documents").select("doc_id", F.posexplode(blocks).alias("pos", "block")).select("doc_id", "pos", F.length("block").alias("n"))
 
 
-@query()
+@query(_packed_sql(SLICED, "t.grp > 0 OR size + t.n > 3000") + " SELECT doc_id, pos, chunk FROM chunks")
 def t4_char_chunks(spark, d):
     return V.table(spark, d, "documents").select("doc_id", F.posexplode(C.char_chunks(T.sentences_by_punctuation(F.col("text")), 3000)).alias("pos", "chunk"))
 
 
-@query()
+@query(
+    _packed_sql(f"SELECT doc_id, i, x, length(x) AS n, 0 AS grp FROM ({CHARS})", "size + t.n > 1536", first="CASE WHEN n > 1536 THEN 1 ELSE 0 END")
+    + " SELECT doc_id, pos, chunk FROM chunks UNION ALL SELECT doc_id, 0, '' FROM fold WHERE i = 1 AND k = 1"
+)
 def t5_char_chunks_unsliced(spark, d):
     return V.table(spark, d, "documents").select("doc_id", F.posexplode(C.char_chunks(T.sentences_by_punctuation(F.col("text")), 1536, hard_slice=False)).alias("pos", "chunk"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SENTENCES}, ends AS (SELECT doc_id, s, len(s) AS n, list_transform(range(len(s) + 1), lambda i: coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0)) AS e FROM lined WHERE len(s) > 0),
+    slid(doc_id, pos, start, stop) AS (SELECT doc_id, 0, 0::BIGINT, least(n, greatest(1, len(list_filter(e, lambda x: x < 4000)))) FROM ends
+        UNION ALL SELECT doc_id, pos + 1, begin, least(n, greatest(begin + 1, len(list_filter(e, lambda x: x < e[begin + 1] + 4000)))) FROM
+            (SELECT w.doc_id, pos, n, e, stop - least(stop - start - 1, 3) AS begin FROM slid w JOIN ends USING (doc_id)) WHERE begin < n)
+    SELECT doc_id, pos, array_to_string(s[start + 1:stop], '') AS text, start AS start_idx FROM slid JOIN ends USING (doc_id)"""
+)
 def t6_sliding_chunks(spark, d):
     c = C.sliding_chunks(T.sentences_by_line(F.col("text")), 4000, 3)
     return V.table(spark, d, "documents").select("doc_id", F.posexplode(c).alias("pos", "c")).select("doc_id", "pos", "c.text", "c.start_idx")
 
 
-@query()
+@query(_packed_sql(_token_items("lined"), BEGUN, "f.grp = t.grp") + " SELECT doc_id, pos, chunk FROM chunks")
 def t7_token_chunks(spark, d):
     return V.table(spark, d, "documents").select("doc_id", F.posexplode(C.token_chunks(T.sentences_by_line(F.col("text")), 100, 1)).alias("pos", "chunk"))
 
@@ -275,6 +353,13 @@ def t9_verdict_prompts(spark, d):
     return V.videos(spark, d).select("video_id", p[0]["content"].alias("system"), p[1]["content"].alias("ask"))
 
 
+@query("SELECT video_id, coalesce(title, '') || chr(10) || coalesce(description, '') || chr(10) || coalesce(transcript, '') AS ask FROM videos", "videos")
+def t9_compact_prompts(spark, d):
+    """The layout without names of its parts."""
+    p = P.verdict_prompt(F.col("title"), F.col("description"), F.col("transcript"), compact=True)
+    return V.videos(spark, d).select("video_id", p[1]["content"].alias("ask"))
+
+
 FITTED = r"""fitted AS (SELECT doc_id, len(w)::INTEGER AS original_len, greatest(300 - h - 20, 0)::INTEGER AS allowed_len,
     CASE WHEN len(w) > greatest(300 - h - 20, 0) THEN array_to_string(w[1:greatest(300 - h - 20, 0)], '') ELSE text END AS text
     FROM (SELECT doc_id, text, regexp_extract_all(text, '\s*\S+') AS w, len(regexp_extract_all(source, '\S+')) + 30 AS h FROM documents))"""
@@ -352,11 +437,27 @@ def m3_content_cache(spark, d):
     return found.select("video_id", "output")
 
 
+@query("SELECT video_id, upper(title) || '/' || label AS output, length(title) % 2 = 1 AS computed FROM videos", "videos")
+def m3_saved_cache(spark, d):
+    """A store that one run fills for half of the titles and another for all: what the first saved is not computed again."""
+    rows = V.videos(spark, d).select("video_id", "title", "label").withColumn("key", M.content_key("title", "v1", "title", "label"))
+    compute = lambda missing: missing.withColumn("output", F.concat(F.upper("title"), F.lit("/"), F.col("label")))
+    store = ContentStore(spark, f"{Scratch(spark, 'content').root}/store")
+    store.fill(rows.where(F.length("title") % 2 == 0), compute)
+    return store.fill(rows, compute).select("video_id", "output", "computed")
+
+
 @query()
 def m4_recursive_summary(spark, d):
     return recursive_summary(V.videos(spark, d), _shorten, 0.2, most_chars=1500, final_chars=3000, sentences=T.sentences_latin, final_pass=False)
 
 
+@query()
+def m4_smoothed_summary(spark, d):
+    """With a last call for texts that were joined from parts."""
+    return recursive_summary(V.videos(spark, d), _shorten, 0.2, most_chars=1500, final_chars=3000, sentences=T.sentences_latin)
+
+
 @query("SELECT doc_id, m || ':' || r AS trial FROM documents, (VALUES ('a'), ('b')) t(m), (VALUES (1), (2)) u(r)")
 def m5_parameter_grid(spark, d):
     grid = M.parameter_grid(V.table(spark, d, "documents").select("doc_id"), ["a", "b"], [1.0, 2.0])
@@ -390,7 +491,7 @@ def m5_sweep(spark, d):
 
 @query(f"WITH {SWEEP} SELECT trial, round(avg(score) + 0.25 * quantile_cont(score, 0.1) - 0.10 * stddev_pop(score), 6) AS value FROM sweep GROUP BY trial")
 def m5_sweep_objectives(spark, d):
-    return Q.objective(_sweep(spark, d), ["trial"]).select("trial", r6("value", "value"))
+    return Q.objective(_sweep(spark, d), ["trial"], large=True).select("trial", r6("value", "value"))
 
 
 # Summary quality
@@ -447,6 +548,28 @@ def q2_rouge_l(spark, d):
     return V.pairs(spark, d).select("pair_id", score.alias("s")).select("pair_id", "s.*")
 
 
+@query()
+def q1_rouge_stemmed(spark, d):
+    """F1 of stemmed words and pairs of words, the form in which scores of summaries are published."""
+    pairs = V.pairs(spark, d)
+    one, two = (Q.rouge_n(pairs, n, ["pair_id"], stem=True).select("pair_id", r6("f1", f"rouge{n}")) for n in (1, 2))
+    return one.join(two, "pair_id")
+
+
+@query()
+def q2_rouge_l_stemmed(spark, d):
+    words = lambda c: T.tokens(F.col(c), "[a-z0-9]+")
+    return V.pairs(spark, d).select("pair_id", Q.rouge_l(words("reference"), words("prediction"), stem=True).alias("s")).select("pair_id", r6("s.f1", "rougeL"))
+
+
+@query()
+def q2_stemmed_means(spark, d):
+    """The row of a model in a table of summary scores: samples and the mean F1 of the three measures on stems."""
+    scored = V.pairs(spark, d).select("pair_id", "model").join(q1_rouge_stemmed(spark, d), "pair_id").join(q2_rouge_l_stemmed(spark, d), "pair_id")
+    means = Q.model_row(scored.withColumn("seconds", F.lit(0.0)), ["rouge1", "rouge2", "rougeL"])
+    return means.select("model", "n_samples", *[F.round(f"avg_{c}", 5).alias(f"avg_{c}") for c in ("rouge1", "rouge2", "rougeL")])
+
+
 @query()
 def q3_greedy_match(spark, d):
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text", M.hashed_embedding(T.tokens(F.col("text"))).alias("e"))))
@@ -454,16 +577,39 @@ def q3_greedy_match(spark, d):
     return n.select("conv_id", Q.greedy_match(F.slice("v", 1, F.floor((F.size("v") + 1) / 2).cast("int")), F.col("v")).alias("s")).select("conv_id", "s.*")
 
 
-@query(
-    r"""WITH words AS (SELECT pair_id, generate_subscripts(m, 1) AS j, unnest(m) AS m, s FROM (SELECT pair_id, string_split(reference, '. ') AS m, string_split(prediction, '. ') AS s FROM pairs)),
+@query()
+def q3_mean_matches(spark, d):
+    """Mean scores of each of three models, to which conversations are dealt."""
+    scored = q3_greedy_match(spark, d).withColumn("model", F.concat(F.lit("m"), F.col("conv_id") % 3)).withColumn("seconds", F.lit(0.0))
+    return Q.model_row(scored, ["precision", "recall", "f1"]).select("model", "n_samples", *[r6(f"avg_{c}", f"avg_{c}") for c in ("precision", "recall", "f1")])
+
+
+CONSISTENCY = r"""WITH words AS (SELECT pair_id, generate_subscripts(m, 1) AS j, unnest(m) AS m, s FROM (SELECT pair_id, string_split(reference, '. ') AS m, string_split(prediction, '. ') AS s FROM pairs)),
     cross_ AS (SELECT pair_id, j, list_distinct(regexp_extract_all(lower(m), '\p{L}+')) AS mw, regexp_extract_all(lower(x), '\p{L}+') AS sw FROM (SELECT pair_id, j, m, unnest(s) AS x FROM words)),
     best AS (SELECT pair_id, j, max(CASE WHEN len(mw) > 0 THEN len(list_intersect(mw, sw)) / len(mw) ELSE 0 END) AS best FROM cross_ GROUP BY pair_id, j)
-    SELECT pair_id, round(avg(best), 6) AS consistency FROM best GROUP BY pair_id""",
-    "pairs",
-)
+    SELECT pair_id, round(avg(best), 6) AS consistency FROM best GROUP BY pair_id"""
+
+
+def _sentence_pairs(spark, d):
+    return V.pairs(spark, d).select("pair_id", F.split("prediction", r"\. ").alias("s"), F.split("reference", r"\. ").alias("m"))
+
+
+@query(CONSISTENCY, "pairs")
 def q4_sentence_consistency(spark, d):
-    rows = V.pairs(spark, d).select("pair_id", F.split("prediction", r"\. ").alias("s"), F.split("reference", r"\. ").alias("m"))
-    return Q.consistency(rows, ["pair_id"], "s", "m").select("pair_id", r6("consistency", "consistency"))
+    return Q.consistency(_sentence_pairs(spark, d), ["pair_id"], "s", "m").select("pair_id", r6("consistency", "consistency"))
+
+
+def _share_of_words(sources: list[str], summaries: list[str]) -> list[float]:
+    """A stand-in pair model: the share of the second sentence's words that the first has."""
+    words = {s: set(regex.findall(r"\p{L}+", s.lower())) for s in {*sources, *summaries}}
+    return [len(words[b] & words[a]) / len(words[b]) if words[b] else 0.0 for a, b in zip(sources, summaries)]
+
+
+@query(CONSISTENCY, "pairs")
+def q4_model_consistency(spark, d):
+    """The same by a model that scores batches of sentence pairs."""
+    found = Q.model_consistency(_sentence_pairs(spark, d), ["pair_id"], "s", "m", _share_of_words, batch=4096)
+    return found.select("pair_id", r6("consistency", "consistency"))
 
 
 @query("SELECT pair_id, CASE WHEN pair_id % 5 = 0 THEN NULL WHEN source = '' OR prediction = '' OR pair_id % 7 = 0 THEN 0.0 ELSE 0.5 END::DOUBLE AS score FROM pairs", "pairs")
@@ -656,10 +802,10 @@ def x8_screening_verdicts(spark, d):
 # Trees and retrieval
 
 
-def _dists(spark, d, metric="cosine"):
+def _dists(spark, d):
     nodes = V.nodes(spark, d)
     asked = nodes.where(F.col("node_id") % 20 == 0).select(F.col("node_id").alias("query_id"), "embedding")
-    return R.query_distances(nodes, asked, metric).select("doc_id", "node_id", "layer", "tokens", "query_id", "distance")
+    return R.query_distances(nodes, asked).select("doc_id", "node_id", "layer", "tokens", "query_id", "distance")
 
 
 @query(
@@ -668,10 +814,10 @@ def _dists(spark, d, metric="cosine"):
     "dists",
 )
 def r6_distances(spark, d):
-    out = _dists(spark, d).select("node_id", "query_id", r6("distance", "cosine"))
-    for metric in ("L1", "L2", "Linf"):
-        out = out.join(_dists(spark, d, metric).select("node_id", "query_id", r6("distance", metric.lower())), ["node_id", "query_id"])
-    return out
+    nodes = V.nodes(spark, d)
+    asked = nodes.where(F.col("node_id") % 20 == 0).select(F.col("node_id").alias("query_id"), "embedding")
+    found = R.query_distances(nodes, asked, ("cosine", "L1", "L2", "Linf"))
+    return found.select("node_id", "query_id", *[r6(c, c) for c in ("cosine", "l1", "l2", "linf")])
 
 
 @query("SELECT doc_id, query_id, node_id, rank FROM ranked", "ranked")
@@ -684,22 +830,21 @@ def r8_collapsed(spark, d):
     return R.collapsed(_dists(spark, d), ["doc_id", "query_id"], 9, 2000).select("doc_id", "query_id", "node_id", F.col("rank").cast("long").alias("rank"), "used")
 
 
-def _walk(spark, d):
-    # Edges lead from layer 2 down, as the layer rises with the parent.
-    return R.traverse(_dists(spark, d), V.edges(spark, d), ["doc_id", "query_id"], 2, 3, 5)
-
-
 @query(
-    """WITH l2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, query_id ORDER BY distance, node_id) AS k FROM dists WHERE layer = 2) WHERE k <= 5),
-    c1 AS (SELECT DISTINCT d.* FROM l2 JOIN edges e ON e.doc_id = l2.doc_id AND e.parent_id = l2.node_id JOIN dists d ON d.doc_id = l2.doc_id AND d.query_id = l2.query_id AND d.node_id = e.child_id),
+    """WITH trees AS (SELECT * FROM dists WHERE doc_id % 2 = 1 OR layer < 2), tops AS (SELECT doc_id, max(layer) AS layer FROM trees GROUP BY doc_id),
+    l2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, query_id ORDER BY distance, node_id) AS k FROM trees JOIN tops USING (doc_id, layer)) WHERE k <= 5),
+    c1 AS (SELECT DISTINCT d.* FROM l2 JOIN edges e ON e.doc_id = l2.doc_id AND e.parent_id = l2.node_id JOIN trees d ON d.doc_id = l2.doc_id AND d.query_id = l2.query_id AND d.node_id = e.child_id),
     l1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, query_id ORDER BY distance, node_id) AS k FROM c1) WHERE k <= 5),
-    c0 AS (SELECT DISTINCT d.* FROM l1 JOIN edges e ON e.doc_id = l1.doc_id AND e.parent_id = l1.node_id JOIN dists d ON d.doc_id = l1.doc_id AND d.query_id = l1.query_id AND d.node_id = e.child_id),
+    c0 AS (SELECT DISTINCT d.* FROM l1 JOIN edges e ON e.doc_id = l1.doc_id AND e.parent_id = l1.node_id JOIN trees d ON d.doc_id = l1.doc_id AND d.query_id = l1.query_id AND d.node_id = e.child_id),
     l0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, query_id ORDER BY distance, node_id) AS k FROM c0) WHERE k <= 5)
-    SELECT doc_id, query_id, node_id, layer, k AS rank FROM (SELECT * FROM l2 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l0)""",
+    SELECT doc_id, query_id, node_id, layer, k AS rank FROM (SELECT doc_id, query_id, node_id, layer, k FROM l2 UNION ALL SELECT doc_id, query_id, node_id, layer, k FROM l1 UNION ALL SELECT doc_id, query_id, node_id, layer, k FROM l0)""",
     "dists edges",
 )
 def r9_traversal(spark, d):
-    return _walk(spark, d).select("doc_id", "query_id", "node_id", "layer", F.col("rank").cast("long").alias("rank"))
+    """Trees of three layers, and of two where the document's number is even, each walked from its own top."""
+    trees = _dists(spark, d).where("doc_id % 2 = 1 OR layer < 2")
+    found = R.traverse(trees, V.edges(spark, d), ["doc_id", "query_id"], None, 3, 5)
+    return found.select("doc_id", "query_id", "node_id", "layer", F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT doc_id, query_id, node_id FROM dists WHERE distance > 1.1", "dists")
@@ -759,10 +904,11 @@ def r14_layers(spark, d):
 
 def _tree(spark, d):
     embed = lambda c: M.hashed_embedding(T.tokens(c))
-    return build_tree(V.table(spark, d, "documents"), embed, lambda c: F.substring(c, 1, 200), sentences=T.sentences_latin)
+    fourth = lambda c: F.array_join(F.filter(F.split(c, r"\. "), lambda x, i: i % 4 == 0), ". ")
+    return build_tree(V.table(spark, d, "documents"), embed, fourth, sentences=T.sentences_latin)
 
 
-@query()
+@query(_packed_sql(_token_items("latin"), BEGUN) + f" SELECT doc_id, pos AS node_id, chunk AS text, {TOKENS.format('chunk')} AS tokens FROM chunks")
 def r1_tree_leaves(spark, d):
     found = leaves(V.table(spark, d, "documents"), lambda c: M.hashed_embedding(T.tokens(c)), sentences=T.sentences_latin)
     return found.select("doc_id", "node_id", "text", "tokens")
@@ -774,10 +920,33 @@ def r4_tree_nodes(spark, d):
     return nodes.groupBy("doc_id", "layer").agg(F.count("*").alias("n_nodes"), F.sum("tokens").alias("tokens"))
 
 
+@query()
+def r4_two_spaces(spark, d):
+    """Nodes clustered by the words of their texts, and found by a second model's vectors, of their lengths and vowels."""
+    spaces = {"cluster": lambda c: M.hashed_embedding(T.tokens(c)), "search": _shape}
+    nodes, _ = build_tree(V.table(spark, d, "documents"), spaces, lambda c: F.substring_index(c, ". ", 3), sentences=T.sentences_latin)
+    found = nodes.select("doc_id", "node_id", "layer", "tokens", F.col("embeddings")["search"].alias("embedding"))
+    asked = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), _shape(F.col("text")).alias("embedding"))
+    near = R.collapsed(R.query_distances(found, asked), ["doc_id", "query_id"], 3, 2000)
+    return near.select("doc_id", "query_id", "node_id", "layer", "rank")
+
+
+def _shape(text):
+    """A stand-in model of two numbers: characters, and 1 more than the vowels among them."""
+    return F.array(F.length(text).cast("double"), (F.length(F.regexp_replace(text, "[^aeiou]", "")) + 1).cast("double"))
+
+
+#: What every document is asked, and the form in which a question is put to the vectors' model.
+QUESTIONS = ("Which claims about health and treatment are made, and how are they said to work?", "Is the effect exaggerated, or the advice in it harmful?", "Does anything go against what is known to be the case?")
+QUESTION_FORM = "Find the passages that answer the question: {}"
+
+
 @query()
 def r15_tree_retrieval(spark, d):
+    """The contexts that a document's tree has for a fixed set of questions."""
     nodes, _ = _tree(spark, d)
-    asked = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), M.hashed_embedding(T.tokens(F.col("text"))).alias("embedding"))
+    texts = spark.range(1).select(F.posexplode(F.array(*[F.lit(QUESTION_FORM.format(q)) for q in QUESTIONS])).alias("query_id", "text"))
+    asked = texts.select("query_id", M.hashed_embedding(T.tokens(F.col("text"))).alias("embedding"))
     near = R.collapsed(R.query_distances(nodes, asked), ["doc_id", "query_id"], 9, 2000)
     return R.joined_contexts(near, ["doc_id"])
 
@@ -918,6 +1087,15 @@ def a1_signed_rank_statistic(spark, d):
     return A.signed_rank(_rows(spark, d)).select("feature", "n", "n_zero", F.round("w_plus", 2).alias("w_plus"))
 
 
+SIGNED = """SELECT feature, count(*) AS n, count(*) FILTER (d = 0) AS n_zero, round(sum(CASE WHEN d > 0 THEN r END), 2) AS w_plus FROM
+    (SELECT *, CASE WHEN d <> 0 THEN rank() OVER w + (count(*) OVER (PARTITION BY feature, d = 0, abs(d)) - 1) / 2.0::DOUBLE END AS r FROM signed WINDOW w AS (PARTITION BY feature, d = 0 ORDER BY abs(d))) GROUP BY feature"""
+
+
+@query(f"WITH signed AS (SELECT feature, delta AS d FROM rows_ WHERE feature IN ('view', 'click')) SELECT s.*, CASE feature WHEN 'view' THEN 'less' ELSE 'greater' END AS alternative FROM ({SIGNED}) s", "rows_")
+def a2_one_sided_statistic(spark, d):
+    return a2_one_sided_rank(spark, d).select("feature", "n", "n_zero", F.round("w_plus", 2).alias("w_plus"), "alternative")
+
+
 @query()
 def a2_one_sided_rank(spark, d):
     rows = _rows(spark, d)

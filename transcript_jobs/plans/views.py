@@ -36,15 +36,15 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pair_id, model, source, reference (first quarter), prediction (a shifted quarter)."""
+    """pair_id, model, source, reference (the first half of the text), prediction (the other half)."""
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    quarter = F.floor(F.length("text") / 4).cast("int")
+    half = F.floor(F.length("text") / 2).cast("int")
     return docs.select(
         F.col("doc_id").alias("pair_id"),
         F.col("lang").alias("model"),
         F.col("text").alias("source"),
-        F.substring("text", F.lit(1), quarter).alias("reference"),
-        F.substring("text", F.lit(21), quarter).alias("prediction"),
+        F.substring("text", F.lit(1), half).alias("reference"),
+        F.substring("text", half + 1, F.length("text") - half).alias("prediction"),
     )
 
 
