@@ -83,6 +83,111 @@ BODIES = [
         "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions.",
         ["in no event will the authors be held liable", "alter it and redistribute it freely"],
     ),
+    (
+        "gpl-3.0",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works. "
+        "The licenses for most software and other practical works are designed to take away your freedom to share and change the works. "
+        "By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users.",
+        ["free copyleft license for software and other kinds of works", "gnu general public license"],
+    ),
+    (
+        "gpl-3.0",
+        "You may convey verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice; "
+        "keep intact all notices stating that this License and any non-permissive terms added in accord with section 7 apply to the code; "
+        "keep intact all notices of the absence of any warranty; and give all recipients a copy of this License along with the Program.",
+        ["convey verbatim copies", "non permissive terms added in accord with section 7"],
+    ),
+    (
+        "gpl-2.0",
+        "The licenses for most software are designed to take away your freedom to share and change it. "
+        "By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",
+        ["your freedom to share and change it", "gnu general public license"],
+    ),
+    (
+        "gpl-2.0",
+        "You may copy and distribute verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously and appropriately publish on each copy "
+        "an appropriate copyright notice and disclaimer of warranty; keep intact all the notices that refer to this License and to the absence of any warranty; "
+        "and give any other recipients of the Program a copy of this License along with the Program.",
+        ["copy and distribute verbatim copies of the program", "notices that refer to this license"],
+    ),
+    (
+        "lgpl",
+        "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+        ["gnu lesser general public license", "supplemented by the additional permissions"],
+    ),
+    (
+        "lgpl",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; "
+        "either version 2.1 of the License, or (at your option) any later version.",
+        ["gnu lesser general public license", "free software foundation"],
+    ),
+    (
+        "agpl",
+        "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, "
+        "specifically designed to ensure cooperation with the community in the case of network server software.",
+        ["gnu affero general public license", "cooperation with the community"],
+    ),
+    (
+        "agpl",
+        "Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network "
+        "(if your version supports such interaction) an opportunity to receive the Corresponding Source of your version",
+        ["interacting with it remotely through a computer network", "corresponding source of your version"],
+    ),
+    (
+        "mpl-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        ["mozilla public license", "copy of the mpl was not distributed with this file"],
+    ),
+    (
+        "mpl-2.0",
+        "All distribution of Covered Software in Source Code Form, including any Modifications that You create or to which You contribute, must be under the terms of this License. "
+        "You must inform recipients that the Source Code Form of the Covered Software is governed by the terms of this License, and how they can obtain a copy of this License.",
+        ["covered software in source code form", "governed by the terms of this license"],
+    ),
+    (
+        "apache-2.0",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license "
+        "to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+        ["each contributor hereby grants to you", "derivative works in source or object form"],
+    ),
+    (
+        "cc-by-4.0",
+        "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution 4.0 International Public License (\"Public License\").",
+        ["exercising the licensed rights", "creative commons attribution 4 0 international public license"],
+    ),
+    (
+        "cc-by-sa-4.0",
+        "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-ShareAlike 4.0 International Public License (\"Public License\").",
+        ["exercising the licensed rights", "creative commons attribution sharealike 4 0 international public license"],
+    ),
+    (
+        "cc-by-nc-4.0",
+        "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-NonCommercial 4.0 International Public License (\"Public License\").",
+        ["exercising the licensed rights", "creative commons attribution noncommercial 4 0 international public license"],
+    ),
+    (
+        "cc0-1.0",
+        "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, "
+        "including all related and neighboring rights, to the extent allowed by law.",
+        ["dedicated the work to the public domain", "related and neighboring rights"],
+    ),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+        "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        ["free and unencumbered software", "released into the public domain"],
+    ),
+    (
+        "bsl-1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") "
+        "to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
+        ["any person or organization obtaining a copy", "accompanying documentation covered by this license"],
+    ),
+    (
+        "epl-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        ["accompanying materials are made available under the terms", "eclipse public license"],
+    ),
 ]
 
 #: A to Z become small, digits and all bytes outside ASCII stay, whatever separates words becomes a blank.
@@ -122,6 +227,10 @@ class RareIndex:
         self.weights = [sum(idf[w] for w in t.words) for t in templates]
         self.needed = [set(t.words) if t.exact else {w for k in t.keys for w in k} for t in templates]
         self.vocabulary = {w for t in templates for w in t.words}
+        # A template is looked at only where its rarest mandatory word is.
+        self.postings: dict[bytes, list[int]] = {}
+        for t, needed in enumerate(self.needed):
+            self.postings.setdefault(max(needed, key=lambda w: (idf[w], w)), []).append(t)
 
     def anchors(self, t: int, present: set[bytes]) -> tuple[list[int], float]:
         """Places in the template of the text's words of highest IDF, and the weight of those that must agree.
@@ -178,7 +287,8 @@ class RareIndex:
     def places(self, words: list[bytes]) -> list[tuple[str, int, bool, float]]:
         """(label, first word, whether a phrase, share of the weight found) of all verified places."""
         present = self.vocabulary.intersection(words)
-        chosen = {t: a for t in range(len(self.templates)) if self.needed[t] <= present and (a := self.anchors(t, present))[0]}
+        asked = sorted(t for w in present for t in self.postings.get(w, ()))
+        chosen = {t: a for t in asked if self.needed[t] <= present and (a := self.anchors(t, present))[0]}
         if not chosen:
             return []
         at: dict[bytes, list[int]] = {self.templates[t].words[i]: [] for t, (anchors, _) in chosen.items() for i in anchors}
@@ -231,7 +341,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Find licence phrases and notices in whole texts.
 
     Words weigh what they tell: their inverse document frequency over all documents.
-    Of each text the licence words of highest weight are looked up, the places where
+    A template's posting stands under its rarest mandatory word, so that a text meets
+    only templates whose word it has, however many there are. Of each text the licence words of highest weight are looked up, the places where
     templates would have to begin are met by relative position, and where words of
     enough weight agree, at least two, the place is verified: phrases word for word,
     notices by their mandatory key phrases and most of their weight near its places.
