@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from transcript_jobs.llm.batches import gather, text_blocks
 from transcript_jobs.llm.bpe import byte_letters, tokenizer_text
+from transcript_jobs.llm.fingerprints import labels_apart
 
 #: What the lower-casing tokenizer cuts off letters and white space, in texts of plain Latin letters alone. The capital dotted I becomes two letters.
 BESIDE_LETTERS = r"('(?:s|t|re|ve|m|ll|d)|[^\s\x{a0}\pL\pN]+|\pN)"
@@ -199,6 +200,8 @@ def write_token_files(
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.select(F.percentile_approx(id_col, [k / n for k in range(1, n)] or [0.5], 20 * n)).head()[0] or []
     cuts = np.array(sorted(set(cuts)), dtype=np.int64)
+    # A part is a partition of its own: hashing the parts themselves would put several into one and leave others empty.
+    labels = np.array(labels_apart(spark, n), dtype=np.int32)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -213,7 +216,7 @@ def write_token_files(
             known = pc.fill_null(block.column(0), -(2**63) if kind == "bigint" else -(2**31)).to_numpy(zero_copy_only=False)
             part = np.searchsorted(cuts, known, side="right").astype(np.int32)
             counts = np.diff(np.concatenate([[0], ends])) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(part), block.column(0), pa.array(counts, pa.int32()), pa.array(frames, pa.binary())], ["file_part", "id", "n", "frame"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(labels[part]), block.column(0), pa.array(counts, pa.int32()), pa.array(frames, pa.binary())], ["file_part", "label", "id", "n", "frame"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, before, held, size = None, 0, 0, [], 0
@@ -229,7 +232,7 @@ def write_token_files(
 
         for batch in batches:
             types[5] = pa.list_(batch.schema.field("id").type)
-            for p, i, c, f in zip(*(x.to_pylist() for x in batch.columns)):
+            for p, _, i, c, f in zip(*(x.to_pylist() for x in batch.columns)):
                 if held and (p != part or size >= block_tokens):
                     yield flush()
                 if p != part:
@@ -242,8 +245,8 @@ def write_token_files(
     types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), None, pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
     schema = spark.createDataFrame([], BLOCKS.format(id=kind)).schema
     (
-        rows.mapInArrow(encode, f"file_part int, id {kind}, n int, frame binary")
-        .repartition(n, "file_part")
+        rows.mapInArrow(encode, f"file_part int, label int, id {kind}, n int, frame binary")
+        .repartition(n, "label")
         .sortWithinPartitions("file_part", F.col("id").asc_nulls_first(), "frame")
         .mapInArrow(pack, schema)
         .write.parquet(f"{path}/blocks")
