@@ -29,7 +29,8 @@ class Settings:
     share none of 32 bands of 5 with a probability of 7e-9, at 0.8 with 3e-6. ``least``
     is the share of equal coordinates under which a candidate is not verified: six
     standard deviations below the threshold. ``block`` is how many documents a unit of
-    the block comparison has on each side.
+    the block comparison has on each side, ``weight`` how many shingles they may have
+    together; both up to twice that.
     """
 
     words: int = 3
@@ -37,6 +38,7 @@ class Settings:
     bands: int = 32
     width: int = 5
     block: int = 512
+    weight: int = 1_500_000
 
     @property
     def size(self) -> int:
@@ -199,7 +201,8 @@ def _dealt(open_: DataFrame, s: Settings) -> DataFrame:
     cuts = F.array_distinct(F.filter("cuts", lambda c, i: (i + 1) % step == 0))
     large = found.select("center", "main", cuts.alias("cuts"))
     placed = open_.join(large, ["center", "main"], "left").withColumn("slice", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("n"))), F.lit(0))).drop("cuts")
-    full = placed.groupBy("center", "main", "slice").count().where(F.col("count") > 2 * s.block).select("center", "main", "slice", F.ceil(F.col("count") / s.block).alias("pieces"))
+    full = placed.groupBy("center", "main", "slice").agg(F.count("*").alias("count"), F.sum("n").alias("size")).where((F.col("count") > 2 * s.block) | (F.col("size") > 2 * s.weight))
+    full = full.select("center", "main", "slice", F.greatest(F.ceil(F.col("count") / s.block), F.ceil(F.col("size") / s.weight)).alias("pieces"))
     placed = placed.join(full, ["center", "main", "slice"], "left")
     piece = F.coalesce(F.pmod(F.xxhash64("rep", F.lit(9)), F.col("pieces")), F.lit(0))
     return placed.withColumn("block", F.concat_ws(".", F.lpad(F.col("slice").cast("string"), 3, "0"), F.lpad(piece.cast("string"), 8, "0"))).drop("slice", "pieces")
