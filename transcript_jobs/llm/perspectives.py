@@ -27,7 +27,8 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
     pieces of ``piece`` consecutive turn numbers, which tasks share, and a dialogue's
     pieces are then joined; ``piece`` has no effect on the result.
 
-    Null texts are empty; null speakers are named ``unknown``; null turns come first;
+    In texts and names ``<|`` becomes ``< |`` and ``|>`` becomes ``| >``: no words of a
+    participant can end a turn or begin one. Null texts are empty; null speakers are named ``unknown``; null turns come first;
     rows of one turn are ordered by speaker and text, repeated rows stay. A row with a
     null conversation belongs to no other: it is a dialogue of its own. A conversation
     of system turns alone has no participant and no row. Other columns are ignored; an
@@ -37,7 +38,7 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
         F.col(conv_col).alias("conv_id"),
         F.col(turn_col).cast("long").alias("turn"),
         F.coalesce(F.col(speaker_col).cast("string"), F.lit("unknown")).alias("speaker"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        _unmarked(F.coalesce(F.col(text_col), F.lit(""))).alias("text"),
     )
     named = lines.where(F.col("conv_id").isNotNull())
     people = named.where(F.col("speaker") != SYSTEM).select("conv_id", F.col("speaker").alias("perspective")).distinct()
@@ -67,10 +68,15 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
     return whole.union(alone)
 
 
+def _unmarked(c: Column) -> Column:
+    """With a blank in what opens or closes a mark, so that a text or a name makes no turn."""
+    return F.replace(F.replace(c, F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >"))
+
+
 def _line() -> Column:
     """A turn with its opening mark as the perspective has it, in the order of turns."""
     own = F.col("speaker") == F.col("perspective")
-    head = F.when(own, F.lit("<|assistant|>")).when(F.col("speaker") == SYSTEM, F.lit("<|system|>")).otherwise(F.concat(F.lit("<|user:"), "speaker", F.lit("|>")))
+    head = F.when(own, F.lit("<|assistant|>")).when(F.col("speaker") == SYSTEM, F.lit("<|system|>")).otherwise(F.concat(F.lit("<|user:"), _unmarked(F.col("speaker")), F.lit("|>")))
     return F.struct("turn", "speaker", "text", head.alias("head"), own.alias("own")).alias("line")
 
 

@@ -162,10 +162,10 @@ ORACLES = {
         SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, least(s.doc_id, coalesce(l.low, s.doc_id)) AS component_id, s.doc_id = least(s.doc_id, coalesce(l.low, s.doc_id)) AS kept
         FROM sets s LEFT JOIN low l ON l.a = s.doc_id""",
     "op7_perspectives": """
-        WITH lines AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations),
+        WITH lines AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(replace(coalesce(text, ''), '<|', '< |'), '|>', '| >') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations),
         people AS (SELECT DISTINCT conv_id, alone, speaker AS perspective FROM lines WHERE speaker <> 'system'),
         seen AS (SELECT l.*, perspective, speaker = perspective AS own,
-                 CASE WHEN speaker = perspective THEN '<|assistant|>' WHEN speaker = 'system' THEN '<|system|>' ELSE '<|user:' || speaker || '|>' END AS head
+                 CASE WHEN speaker = perspective THEN '<|assistant|>' WHEN speaker = 'system' THEN '<|system|>' ELSE '<|user:' || replace(replace(speaker, '<|', '< |'), '|>', '| >') || '|>' END AS head
                  FROM lines l JOIN people p ON l.conv_id IS NOT DISTINCT FROM p.conv_id AND l.alone IS NOT DISTINCT FROM p.alone),
         placed AS (SELECT *, coalesce(sum(length(head) + length(text) + 8) OVER (PARTITION BY conv_id, alone, perspective ORDER BY turn NULLS FIRST, speaker, text
                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begins FROM seen)
