@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from transcript_jobs.llm.components import components
 from transcript_jobs.plans.scratch import Scratch
 
-#: Single precision decides a cosine that is further than this from the threshold.
-DOUBT = 1e-5
+#: Single precision decides a cosine that is further than this from the threshold, a matrix product in double precision one further than CLOSE.
+DOUBT, CLOSE = 1e-5, 1e-12
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,19 @@ def _matrix(column, kind: str = "<f8") -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in column.to_pylist()]
 
 
+def passes(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of two tables of unit vectors have a cosine of the threshold or more.
+
+    A cosine that is all but the threshold is summed without rounding on the way, so
+    that every step decides it alike, whatever the order of its product.
+    """
+    c = x @ y.T
+    out = c >= threshold
+    for i, j in zip(*np.nonzero(np.abs(c - threshold) < CLOSE)):
+        out[i, j] = math.fsum(x[i] * y[j]) >= threshold
+    return out
+
+
 def _nodes(vectors: DataFrame, scratch: Scratch, id_col: str, vec_col: str, label_col: str) -> DataFrame:
     """One node for each different usable vector of a label: unit vector in double and single precision, smallest id, rows."""
     v = F.col("v")
@@ -192,20 +206,32 @@ def _links(edges: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [float(x @ y) >= s.threshold for x, y in zip(_matrix(batch.column(2)), _matrix(batch.column(3)))]
+            keep = [bool(passes(x[None], y[None], s.threshold)[0, 0]) for x, y in zip(_matrix(batch.column(2)), _matrix(batch.column(3)))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return sure.union(doubt.select("a", "b", "da", "db").mapInArrow(exact, "a long, b long"))
 
 
-def _audit(grouped: DataFrame, s: Settings) -> float:
-    """The estimated share, averaged over nodes with links, of a node's links that lie within its component.
+def _recall(grouped: DataFrame, s: Settings, scratch: Scratch, round_: int) -> float | None:
+    """The audit's recall; None if no asked node has a link, though not all were asked. It is written beside the links.
+
+    Where no asked node has a link, eight times as many are asked once more.
+    """
+    recall, asked, linked = _audit(grouped, s, s.audit)
+    if recall is None:
+        recall, asked, linked = _audit(grouped, s, 8 * s.audit)
+    scratch.save(grouped.sparkSession.createDataFrame([(round_, recall, asked, linked)], "round int, recall double, asked int, linked int"), f"recall-{round_}")
+    return recall
+
+
+def _audit(grouped: DataFrame, s: Settings, most: int) -> tuple[float | None, int, int]:
+    """The estimated share, averaged over nodes with links, of a node's links that lie within its component; the nodes asked, and those of them with links.
 
-    Up to ``audit`` nodes of those with a link so far, and as many of those without,
+    Up to ``most`` nodes of those with a link so far, and as many of those without,
     are compared with every node; a large group's links count no more than its nodes.
     """
     sizes = {r["linked"]: r["count"] for r in grouped.groupBy("linked").count().collect()}
-    first = lambda linked: grouped.where(F.col("linked") == linked).orderBy(F.xxhash64("node", F.lit(3)), "node").limit(s.audit)
+    first = lambda linked: grouped.where(F.col("linked") == linked).orderBy(F.xxhash64("node", F.lit(3)), "node").limit(most)
     sample = first(True).union(first(False)).select("node", "label", "dim", "double", "component", "linked").toArrow().to_pylist()
     asked = grouped.sparkSession.sparkContext.broadcast([tuple(x.values()) for x in sample])
 
@@ -220,7 +246,7 @@ def _audit(grouped: DataFrame, s: Settings) -> float:
                 which = [k for k, q in enumerate(asked.value) if (q[1], q[2]) == group]
                 if which:
                     some = [asked.value[k] for k in which]
-                    c = np.stack([vectors[k] for k in at]) @ np.stack([np.frombuffer(q[3], "<f8") for q in some]).T >= s.threshold
+                    c = passes(np.stack([vectors[k] for k in at]), np.stack([np.frombuffer(q[3], "<f8") for q in some]), s.threshold)
                     c &= node[at][:, None] != np.array([q[0] for q in some])[None, :]
                     all_[which] += c.sum(axis=0)
                     within[which] += (c & (component[at][:, None] == np.array([q[4] for q in some])[None, :])).sum(axis=0)
@@ -234,10 +260,12 @@ def _audit(grouped: DataFrame, s: Settings) -> float:
     reached = total = 0.0
     for linked, known in shares.items():
         # As many nodes of this kind as have links, by the share of those asked.
-        n = sizes.get(linked, 0) * len(known) / max(1, min(s.audit, sizes.get(linked, 0)))
+        n = sizes.get(linked, 0) * len(known) / max(1, min(most, sizes.get(linked, 0)))
         total += n
         reached += n * float(np.mean(known)) if known else 0.0
-    return reached / total if total else 1.0
+    # Without a link among all nodes there is nothing to miss.
+    none = 1.0 if len(sample) == sum(sizes.values()) else None
+    return (reached / total if total else none), len(sample), len(found)
 
 
 def _all_links(nodes: DataFrame, s: Settings) -> DataFrame:
@@ -252,7 +280,7 @@ def _all_links(nodes: DataFrame, s: Settings) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         node = table["node"].to_numpy()
         x = np.stack([np.frombuffer(v, "<f8") for v in table["double"].to_pylist()])
-        linked = x @ x.T >= s.threshold
+        linked = passes(x, x, s.threshold)
         np.fill_diagonal(linked, True)
         low = np.arange(len(node))
         while True:
@@ -279,7 +307,7 @@ def _count_links(grouped: DataFrame, s: Settings) -> DataFrame:
         node, rows, own = (table[c].to_numpy() for c in ("node", "rows", "own"))
         x = np.stack([np.frombuffer(v, "<f8") for v in table["double"].to_pylist()])
         left, right = (np.flatnonzero(own == table[c][0].as_py()) for c in ("one", "two"))
-        linked = x[left] @ x[right].T >= s.threshold
+        linked = passes(x[left], x[right], s.threshold)
         if table["one"][0].as_py() == table["two"][0].as_py():
             np.fill_diagonal(linked, False)
             return pa.table({"node": node[left], "n": linked @ rows[right]})
@@ -307,8 +335,9 @@ def near_embeddings(vectors: DataFrame, settings: Settings = Settings(), id_col:
     Equal vectors form one node. NN-descent refines a neighbour graph from random
     orders: lists that are full of links are enlarged, and all links seen on the way
     join components. A fixed number of nodes is compared with all others to audit the
-    recall, and rounds go on until it is reached; if the last round does not, all
-    nodes of a label are compared in blocks. Links within a component are then
+    recall, and rounds go on until it is reached; if the last round does not, or no
+    node that was asked has a link to tell by, all nodes of a label are compared in
+    blocks. Each round's recall is a table in the scratch folder. Links within a component are then
     counted exactly in blocks, so that no list bounds them and no pair is emitted.
     """
     s = settings
@@ -327,7 +356,8 @@ def near_embeddings(vectors: DataFrame, settings: Settings = Settings(), id_col:
         if k < s.rounds:
             continue
         grouped = _grouped(scratch, nodes, links, f"{k}")
-        if _audit(grouped, s) >= s.recall:
+        recall = _recall(grouped, s, scratch, k)
+        if recall is not None and recall >= s.recall:
             break
     else:
         links = scratch.save(_all_links(nodes, s).distinct(), "links-all")
