@@ -577,6 +577,42 @@ def q3_greedy_match(spark, d):
     return n.select("conv_id", Q.greedy_match(F.slice("v", 1, F.floor((F.size("v") + 1) / 2).cast("int")), F.col("v")).alias("s")).select("conv_id", "s.*")
 
 
+#: The longest common subsequence in SQL, for short texts: for each length the first place of the prediction at which it is
+#: reached; a word's places bring each of them forward, from the one before.
+COMMON = r"""WITH RECURSIVE turns AS (SELECT conv_id, turn, text AS reference, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS prediction FROM conversations),
+    w AS MATERIALIZED (SELECT row_number() OVER () AS id, conv_id, turn, regexp_extract_all(lower(reference), '\p{L}+') AS a, regexp_extract_all(lower(prediction), '\p{L}+') AS b FROM turns WHERE prediction IS NOT NULL),
+    places AS (SELECT id, word, list(j ORDER BY j) AS p FROM (SELECT id, unnest(b) AS word, generate_subscripts(b, 1) AS j FROM w) GROUP BY id, word),
+    steps AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) AS i, p FROM (SELECT id, unnest(a) AS word, generate_subscripts(a, 1) AS i FROM w) JOIN places USING (id, word)),
+    common(id, i, t) AS (SELECT id, 0::BIGINT, []::BIGINT[] FROM w UNION ALL
+        SELECT c.id, s.i, list_filter(list_transform(range(1, len(t) + 2), lambda k: least(coalesce(t[k], 1000000000), coalesce(list_min(list_filter(p, lambda q: q > coalesce(t[k - 1], 0))), 1000000000))), lambda x: x < 1000000000)
+        FROM common c JOIN steps s ON s.id = c.id AND s.i = c.i + 1)
+    SELECT conv_id, turn, round(coalesce(n / nullif(len(b), 0), 0), 6) AS precision, round(coalesce(n / nullif(len(a), 0), 0), 6) AS recall FROM w JOIN (SELECT id, max(len(t)) AS n FROM common GROUP BY id) USING (id)"""
+
+
+@query(COMMON)
+def q2_rouge_l_turns(spark, d):
+    """Each turn of a conversation against the next one."""
+    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    turns = V.table(spark, d, "conversations").withColumn("prediction", after).where("prediction IS NOT NULL")
+    found = turns.select("conv_id", "turn", Q.rouge_l(T.tokens(F.col("text")), T.tokens(F.col("prediction"))).alias("s"))
+    return found.select("conv_id", "turn", r6("s.precision", "precision"), r6("s.recall", "recall"))
+
+
+@query(
+    """WITH v AS (SELECT label, vec_id // 40 AS part, vec_id, vec_id % 2 = 0 AS asked, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL),
+    c AS (SELECT p.label, p.part, p.vec_id AS a, r.vec_id AS b, list_cosine_similarity(p.e, r.e) AS c FROM v p JOIN v r ON p.label = r.label AND p.part = r.part AND p.asked AND NOT r.asked),
+    pr AS (SELECT label, part, avg(c) AS pr FROM (SELECT label, part, max(c) AS c FROM c GROUP BY label, part, a) GROUP BY label, part),
+    re AS (SELECT label, part, avg(c) AS re FROM (SELECT label, part, max(c) AS c FROM c GROUP BY label, part, b) GROUP BY label, part)
+    SELECT label, part, round(coalesce(pr, 0), 6) AS precision, round(coalesce(re, 0), 6) AS recall FROM (SELECT DISTINCT label, part FROM v) LEFT JOIN pr USING (label, part) LEFT JOIN re USING (label, part)"""
+)
+def q3_vector_groups(spark, d):
+    """Vectors of even number of each group against those of odd number."""
+    v = V.table(spark, d, "embeddings").where("label IS NOT NULL").select("label", F.floor(F.col("vec_id") / 40).alias("part"), "vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    side = lambda odd: F.collect_list(F.when(F.col("vec_id") % 2 == odd, F.col("e")))
+    found = v.groupBy("label", "part").agg(side(0).alias("p"), side(1).alias("r")).select("label", "part", Q.greedy_match(F.col("p"), F.col("r")).alias("s"))
+    return found.select("label", "part", r6("s.precision", "precision"), r6("s.recall", "recall"))
+
+
 @query()
 def q3_mean_matches(spark, d):
     """Mean scores of each of three models, to which conversations are dealt."""
@@ -780,7 +816,15 @@ def x5_screening_records(spark, d):
     return _records(spark, d).select("video_id", "label", "flagged_count")
 
 
-@query()
+@query(
+    """WITH RECURSIVE parts AS (SELECT doc_id, list_transform(range((length(text) // 80 + 1)::BIGINT), lambda i: substr(text, i * 80 + 1, 100)) AS ps FROM documents WHERE text IS NOT NULL),
+    kept AS (SELECT doc_id, list_filter(ps, lambda x, i: list_position(ps, x) = i) AS ps FROM parts),
+    merging(doc_id, i, m) AS (SELECT doc_id, 1, ps[1] FROM kept UNION ALL
+        SELECT doc_id, i + 1, CASE WHEN contains(m, part) THEN m WHEN n IS NULL THEN m || chr(10) || '……' || chr(10) || part ELSE m || substr(part, n + 1) END FROM
+            (SELECT doc_id, i, m, part, list_max(list_filter(range(10, least(length(part), length(tail)) + 1), lambda n: right(tail, n) = left(part, n))) AS n FROM
+             (SELECT g.doc_id, i, m, ps[i + 1] AS part, right(m, 100) AS tail FROM merging g JOIN kept k ON k.doc_id = g.doc_id WHERE i < len(ps))))
+    SELECT doc_id, arg_max(m, i) AS merged FROM merging GROUP BY doc_id"""
+)
 def x6_merge_fragments(spark, d):
     t = V.table(spark, d, "documents").select("doc_id", "text")
     parts = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / 80).cast("int")), lambda i: F.substring(F.col("text"), i * 80 + 1, F.lit(100)))
@@ -792,9 +836,41 @@ def x7_route(spark, d):
     return X.route(_records(spark, d), V.videos(spark, d).withColumn("ord", F.lit(1)))
 
 
+#: Records without a model's help: what is flagged, which contexts are blank, and which are not to be trusted.
+FLAGGED = """flagged AS (SELECT video_id, label, transcript, video_id % 4 > 0 AS found, CASE WHEN video_id % 6 = 0 THEN ' ' ELSE substr(transcript, 1, 200) END AS part, video_id % 5 = 0 AS unsure FROM videos),
+    routed AS (SELECT video_id, label AS ground_truth, found::INTEGER AS step1_flagged_count, CASE WHEN NOT found THEN 'auto_real_step1' WHEN unsure AND trim(coalesce(transcript, ''), ' ' || chr(9) || chr(10) || chr(13)) <> '' THEN 'llm_full_transcript'
+        WHEN NOT unsure AND trim(coalesce(part, ''), ' ' || chr(9) || chr(10) || chr(13)) <> '' THEN 'llm_partial_context' ELSE 'llm_full_transcript_fallback' END AS logic_type,
+        CASE WHEN NOT found THEN '' WHEN NOT unsure AND trim(coalesce(part, ''), ' ' || chr(9) || chr(10) || chr(13)) <> '' THEN part ELSE coalesce(transcript, '') END AS context FROM flagged)"""
+
+
+@query(f"WITH {FLAGGED} SELECT * FROM routed", "videos")
+def x7_route_of_flags(spark, d):
+    """Routes of records that have one context each."""
+    v = V.videos(spark, d).withColumn("ord", F.lit(1))
+    part = F.when(F.col("video_id") % 6 == 0, F.lit(" ")).otherwise(F.substring("transcript", 1, 200))
+    one = F.array(F.struct(part.alias("context_step2"), (F.col("video_id") % 5 == 0).alias("requires_full_context_check")))
+    records = v.select("video_id", (F.col("video_id") % 4 > 0).cast("int").alias("flagged_count"), F.when(F.col("video_id") % 4 > 0, one).otherwise(F.slice(one, 1, 0)).alias("candidates"))
+    return X.route(records, v)
+
+
+@query(
+    f"""WITH {FLAGGED}, said AS (SELECT ground_truth AS t, CASE WHEN logic_type = 'auto_real_step1' OR length(context) % 2 = 1 THEN 'real' ELSE 'fake' END AS p FROM routed),
+    c AS (SELECT count(*) FILTER (t = 'real' AND p = 'real') AS rr, count(*) FILTER (t = 'real' AND p = 'fake') AS rf, count(*) FILTER (t = 'fake' AND p = 'real') AS fr, count(*) FILTER (t = 'fake' AND p = 'fake') AS ff FROM said)
+    SELECT round((rr + ff) / (rr + rf + fr + ff), 6) AS accuracy, round(2 * rr / (2 * rr + rf + fr), 6) AS real_f1, round(2 * ff / (2 * ff + rf + fr), 6) AS fake_f1 FROM c""",
+    "videos",
+)
+def x8_verdicts_of_flags(spark, d):
+    m = _judged(x7_route_of_flags(spark, d))
+    return m.select(*[r6(c, c) for c in ("accuracy", "real_f1", "fake_f1")])
+
+
 @query()
 def x8_screening_verdicts(spark, d):
-    routed = x7_route(spark, d)
+    return _judged(x7_route(spark, d))
+
+
+def _judged(routed):
+    """A stand-in model calls contexts of an even length fake."""
     said = F.when(F.col("logic_type") == "auto_real_step1", "real").when(F.length("context") % 2 == 0, "fake").otherwise("real")
     return E.evaluate(routed.withColumn("prediction", said).withColumn("model", F.lit("screening")), "ground_truth")
 
@@ -920,13 +996,22 @@ def r4_tree_nodes(spark, d):
     return nodes.groupBy("doc_id", "layer").agg(F.count("*").alias("n_nodes"), F.sum("tokens").alias("tokens"))
 
 
+#: What every document is asked, and the form in which a question is put to the vectors' model.
+QUESTIONS = ("Which claims about health and treatment are made, and how are they said to work?", "Is the effect exaggerated, or the advice in it harmful?", "Does anything go against what is known to be the case?")
+QUESTION_FORM = "Find the passages that answer the question: {}"
+
+
+def _questions(spark):
+    return spark.range(1).select(F.posexplode(F.array(*[F.lit(QUESTION_FORM.format(q)) for q in QUESTIONS])).alias("query_id", "text"))
+
+
 @query()
 def r4_two_spaces(spark, d):
     """Nodes clustered by the words of their texts, and found by a second model's vectors, of their lengths and vowels."""
     spaces = {"cluster": lambda c: M.hashed_embedding(T.tokens(c)), "search": _shape}
     nodes, _ = build_tree(V.table(spark, d, "documents"), spaces, lambda c: F.substring_index(c, ". ", 3), sentences=T.sentences_latin)
     found = nodes.select("doc_id", "node_id", "layer", "tokens", F.col("embeddings")["search"].alias("embedding"))
-    asked = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), _shape(F.col("text")).alias("embedding"))
+    asked = _questions(spark).select("query_id", _shape(F.col("text")).alias("embedding"))
     near = R.collapsed(R.query_distances(found, asked), ["doc_id", "query_id"], 3, 2000)
     return near.select("doc_id", "query_id", "node_id", "layer", "rank")
 
@@ -936,17 +1021,11 @@ def _shape(text):
     return F.array(F.length(text).cast("double"), (F.length(F.regexp_replace(text, "[^aeiou]", "")) + 1).cast("double"))
 
 
-#: What every document is asked, and the form in which a question is put to the vectors' model.
-QUESTIONS = ("Which claims about health and treatment are made, and how are they said to work?", "Is the effect exaggerated, or the advice in it harmful?", "Does anything go against what is known to be the case?")
-QUESTION_FORM = "Find the passages that answer the question: {}"
-
-
 @query()
 def r15_tree_retrieval(spark, d):
     """The contexts that a document's tree has for a fixed set of questions."""
     nodes, _ = _tree(spark, d)
-    texts = spark.range(1).select(F.posexplode(F.array(*[F.lit(QUESTION_FORM.format(q)) for q in QUESTIONS])).alias("query_id", "text"))
-    asked = texts.select("query_id", M.hashed_embedding(T.tokens(F.col("text"))).alias("embedding"))
+    asked = _questions(spark).select("query_id", M.hashed_embedding(T.tokens(F.col("text"))).alias("embedding"))
     near = R.collapsed(R.query_distances(nodes, asked), ["doc_id", "query_id"], 9, 2000)
     return R.joined_contexts(near, ["doc_id"])
 
@@ -1144,6 +1223,11 @@ def a6_residuals(spark, d):
     return A.residuals(_rows(spark, d)).select("feature", "event_id", F.round("residual", 5).alias("residual"))
 
 
+@query(f"WITH {LINES}, signed AS (SELECT feature, delta - (intercept + slope * delta_len) AS d FROM rows_ JOIN lines USING (feature)) SELECT feature, n, round(w_plus, 0) AS w_plus FROM ({SIGNED})", "rows_")
+def a7_residual_statistic(spark, d):
+    return a7_residual_tests(spark, d).select("feature", "n", F.round("w_plus", 0).alias("w_plus"))
+
+
 @query()
 def a7_residual_tests(spark, d):
     return A.residual_tests(_rows(spark, d))
