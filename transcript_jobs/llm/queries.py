@@ -214,7 +214,7 @@ ORACLES = {
         SELECT i.doc_id, i.leaf, i.subroot, r.d AS root, sha256(u.proof) AS proof_sha256, u.d AS folded_root, u.d = r.d AS verified
         FROM inner_ i JOIN up u ON u.id = i.id JOIN tops r ON r.n = 1 AND r.lvl = u.lvl""",
     "op13_line_quality": r"""
-        WITH docs AS (SELECT row_number() OVER () AS id, doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS text FROM documents),
+        WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS text FROM documents),
         cut AS (SELECT id, doc_id, host, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM docs),
         grams AS (SELECT id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM cut)),
         again AS (SELECT id, i FROM grams QUALIFY count(*) OVER (PARTITION BY id, g) > 1),
