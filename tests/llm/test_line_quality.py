@@ -71,7 +71,7 @@ def some_rows():
     return rows + [(None, None, None), (None, "", "big"), (5, " \n\t\n \r\n", ""), (7, "a b", None), (7, "x y z " * 400, None), (8, "one 😀 two\x0b#three\x85four", "s1"), (9, "\n".join(line(3) for _ in range(20_000)), "s2"), (9, "a a a a a", "s2")]
 
 
-@pytest.mark.parametrize("rules", [Rules(), Rules(least=5, share=0.1, most=12, left=0.5, min_words=20, repeat_percent=30)])
+@pytest.mark.parametrize("rules", [Rules(), Rules(least=5, share=0.1, most=12, left=0.5, min_words=20, repeat_percent=30), Rules(heavy=1)])
 def test_equals_plain_python(spark, rules):
     rows = some_rows()
     docs = spark.createDataFrame([(i, t, s, "x", "y", 1) for i, t, s in rows], SCHEMA).repartition(3)

@@ -17,14 +17,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The lowest bits of a window's number hold its place, the others bits of its hash, so that sorting numbers brings equal windows together.
 PLACE_BITS = 31
 
-#: Of all lines of a corpus, those with more than this share of them are at most HEAVY, which bounds what is broadcast.
-HEAVY = 5000
-
-
 @dataclass(frozen=True)
 class Rules:
     """A line is removed if more different documents of its host have it than ``least``, and than ``share`` of
-    the host's documents or ``most`` of them. A document is depleted with less than ``left`` of its words left."""
+    the host's documents or ``most`` of them. A document is depleted with less than ``left`` of its words left.
+
+    Lines that hold more than 1 / ``heavy`` of all lines, of which there are at most ``heavy``, meet the documents
+    by a broadcast of their hashes, others by a shuffle; this has no effect on the result."""
 
     least: int = 20
     share: float = 0.005
@@ -32,6 +31,7 @@ class Rules:
     left: float = 0.3
     min_words: int = 50
     repeat_percent: int = 50
+    heavy: int = 50_000
 
     def limit(self, documents: Column) -> Column:
         """The most documents of a host that may have a line."""
@@ -134,9 +134,7 @@ def judge_quality(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id
     Null and repeated ids pass through; other columns are left out, whatever their
     names. An empty table gives no rows.
 
-    Texts are read once and not shuffled; lines are, as hashes. The at most ``HEAVY``
-    lines that hold more than 1 / ``HEAVY`` of all lines are met by a broadcast, the
-    others by a shuffle.
+    Texts are read once and not shuffled; lines are, as hashes, but for frequent ones.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     host = F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit(""))
@@ -145,7 +143,7 @@ def judge_quality(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id
     rows = scratch.save(text_rules(rows, "text"), "rows")
     frequent = scratch.save(frequent_lines(rows, rules), "frequent")
     total = rows.agg(F.sum(F.size("lines"))).head()[0] or 0
-    heavy = F.col("rows") > total / HEAVY
+    heavy = F.col("rows") > total / rules.heavy
     lines = rows.select("row", F.posexplode("lines").alias("place", "x")).select("row", "place", "x.line", "x.words").where("words > 0")
     hot = lines.join(F.broadcast(frequent.where(heavy).select("line", F.lit(True).alias("hot"))), "line", "left")
     hot = hot.where(F.col("hot")).select("row", "place", "words").unionByName(hot.where(F.col("hot").isNull()).join(frequent.where(~heavy).select("line"), "line").select("row", "place", "words"))
