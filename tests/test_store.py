@@ -10,6 +10,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from transcript_jobs.operators.store import ContentStore
+from transcript_jobs.plans.scratch import Scratch
+
+
+def test_scratch_tables_are_dropped_and_closed(spark):
+    scratch = Scratch(spark, "closing")
+    one, two = (scratch.save(spark.range(3), n) for n in ("one", "two"))
+    folder = scratch.root.removeprefix("file://")
+    scratch.drop("one", "never")
+    assert sorted(os.listdir(folder)) == ["two"] and two.count() == 3 and one.columns == ["id"]
+    scratch.close()
+    assert not os.path.exists(folder)
 
 
 @pytest.fixture

@@ -24,8 +24,9 @@ class Scratch:
     """Writes intermediate results as Parquet in the shared folder and reads them back.
 
     A table written this way survives the loss of executors and has no lineage.
-    ``drop`` removes one that no later step reads; what a returned DataFrame still
-    reads stays until the session's scratch folder is cleared.
+    ``drop`` removes one that no later step reads, ``close`` all of them; what a
+    returned DataFrame still reads stays until its user closes it or clears the
+    session's scratch folder.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -40,9 +41,15 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
-        for name in names:
-            if name in self._kept:
-                path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-                self._kept.discard(name)
+        for name in self._kept.intersection(names):
+            self._delete(f"{self.root}/{name}")
+            self._kept.discard(name)
+
+    def close(self) -> None:
+        """Remove all tables and the folder."""
+        self._delete(self.root)
+        self._kept.clear()
+
+    def _delete(self, place: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
