@@ -18,6 +18,8 @@ from transcript_jobs.llm.pretokens import PIECES, units
 from transcript_jobs.llm.ragged import NEVER, merge_words
 
 
+#: Bytes of text handled at once. What a block needs stays with the Python worker.
+BLOCK_BYTES = 1_000_000
 #: Bytes from which a word that fails is merged with a heap instead of in rounds; both give the same tokens.
 LONG_WORD = 256
 
@@ -286,7 +288,7 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared.value)
         table = enc.v.bytes
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, limit=BLOCK_BYTES):
             order, ids, ends = enc.encode(block.column(1))
             starts = np.concatenate([[0], ends[:-1]])
             decoded = [b"".join(map(table.__getitem__, ids[s:e].tolist())).decode("utf-8", "replace") for s, e in zip(starts.tolist(), ends.tolist())]

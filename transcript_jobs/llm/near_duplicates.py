@@ -17,8 +17,10 @@ from transcript_jobs.llm.components import components
 from transcript_jobs.plans.scratch import Scratch
 
 FULL = np.uint64(2**64 - 1)
-#: Bytes of text whose shingles a task holds at once.
-BLOCK_BYTES = 2_000_000
+#: Bytes of text whose shingles a task holds at once. What a block needs stays with the Python worker.
+BLOCK_BYTES = 500_000
+#: Cells of the matrix of shingles that a unit multiplies at once (4 bytes each, two copies), and cells of its result that are judged at once.
+MATRIX_CELLS, JUDGED_CELLS = 2_000_000, 65_536
 
 
 @dataclass(frozen=True)
@@ -208,6 +210,61 @@ def _dealt(open_: DataFrame, s: Settings) -> DataFrame:
     return placed.withColumn("block", F.concat_ws(".", F.lpad(F.col("slice").cast("string"), 3, "0"), F.lpad(piece.cast("string"), 8, "0"))).drop("slice", "pieces")
 
 
+def unit_links(table: pa.Table, percent: int) -> pa.Table:
+    """A tree of links (a, b) for each component that a unit's links join: rows of ``rep, component, side, same, shingles``."""
+    rep, comp, side = (table[c].to_numpy() for c in ("rep", "component", "side"))
+    lists = table["shingles"].combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    left = np.flatnonzero(side == 1)
+    right = left if table["same"][0].as_py() else np.flatnonzero(side == 2)
+    common = _common(lists.flatten().to_numpy(), sizes, left, right)
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    out = []
+    step = max(1, JUDGED_CELLS // max(1, len(right)))
+    for at in range(0, len(left), step):
+        rows = left[at : at + step]
+        both = common[at : at + step].astype(np.int64)
+        linked = (100 * both >= percent * (sizes[rows][:, None] + sizes[right][None] - both)) & (comp[rows][:, None] != comp[right][None])
+        for i, j in zip(*(x.tolist() for x in np.nonzero(linked))):
+            a, b = int(rep[rows[i]]), int(rep[right[j]])
+            x, y = find(a), find(b)
+            if x != y:
+                top[max(x, y)] = min(x, y)
+                out.append((a, b))
+    a, b = zip(*out) if out else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _common(flat: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many elements each set of ``left`` has in common with each of ``right``: sets stand in ``flat`` one after the other.
+
+    Elements of one set alone count for no pair and take no part in the products.
+    """
+    _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+    several = times > 1
+    here = several[code]
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[here]
+    code = (np.cumsum(several) - 1)[code[here]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    # Integers: sums in single precision would be exact to 2**24 alone.
+    common = np.zeros((len(left), len(right)), np.int32)
+    width = max(256, MATRIX_CELLS // max(1, len(sizes)))
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        some = slice(*np.searchsorted(code, [at, at + width]))
+        has = np.zeros((len(sizes), width), np.float32)
+        has[owner[some], code[some] - at] = 1
+        one = has[left]
+        common += (one @ (one if left is right else has[right]).T).astype(np.int32)
+    return common
+
+
 def _block_links(docs: DataFrame, open_: DataFrame, about: DataFrame, s: Settings, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
     """Links between components among the members of each center: ``open_`` has (center, rep, component, main).
 
@@ -233,39 +290,7 @@ def _block_links(docs: DataFrame, open_: DataFrame, about: DataFrame, s: Setting
     rows = rows.withColumn("unit", F.struct("center", "unit"))
 
     def run(table: pa.Table) -> pa.Table:
-        rep, comp, side = (table[c].to_numpy() for c in ("rep", "component", "side"))
-        lists = table["shingles"].combine_chunks()
-        sizes = np.diff(lists.offsets.to_numpy())
-        owner = np.repeat(np.arange(len(rep)), sizes)
-        _, code = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-        left = np.flatnonzero(side == 1)
-        right = left if table["same"][0].as_py() else np.flatnonzero(side == 2)
-        order = np.argsort(code, kind="stable")
-        owner, code = owner[order], code[order]
-        common = np.zeros((len(left), len(right)), np.float32)
-        width = max(256, 8_000_000 // len(rep))
-        for at in range(0, int(code[-1]) + 1 if len(code) else 0, width):
-            some = slice(*np.searchsorted(code, [at, at + width]))
-            has = np.zeros((len(rep), width), np.float32)
-            has[owner[some], code[some] - at] = 1
-            common += has[left] @ has[right].T
-        linked = (100 * common >= s.percent * (sizes[left][:, None] + sizes[right][None] - common)) & (comp[left][:, None] != comp[right][None])
-        top: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while top.setdefault(x, x) != x:
-                x = top[x]
-            return x
-
-        out = []
-        for i, j in zip(*(x.tolist() for x in np.nonzero(linked))):
-            a, b = int(rep[left[i]]), int(rep[right[j]])
-            x, y = find(a), find(b)
-            if x != y:
-                top[max(x, y)] = min(x, y)
-                out.append((a, b))
-        a, b = zip(*out) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return unit_links(table, s.percent)
 
     links = scratch.save(rows.select("unit", "rep", "component", "side", "same", "shingles").groupBy("unit").applyInArrow(run, "a long, b long"), "block-links")
     scratch.drop("block-sets")

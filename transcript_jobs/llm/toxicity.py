@@ -28,8 +28,8 @@ WINDOW = 16
 STEPS = (2.0, 5.0)
 #: The logarithms of at most so many grams, the most frequent of the texts at hand, go to all tasks (16 bytes each); those of the others are joined.
 HEAD = 500_000
-#: Bytes of text handled at once.
-BLOCK_BYTES = 2_000_000
+#: Bytes of text handled at once. What a block needs stays with the Python worker.
+BLOCK_BYTES = 1_000_000
 
 
 def letters_only(texts: pa.Array) -> pa.ListArray:
