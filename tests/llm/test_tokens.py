@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import random
+import sys
 import time
 import zlib
 
@@ -15,6 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from transcript_jobs.llm import pretokens
 from transcript_jobs.llm.bpe import Encoder, Vocabulary, encode_and_decode
 from transcript_jobs.llm.ragged import merge_words
 from transcript_jobs.llm.token_counts import Counter, count_tokens
@@ -169,3 +172,56 @@ def test_token_files(spark, library, rows, tmp_path):
     assert read_token_files(spark, path, [1]).select(F.crc32("ids")).head()[0] == crc
     write_token_files(rows.limit(0), f"file://{tmp_path}/none", WORD, end_id=2)
     assert read_token_files(spark, f"file://{tmp_path}/none").count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(TEXTS, st.lists(st.sampled_from(["'s", "'ll", "'re", "'", "s", " ", "　", "é", "\n", "1", "<|endoftext|>"]), max_size=12).map("".join), st.text(max_size=40), st.none()), min_size=1, max_size=8), st.integers(0, 7))
+def test_pieces_of_all_texts_at_once(texts, skip):
+    special = ["<|endoftext|>"]
+    texts = texts[skip % len(texts) :]
+    ends, codes, distinct = pretokens.cut_pieces(pa.array([*"ab", *texts], pa.string()).slice(2), special)
+    cut = pretokens.regex.compile(pretokens.regex.escape(special[0]))
+    assert [[distinct[c].decode() for c in codes[s:e]] for s, e in zip([0, *ends], ends)] == [pretokens._pieces(t or "", cut) for t in texts]
+
+
+def test_pieces_of_every_code_point():
+    texts = ["".join(chr(c) for c in range(k, k + 64) if not 0xD800 <= c < 0xE000) for k in range(0, 0x110000, 64)]
+    ends, codes, distinct = pretokens.cut_pieces(pa.array(texts), [])
+    assert [[distinct[c].decode() for c in codes[s:e]] for s, e in zip([0, *ends], ends)] == [pretokens.PIECES.findall(t) for t in texts]
+
+
+def test_guesses_of_many_words(vocabulary):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdeéßö日 ", k=rng.choice([0, 1, 5, 40, 255, 256, 257, 600]))).encode() for _ in range(200)]
+    encoder = Encoder(vocabulary)
+    flat, sizes = encoder.guess_all(words)
+    ends = np.cumsum(sizes).tolist()
+    assert [flat[s:e].tolist() for s, e in zip([0, *ends], ends)] == [encoder.guess(w) for w in words]
+
+
+def test_decoding_of_bytes_that_are_no_text(vocabulary):
+    ids = vocabulary.byte_id[[0xC3, 0x41, 0x42]].astype(np.int32)
+    assert Encoder(vocabulary).decode(ids, np.array([1, 1, 2, 3])).to_pylist() == ["\ufffd", "", "A", "B"]
+
+
+def test_new_words_take_few_calls_of_python(library, vocabulary):
+    """A corpus goes on having new words; what they cost is what encoding costs."""
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choices(["th", "en", "er", "ou", "chl", "ñ", "ge", "tion"], k=rng.randrange(3, 8))) for _ in range(20_000)})
+    rng.shuffle(words)
+    texts = [",%%% ".join(words[k : k + 100]) for k in range(0, len(words), 100)]
+    encoder = Encoder(vocabulary)
+    encoder.encode(pa.array(["a b"]))
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        order, ids, ends = encoder.encode(pa.array(texts))
+    finally:
+        sys.setprofile(None)
+    assert in_order(order, ends, ids) == [e.ids for e in library[BYTE].encode_batch(texts, add_special_tokens=False)]
+    assert calls < 12 * len(words)

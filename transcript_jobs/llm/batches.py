@@ -41,6 +41,10 @@ class Memo:
             self.put(key, value)
         return value
 
+    def get_all(self, keys: list) -> list:
+        """``get`` of each key."""
+        return [self.get(k) if v is None else v for k, v in zip(keys, map(self.young.get, keys))]
+
     def put(self, key, value) -> None:
         if len(self.young) >= self.size:
             self.old, self.young = self.young, {}

@@ -6,7 +6,6 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transcript_jobs.llm.batches import Memo, gather, text_blocks
-from transcript_jobs.llm.pretokens import PIECES, units
+from transcript_jobs.llm.pretokens import cut_pieces
 from transcript_jobs.llm.ragged import NEVER, merge_words
 
 
@@ -68,6 +67,52 @@ def check_shape(spec: dict) -> None:
             raise ValueError(f"this tokenizer matches {token['content']!r} by more than its string")
 
 
+class Tree:
+    """The tree of the tokens' bytes: a table of its edges, by the node above and the byte."""
+
+    def __init__(self, id_of: dict[bytes, int]):
+        node, keys = {b"": 0}, []
+        for token in id_of:
+            for k in range(1, len(token) + 1):
+                if token[:k] not in node:
+                    keys.append(node[token[: k - 1]] << 8 | token[k - 1])
+                    node[token[:k]] = len(keys)
+        # The last one stands for no node.
+        self.token = np.full(len(keys) + 2, -1, np.int32)
+        for token, i in id_of.items():
+            self.token[node[token]] = i
+        keys, n_bits = np.array(keys, np.int64), max(8, len(keys).bit_length() + 2)
+        self.shift, self.mask = 64 - n_bits, (1 << n_bits) - 1
+        self.key, self.child = np.full(1 << n_bits, -1, np.int64), np.full(1 << n_bits, -1, np.int32)
+        # Edges whose place is taken try the next one, all at once.
+        left, at = np.arange(len(keys)), self.place(keys)
+        while len(left):
+            free = self.key[at] < 0
+            self.key[at[free]] = keys[left[free]]
+            mine = self.key[at] == keys[left]
+            self.child[at[mine]] = left[mine] + 1
+            left, at = left[~mine], at[~mine] + 1 & self.mask
+
+    def place(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(self.shift)).astype(np.int64)
+
+    def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The node below each node by a byte, or -1."""
+        key = node.astype(np.int64) << 8 | byte
+        at = self.place(key)
+        there, out = self.key[at], self.child[at]
+        todo = np.flatnonzero(there != key)
+        out[todo] = -1
+        todo = todo[there[todo] >= 0]
+        while len(todo):
+            at[todo] = at[todo] + 1 & self.mask
+            there = self.key[at[todo]]
+            found = there == key[todo]
+            out[todo[found]] = self.child[at[todo[found]]]
+            todo = todo[~found & (there >= 0)]
+        return out
+
+
 class Vocabulary:
     """A tokenizer's tokens and merges as arrays.
 
@@ -136,6 +181,18 @@ class Vocabulary:
             self._edges = sides
         return self._edges
 
+    @property
+    def tree(self) -> Tree:
+        if not hasattr(self, "_tree"):
+            self._tree = Tree(self.id_of)
+        return self._tree
+
+    @property
+    def token_bytes(self) -> pa.Array:
+        if not hasattr(self, "_token_bytes"):
+            self._token_bytes = pa.array(self.bytes, pa.binary())
+        return self._token_bytes
+
     @property
     def whole(self) -> np.ndarray:
         """Whether the bytes of a token merge to that token."""
@@ -200,6 +257,7 @@ class Encoder:
 
     def __init__(self, v: Vocabulary, memory: int = 120_000):
         self.v, self.pieces = v, Memo(memory)
+        self.special = {t.encode(): np.array([i], "<i4").tobytes() for t, i in v.special.items()}
 
     def guess(self, word: bytes) -> list[int]:
         """The longest token at each place, from the left; ``reach`` is the length of the longest token with these two first bytes."""
@@ -212,11 +270,43 @@ class Encoder:
             at = stop
         return out
 
+    def guess_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``guess`` of many words at once, one word after the other, and how many tokens each has.
+
+        All words walk down the tree of the tokens together, a byte a step; one that
+        cannot go on takes the longest token that it met and begins again after it.
+        """
+        tree, n_bytes = self.v.tree, np.fromiter(map(len, words), np.int64, len(words))
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(n_bytes)
+        token = np.full(len(raw), -1, np.int32)
+        mine = np.flatnonzero((n_bytes > 0) & (n_bytes <= LONG_WORD))
+        at, end = ends[mine] - n_bytes[mine], ends[mine]
+        begin, stop, best, node = at.copy(), at.copy(), np.full(len(at), -1, np.int32), np.zeros(len(at), np.int32)
+        while len(at):
+            node = tree.step(node, raw[at])
+            met, at = tree.token[node], at + 1
+            good = met >= 0
+            best, stop = np.where(good, met, best), np.where(good, at, stop)
+            stuck = np.flatnonzero((node < 0) | (at == end))
+            if len(stuck):
+                token[begin[stuck]] = best[stuck]
+                node[stuck] = 0
+                begin[stuck] = at[stuck] = stop[stuck]
+                go = np.ones(len(at), bool)
+                go[stuck[stop[stuck] == end[stuck]]] = False
+                at, end, begin, stop, best, node = (x[go] for x in (at, end, begin, stop, best, node))
+        for k in np.flatnonzero(n_bytes > LONG_WORD).tolist():
+            where = int(ends[k] - n_bytes[k])
+            for i in self.guess(words[k]):
+                token[where] = i
+                where += len(self.v.bytes[i])
+        n_tokens = np.concatenate([[0], np.cumsum(token >= 0)])
+        return token[token >= 0].astype(np.int64), n_tokens[ends] - n_tokens[ends - n_bytes]
+
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word as bytes of 32-bit integers."""
-        guesses = list(map(self.guess, words))
-        sizes = np.fromiter(map(len, guesses), np.int64, len(guesses))
-        flat = np.fromiter(chain.from_iterable(guesses), np.int64, int(sizes.sum()))
+        flat, sizes = self.guess_all(words)
         owner = np.repeat(np.arange(len(words)), sizes)
         inside = np.flatnonzero(owner[1:] == owner[:-1]) if len(flat) else np.zeros(0, np.int64)
         pairs, which = np.unique(flat[inside] * self.v.size + flat[inside + 1], return_inverse=True)
@@ -239,27 +329,26 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The order in which the texts are encoded, all ids, and where each text's ids end."""
-        order, ends, codes, distinct = units(texts, list(self.v.special))
-        special = self.v.special
-        cut = [[u] if u in special else PIECES.findall(u) for u in distinct]
-        code: dict[str, int] = {}
-        piece_of = np.fromiter((code.setdefault(p, len(code)) for pieces in cut for p in pieces), np.int64)
-        n_pieces = np.fromiter(map(len, cut), np.int64, len(cut))
-        pieces = list(code)
-        ids = [self.pieces.get(p) for p in pieces]
-        for s, i in special.items():
-            if s in code:
-                ids[code[s]] = np.array([i], "<i4").tobytes()
+        n_pieces, piece_of, pieces = cut_pieces(texts, list(self.v.special))
+        ids = self.pieces.get_all(pieces)
         missing = [k for k, x in enumerate(ids) if x is None]
-        for k, x in zip(missing, self.encode_words([pieces[k].encode() for k in missing])):
-            ids[k] = x
-            self.pieces.put(pieces[k], x)
+        for k, x in zip(missing, self.encode_words([pieces[k] for k in missing])):
+            ids[k] = self.special.get(pieces[k], x)
+            self.pieces.put(pieces[k], ids[k])
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<i4")
-        at, _ = gather(np.cumsum(n_pieces) - n_pieces, n_pieces, codes)
-        n_units = np.concatenate([[0], np.cumsum(n_pieces[codes])])[ends]
-        at, after = gather(np.cumsum(sizes) - sizes, sizes, piece_of[at])
-        return order, flat[at], np.concatenate([[0], after])[n_units]
+        at, after = gather(np.cumsum(sizes) - sizes, sizes, piece_of)
+        return np.arange(len(texts)), flat[at], np.concatenate([[0], after])[n_pieces]
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of ids that end at ``ends``; what is no UTF-8 is replaced."""
+        _, at, data = self.v.token_bytes.take(pa.array(ids)).buffers()
+        at = np.frombuffer(at, np.int32)[np.concatenate([[0], ends])]
+        texts = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(at), data])
+        try:
+            return texts.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
 
 
 @lru_cache(maxsize=2)
@@ -276,10 +365,10 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
     special token's string inside a text becomes its id. No shuffle: each task
     encodes its own rows, in blocks of a bounded number of bytes.
 
-    Each distinct piece of a block is guessed greedily; two neighbouring tokens are
-    right if their joined bytes merge to just these two, and a piece is right if all
-    its neighbours are. All distinct pairs of a block are tested at once; only
-    pieces that fail are merged exactly.
+    The pieces of a block are cut together, and its distinct ones guessed greedily,
+    all at once. Two neighbouring tokens are right if their joined bytes merge to
+    just these two, and a piece is right if all its neighbours are. All distinct
+    pairs of a block are tested at once; only pieces that fail are merged exactly.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tokenizer_text(spark, tokenizer_path))
@@ -287,14 +376,11 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared.value)
-        table = enc.v.bytes
         for block in text_blocks(batches, limit=BLOCK_BYTES):
             order, ids, ends = enc.encode(block.column(1))
-            starts = np.concatenate([[0], ends[:-1]])
-            decoded = [b"".join(map(table.__getitem__, ids[s:e].tolist())).decode("utf-8", "replace") for s, e in zip(starts.tolist(), ends.tolist())]
             offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [block.column(0).take(pa.array(order)), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(decoded, pa.string())],
+                [block.column(0).take(pa.array(order)), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), enc.decode(ids, ends)],
                 ["id", "ids", "decoded"],
             )
 
