@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import time
 from collections import Counter
 from difflib import SequenceMatcher
@@ -163,3 +164,22 @@ def test_one_long_document_is_many_rows(spark):
         return [float(x == y) for x, y in zip(a, b)]
 
     assert Q.model_consistency(df, ["id"], "m", "s", scorer, batch=2000, parts=8).head()["consistency"] == 1.0
+
+
+def test_stemmed_scores_within_the_row(spark, tmp_path):
+    """All three measures as the operators that shuffle have them, one row for each pair though ids repeat, and no row for each word."""
+    texts = [("Running dogs ran; the CATS sat", "the dogs are running and a cat sits"), ("", "word"), ("one", "one"), (None, None), ("\u212aelvin \u0130stanbul ran", "kelvin istanbul runs"), ("a b a b a b", "b a b a")]
+    pairs = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "pair_id int, reference string, prediction string")
+    got = {r["pair_id"]: r["s"] for r in pairs.select("pair_id", Q.stemmed_f1(F.col("reference"), F.col("prediction")).alias("s")).collect()}
+    for n in (1, 2):
+        for r in Q.rouge_n(pairs, n, ["pair_id"], stem=True).collect():
+            assert got[r["pair_id"]][f"rouge{n}"] == r["f1"]
+    tokens = [[stem(w) if len(w) > 3 else w for w in re.findall("[a-z0-9]+", (t or "").lower())] for t in sum(texts, ())]
+    for i, (a, b) in enumerate(zip(tokens[::2], tokens[1::2])):
+        n = plain_common(a, b)
+        assert got[i]["rougeL"] == pytest.approx(2 * n / (len(a) + len(b)) if n else 0.0)
+    docs = spark.createDataFrame([(1, "the cat sat on the mat", "en"), (1, "a dog ran, a dog ran", "en"), (2, None, "en")], "doc_id long, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = core.QUERIES["q2_stemmed_means"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["n_samples"] for r in found.collect()] == [2] and "Join" not in plan and "Generate" not in plan
